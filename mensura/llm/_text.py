@@ -116,7 +116,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.n
     out = np.zeros(at[-1], np.uint64)
     padded = np.concatenate([hashes, np.zeros(size, np.uint64)])
     for k in range(size):
-        term = mix(padded[place + k] + np.uint64(k + 1) * _M3)
+        term = mix(padded[place + k] + np.uint64((k + 1) * int(_M3) % 2**64))
         short = place + k >= room
         if short.any():
             term[short] = np.uint64(0)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from mensura.llm import maxscore, quality_rules, source_mix
+from mensura.llm import maxscore, minhash, packing, quality_rules, source_mix
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op4_source_mix": source_mix.query,
     "op5_maxscore_topk": maxscore.query,
+    "op6_circulant_minhash": minhash.query,
+    "op9_vector_packing": packing.query,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.oracle(),
     "op4_source_mix": source_mix.ORACLE,
     "op5_maxscore_topk": maxscore.ORACLE,
+    "op6_circulant_minhash": minhash.ORACLE,
 }
