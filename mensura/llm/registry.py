@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from mensura.llm import maxscore, minhash, packing, quality_rules, source_mix
+from mensura.llm import maxscore, minhash, packing, ppm, quality_ranker, quality_rules, source_mix, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_quality_ranker": quality_ranker.query,
+    "op3_toxicity_mil": toxicity.query,
     "op4_source_mix": source_mix.query,
     "op5_maxscore_topk": maxscore.query,
     "op6_circulant_minhash": minhash.query,
+    "op7_ppm_scores": ppm.query,
     "op9_vector_packing": packing.query,
 }
 ORACLE_SQL = {
