@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mensura.llm import maxscore, minhash, packing, ppm, quality_ranker, quality_rules, source_mix, toxicity
+from mensura.llm import licenses, maxscore, minhash, packing, ppm, quality_ranker, quality_rules, source_mix, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_maxscore_topk": maxscore.query,
     "op6_circulant_minhash": minhash.query,
     "op7_ppm_scores": ppm.query,
+    "op8_license_scan": licenses.query,
     "op9_vector_packing": packing.query,
 }
 ORACLE_SQL = {
