@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mensura.llm import licenses, maxscore, minhash, packing, ppm, quality_ranker, quality_rules, source_mix, toxicity
+from mensura.llm import licenses, maxscore, minhash, packing, ppm, quality_ranker, quality_rules, source_mix, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_ppm_scores": ppm.query,
     "op8_license_scan": licenses.query,
     "op9_vector_packing": packing.query,
+    "op10_suffix_dedup": suffix_dedup.query,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.oracle(),

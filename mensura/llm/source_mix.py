@@ -122,16 +122,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
 def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: whole repetitions, then the part of one more, cut after its words.
 
-    ``doc_id`` must be unique in ``docs``.
+    ``doc_id`` must be unique in ``docs`` and not null.
     """
-    plan = mixed.select(F.col("doc_id").alias("__id"), "whole", "part", F.col("size").alias("__size"))
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
-    turns = F.when(F.col("__size") > 0, F.sequence(F.lit(1), F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)))
-    turns = F.when(F.col("whole") + F.col("part") > 0, turns).otherwise(F.array().cast("array<bigint>"))
-    each = joined.withColumn("__turn", F.explode(turns))
-    short = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.greatest(F.col("part"), F.lit(1)).cast("int")), " ")
-    text = F.when((F.col("__turn") > F.col("whole")) & (F.col("part") < F.col("__size")), short).otherwise(F.col("text"))
-    return each.withColumn("text", text).select(*docs.columns)
+    plan = mixed.select(F.col("doc_id").alias("__id"), F.col("whole").alias("__whole"), F.col("part").alias("__part"), F.col("size").alias("__size"))
+    joined = docs.join(plan, F.col("doc_id") == F.col("__id"))
+    turns = F.col("__whole") + F.when(F.col("__part") > 0, 1).otherwise(0)
+    each = joined.where(turns > 0).withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), turns)))
+    short = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("__part").cast("int")), " ")
+    in_part = (F.col("__turn") > F.col("__whole")) & (F.col("__part") < F.col("__size"))
+    return each.withColumn("text", F.when(in_part, short).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """``docs`` repeated and cut as the mix takes them, whatever their ids; documents without words are not taken."""
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if odd.isEmpty():
+        return repeat(docs, mix(docs, weights, max_epochs, seed))
+    rows = table(docs.withColumnRenamed("doc_id", "__doc_id").withColumn("doc_id", F.monotonically_increasing_id()), "mix-rows")
+    return repeat(rows, mix(rows, weights, max_epochs, seed)).drop("doc_id").withColumnRenamed("__doc_id", "doc_id").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
