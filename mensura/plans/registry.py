@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from mensura.plans import catalogue
+
+QUERIES = dict(catalogue.QUERIES)
+ORACLE_SQL = dict(catalogue.ORACLE_SQL)
 FLAGSHIP = "boq_rollup"
