@@ -24,9 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and kept in the shared folder, so a lost executor costs no recomputation.
+
+    It is read back from Parquet, not from an RDD checkpoint: a checkpoint hands on
+    the constraints of the plan it replaces, and in loops these multiply.
+    """
+    return table(df, "cut")
 
 
 def table(df: DataFrame, name: str) -> DataFrame:

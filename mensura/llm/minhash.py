@@ -4,11 +4,12 @@ A document's set are its distinct word shingles. Two permutations make all
 signature coordinates: sigma scatters a shingle, and coordinate k is the least of
 pi(sigma(s) + k), the same pi circularly shifted by k. Coordinates are banded;
 documents with equal sets are first joined into one class, so that copies cost
-nothing. In every bucket the members are verified against its smallest one on
-their full sets; confirmed links give components; in buckets that still hold
-several components all pairs across components are compared, in blocks of
-bounded size, by signature and then on full sets. So no bucket is capped and no
-group is gathered or expanded into all its pairs as rows.
+nothing. In every bucket that holds several components the members are verified
+on their full sets against one of them, another in each bucket and turn, and
+confirmed links join components, turn by turn, until one joins little; then all
+pairs left across components in a bucket are compared: in crowded buckets on
+full sets, block by block, in others by signature and then on full sets. No bucket
+is capped and no group is gathered or expanded into all its pairs.
 
 What can be missed: a pair at similarity 0.75 shares no band of 4 coordinates
 among 32 with probability 5e-6, and a pair that does is left out by the signature
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mensura.llm._store import cut, table
 from mensura.llm._text import LOWER, hash_words, mix, shingles, slices
@@ -37,6 +39,8 @@ BANDS, ROWS = 32, 4
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 COMPARE_BLOCK = 256
+PIVOT_YIELD = 8
+CROWD = 48
 BROADCAST_IDS = 1_000_000
 _SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)
 _SIGMA = np.uint64(0xD1B54A32D192ED03)
@@ -113,27 +117,29 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose full shingle sets are similar enough."""
-    pairs = cut(pairs)
-    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+def shingle_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, items) of the documents in ids(id), as a table."""
+    ids = cut(ids)
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = table(texts.mapInArrow(_set_rows, "id long, items binary"), "minhash-sets")
+    return table(texts.mapInArrow(_set_rows, "id long, items binary"), "minhash-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose full shingle sets are similar enough."""
     second = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     both = second.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
     return cut(both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long").distinct())
 
 
 def _across(key: tuple, group: pa.Table) -> pa.Table:
-    """Pairs of a block pair that lie in different components and look similar by size and signature."""
-    lo, hi = key[1].as_py(), key[2].as_py()
-    node, comp, n, mine = (group.column(c).to_numpy() for c in ("node", "comp", "n", "mine"))
+    """Pairs of a block's members and the bucket's outsiders that lie in different components and look similar."""
+    node, comp, n = (group.column(c).to_numpy() for c in ("node", "comp", "n"))
+    outside, inside = (np.flatnonzero(group.column(c).to_numpy(zero_copy_only=False)) for c in ("outsider", "member"))
     sig = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS).view(np.uint16)
-    left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
     a, b = [], []
-    for i in left:
-        near = right[(comp[right] != comp[i]) & (node[right] > node[i] if lo == hi else True)]
+    for i in outside:
+        near = inside[comp[inside] != comp[i]]
         near = near[DENOMINATOR * np.minimum(n[near], n[i]) >= NUMERATOR * np.maximum(n[near], n[i])]
         near = near[(sig[near] == sig[i]).sum(axis=1) * 2 >= BANDS * ROWS]
         a.append(np.minimum(node[near], node[i]))
@@ -142,8 +148,94 @@ def _across(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"a": join(a), "b": join(b)})
 
 
+def _grid(key: tuple, group: pa.Table) -> pa.Table:
+    """Confirmed links between a block's members and the outsiders sent to it, one for each outsider and component.
+
+    Full sets are compared by a postings list of the block's shingles, so an
+    outsider meets all members at once.
+    """
+    node, comp, n = (group.column(c).to_numpy() for c in ("node", "comp", "n"))
+    outside, inside = (np.flatnonzero(group.column(c).to_numpy(zero_copy_only=False)) for c in ("outsider", "member"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("items")]
+    a, b = [], []
+    if len(inside):
+        shingle = np.concatenate([sets[i] for i in inside])
+        owner = np.repeat(np.arange(len(inside)), [len(sets[i]) for i in inside])
+        order = np.argsort(shingle, kind="stable")
+        shingle, owner = shingle[order], owner[order]
+        for i in outside:
+            low, high = np.searchsorted(shingle, sets[i], "left"), np.searchsorted(shingle, sets[i], "right")
+            many = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            both = np.bincount(owner[at], minlength=len(inside))
+            fine = np.flatnonzero((comp[inside] != comp[i]) & (DENOMINATOR * both >= NUMERATOR * (n[inside] + n[i] - both)))
+            _, first = np.unique(comp[inside][fine], return_index=True)
+            linked = node[inside][fine[first]]
+            a.append(np.minimum(linked, node[i]))
+            b.append(np.maximum(linked, node[i]))
+    join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+    return pa.table({"a": join(a), "b": join(b)})
+
+
+def crowded_links(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links across the components that meet in crowded buckets.
+
+    Components that share such buckets make a cluster; its largest component is
+    dealt into blocks, and all other members are sent to every block, so the
+    comparisons of a crowd are spread over tasks and only links come out.
+    """
+    least = members.groupBy("key").agg(F.min("comp").alias("a"))
+    meet = cut(members.join(least, "key").where("comp <> a").select("a", F.col("comp").alias("b")).distinct())
+    clusters = components(meet).select(F.col("node").alias("comp"), F.col("label").alias("cluster"))
+    rows = cut(members.select("node", "comp").distinct().join(clusters, "comp"))
+    by = rows.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
+    sizes = cut(by.groupBy("cluster").agg(F.sum("c").alias("c"), F.max_by("comp", "c").alias("main")))
+    blocks = F.ceil(F.col("c") / COMPARE_BLOCK).cast("int")
+    outsider = F.col("comp") != F.col("main")
+    dealt = rows.join(sizes, "cluster").withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = dealt.withColumn("block", F.explode(F.when(outsider, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("mine"))))
+    dealt = dealt.select("cluster", "block", "node", "comp", outsider.alias("outsider"), (F.col("block") == F.col("mine")).alias("member"))
+    full = dealt.join(nodes.select("node", "n"), "node").join(sets.select(F.col("id").alias("node"), "items"), "node")
+    return cut(full.groupBy("cluster", "block").applyInArrow(_grid, "a long, b long").distinct())
+
+
+def placed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, comp) of the buckets that still hold several components."""
+    known = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+    split = cut(known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+    return cut(known.join(split, "key"))
+
+
+def pivoted(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each bucket's members and one of them, another in every turn and bucket, across components."""
+    mask = F.xxhash64("key", F.lit(turn))
+    least = members.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("v"))
+    pivots = cut(least.select("key", F.col("v").bitwiseXOR(mask).alias("pivot")))
+    of = members.select("key", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"))
+    pivots = cut(pivots.join(of, ["key", "pivot"]).distinct())
+    met = members.join(pivots, "key").where("comp <> pivot_comp")
+    return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
+def across(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs across the components of a bucket whose sizes and signatures are similar.
+
+    Members are dealt into blocks; only those outside a bucket's largest
+    component are sent to every block.
+    """
+    by = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    buckets = cut(by.groupBy("key").agg(F.sum("c").alias("c"), F.max_by("comp", "c").alias("main")))
+    blocks = F.ceil(F.col("c") / COMPARE_BLOCK).cast("int")
+    dealt = members.join(buckets, "key").withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    outsider = F.col("comp") != F.col("main")
+    dealt = dealt.withColumn("block", F.explode(F.when(outsider, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("mine"))))
+    dealt = dealt.select("key", "block", "node", "comp", outsider.alias("outsider"), (F.col("block") == F.col("mine")).alias("member"))
+    return dealt.join(nodes, "node").groupBy("key", "block").applyInArrow(_across, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of documents(doc_id, text)."""
+    spark = docs.sparkSession
     signed = table(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n long, f1 long, f2 long, bands array<bigint>"), "minhash-signed")
     live = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     same = ["f1", "f2", "n"]
@@ -153,24 +245,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = table(member.where("doc_id = node").select("node", "n", "bands"), "minhash-nodes")
 
     spread = nodes.select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("key"))
-    buckets = cut(spread.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last"))
+    buckets = cut(spread.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"))
     shared = table(spread.join(buckets, "key"), "minhash-buckets")
-    links = verified(shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), docs)
-    labels = components(links)
-
-    placed = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
-    split = cut(
-        placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", "c")
-    )
-    if not split.isEmpty():
-        blocks = F.ceil(F.col("c") / COMPARE_BLOCK).cast("int")
-        dealt = placed.join(split, "key").withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.select("key", "node", "comp", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-        dealt = dealt.join(nodes, "node")
-        found = dealt.groupBy("key", "lo", "hi").applyInArrow(_across, "a long, b long").distinct()
-        more = verified(found, docs)
-        labels = components(links.unionByName(more))
+    sets = shingle_sets(shared.select(F.col("node").alias("id")).distinct(), docs)
+
+    none = spark.createDataFrame([], "a long, b long")
+    links, tested, labels, turn = none, none, none.select(F.col("a").alias("node"), F.col("b").alias("label")), 0
+    while not (members := placed(shared, labels)).isEmpty():
+        full = turn < 0
+        if full:
+            crowd = cut(members.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("key"))
+            links = links.unionByName(crowded_links(members.join(crowd, "key"), nodes, sets))
+            labels = components(links)
+            members = cut(placed(shared, labels).join(crowd, "key", "left_anti"))
+        found = across(members, nodes) if full else pivoted(members, turn)
+        found = cut(found.join(tested, ["a", "b"], "left_anti"))
+        more = verified(found, sets)
+        joined = more.count()
+        if joined:
+            links = links.unionByName(more)
+            labels = components(links)
+        if full:
+            break
+        # a turn of pivots that joins little is the last: what is left is compared in full, once
+        tested, turn = tested.unionByName(found), turn + 1 if joined * PIVOT_YIELD >= found.count() else -1
 
     of = membership.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("component_id")).distinct()
     least = F.col("component_id")
@@ -180,6 +278,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: one document of each group, and every document without an id.
+
+    Of rows that share an id the one with the least text hash stays.
+    """
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = cut(gone)
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    stay = docs.join(few, F.col("doc_id") == F.col("__gone"), "left_anti")
+    again = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__again")))
+    if again.isEmpty():
+        return stay
+    single = stay.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    several = stay.join(again, F.col("doc_id") == F.col("__again"), "left_semi").withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+    return single.unionByName(several)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
