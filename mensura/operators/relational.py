@@ -104,7 +104,7 @@ def merge_intervals(rows: DataFrame, keys: list[str], low: str, high: str, gap:
     return marked.groupBy(*keys, "__island").agg(F.min(low).alias("low"), F.max(high).alias("high"), F.count("*").alias("n")).drop("__island")
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, payload: str, bucket: float) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, payload: str) -> DataFrame:
     """Each left row with the nearest right row of its keys, ties to the smaller payload.
 
     An as-of join in both directions: rows of both sides are laid on one line and
@@ -137,9 +137,7 @@ def range_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str,
 
 def first_rule(rows: DataFrame, rules: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Rows with the first rule (by rule_order) whose pattern their text holds; the rule table is a handful of rows."""
-    from pyspark.sql.functions import broadcast
-
-    hits = rows.join(broadcast(rules), F.expr(f"{text} RLIKE concat('(?i)', pattern)"))
+    hits = rows.join(F.broadcast(rules), F.expr(f"{text} RLIKE concat('(?i)', pattern)"))
     return hits.groupBy(*keys).agg(F.min_by("exclusion_id", "rule_order").alias("exclusion_id"), F.min("rule_order").alias("rule_order"))
 
 

@@ -316,7 +316,7 @@ SELECT event_id, id AS nearest, d AS distance FROM m WHERE p = 1""")
 def nearest_match(spark, d):
     e = t(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).select("event_id", "user_id", "at", "event_type")
     left, right = e.where("event_type <> 'purchase'").drop("event_type"), e.where("event_type = 'purchase'").drop("event_type")
-    return relational.nearest(left, right, ["user_id"], "at", "at", "event_id", 0).select("event_id", "nearest", "distance")
+    return relational.nearest(left, right, ["user_id"], "at", "at", "event_id").select("event_id", "nearest", "distance")
 
 
 @query("""

@@ -98,7 +98,7 @@ def test_nearest_and_range_against_loops(spark, seed):
     left = [(i, r.choice("ab"), float(r.randint(0, 60))) for i in range(40)]
     right = [(100 + i, r.choice("abc"), float(r.randint(0, 60))) for i in range(25)]
     l, h = spark.createDataFrame(left, "id int, k string, at double"), spark.createDataFrame(right, "rid int, k string, at double")
-    got = {x.id: (x.distance, x.nearest) for x in relational.nearest(l, h, ["k"], "at", "at", "rid", 1).collect()}
+    got = {x.id: (x.distance, x.nearest) for x in relational.nearest(l, h, ["k"], "at", "at", "rid").collect()}
     for i, k, at in left:
         assert got[i] == min(((abs(at - b), j) for j, kk, b in right if kk == k), default=(None, None))
     spans = spark.createDataFrame([(j, b, b + r.randint(0, 20)) for j, _, b in right], "rid int, lo double, hi double")
