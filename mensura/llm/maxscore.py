@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mensura.llm._store import table
+from mensura.llm._store import frugal, table
 
 SHARD = 8192
 BLOCK = 512
@@ -150,7 +150,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHAR
     grid = shards.withColumn("run", F.col("part") % runs).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
     met = grid.join(table(q, "maxscore-queries"), "block")
     dealt = met.repartition(min(n_blocks * runs, 4096) if n_blocks * runs > 1 else 1, "block", "run").sortWithinPartitions("block", "run")
-    found = dealt.mapInArrow(_search(k), "block long, row int, query_id long, vec_id long, score long")
+    found = dealt.mapInArrow(frugal(_search(k)), "block long, row int, query_id long, vec_id long, score long")
     best = Window.partitionBy("block", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mensura.llm._store import cut, table
+from mensura.llm._store import bounded, cut, frugal, table
 from mensura.llm._text import LOWER, hash_words, mix, shingles, slices
 from mensura.llm.graph import components
 
@@ -122,14 +122,14 @@ def shingle_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
     ids = cut(ids)
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-    return table(texts.mapInArrow(_set_rows, "id long, items binary"), "minhash-sets")
+    return table(texts.mapInArrow(frugal(_set_rows), "id long, items binary"), "minhash-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs(a, b) whose full shingle sets are similar enough."""
     second = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     both = second.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long").distinct())
+    return cut(both.select("a", "b", "x", "y").mapInArrow(frugal(_confirm), "a long, b long").distinct())
 
 
 def _across(key: tuple, group: pa.Table) -> pa.Table:
@@ -180,9 +180,10 @@ def _grid(key: tuple, group: pa.Table) -> pa.Table:
 def crowded_links(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Confirmed links across the components that meet in crowded buckets.
 
-    Components that share such buckets make a cluster; its largest component is
-    dealt into blocks, and all other members are sent to every block, so the
-    comparisons of a crowd are spread over tasks and only links come out.
+    Components that share such buckets make a cluster. Its members, and those
+    outside its largest component, are dealt into blocks of bounded size, and every
+    two blocks meet in a cell, so the comparisons of a crowd are spread over tasks
+    and only links come out.
     """
     least = members.groupBy("key").agg(F.min("comp").alias("a"))
     meet = cut(members.join(least, "key").where("comp <> a").select("a", F.col("comp").alias("b")).distinct())
@@ -190,13 +191,20 @@ def crowded_links(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> Data
     rows = cut(members.select("node", "comp").distinct().join(clusters, "comp"))
     by = rows.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
     sizes = cut(by.groupBy("cluster").agg(F.sum("c").alias("c"), F.max_by("comp", "c").alias("main")))
-    blocks = F.ceil(F.col("c") / COMPARE_BLOCK).cast("int")
     outsider = F.col("comp") != F.col("main")
-    dealt = rows.join(sizes, "cluster").withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = dealt.withColumn("block", F.explode(F.when(outsider, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("mine"))))
-    dealt = dealt.select("cluster", "block", "node", "comp", outsider.alias("outsider"), (F.col("block") == F.col("mine")).alias("member"))
+    known = rows.join(sizes, "cluster").withColumn("outsider", outsider)
+    n_out = cut(known.groupBy("cluster").agg(F.count_if("outsider").alias("n_out")))
+    known = known.join(n_out, "cluster")
+    count = lambda c: F.greatest(F.ceil(F.col(c) / COMPARE_BLOCK), F.lit(1)).cast("int")
+    place = lambda c: F.pmod(F.xxhash64("node"), count(c)).cast("int")
+    span = lambda c: F.sequence(F.lit(0), count(c) - 1)
+    # a cell of the grid holds one block of outsiders and one of all members
+    cols = ["cluster", "row", "column", "node", "comp", "outsider", "member"]
+    across_ = known.where("outsider").withColumn("row", place("n_out")).withColumn("column", F.explode(span("c"))).withColumn("member", F.lit(False))
+    down = known.withColumn("column", place("c")).withColumn("row", F.explode(span("n_out"))).withColumn("outsider", F.lit(False)).withColumn("member", F.lit(True))
+    dealt = across_.select(cols).unionByName(down.select(cols))
     full = dealt.join(nodes.select("node", "n"), "node").join(sets.select(F.col("id").alias("node"), "items"), "node")
-    return cut(full.groupBy("cluster", "block").applyInArrow(_grid, "a long, b long").distinct())
+    return cut(full.groupBy("cluster", "row", "column").applyInArrow(_grid, "a long, b long").distinct())
 
 
 def placed(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -235,8 +243,8 @@ def across(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of documents(doc_id, text)."""
-    spark = docs.sparkSession
-    signed = table(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n long, f1 long, f2 long, bands array<bigint>"), "minhash-signed")
+    spark = bounded(docs).sparkSession
+    signed = table(docs.select("doc_id", "text").mapInArrow(frugal(_sign), "doc_id long, n long, f1 long, f2 long, bands array<bigint>"), "minhash-signed")
     live = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     same = ["f1", "f2", "n"]
     multi = cut(live.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"))
@@ -268,7 +276,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if full:
             break
         # a turn of pivots that joins little is the last: what is left is compared in full, once
-        tested, turn = tested.unionByName(found), turn + 1 if joined * PIVOT_YIELD >= found.count() else -1
+        tested, turn = tested.unionByName(found), turn + 1 if joined and joined * PIVOT_YIELD >= found.count() else -1
 
     of = membership.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("component_id")).distinct()
     least = F.col("component_id")

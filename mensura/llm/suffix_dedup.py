@@ -39,14 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mensura.llm._store import cut, table
+from mensura.llm._store import bounded, cut, frugal, table
 from mensura.llm._text import Slice, hash_words, mix, slices
 from mensura.llm.interleave import classes, merge, shard_order
 
 LENGTH = 100
 RUN = 24
 SPAN = LENGTH - RUN + 1
-HELD = 1 << 20
+HELD = 1 << 18
+MARK_SLICE = 1 << 20
 HOT = 512
 SHARD = 2048
 CHUNK = 16_384
@@ -154,7 +155,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         docs = batch.column("doc").to_numpy()
-        for s in slices(batch.column("text")):
+        for s in slices(batch.column("text"), MARK_SLICE):
             text, x0, many, place, h = marks(s)
             around = hash_words(s.data, x0, x0 + many - 1 + LENGTH)
             offset = place - x0
@@ -338,24 +339,30 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from chunk(True)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their decided spans; ``rest`` is bytes, as a character may be cut in two."""
-    for batch in batches:
-        removed, spans, rest = [], [], []
-        lists = batch.column("spans")
-        for text, parts in zip(batch.column("text"), lists):
-            raw = (text.as_py() or "").encode()
-            flat = parts.values
-            _, a, b = _joined(np.zeros(len(flat), np.int64), flat.field("a").to_numpy(), flat.field("b").to_numpy())
-            kept, at = [], 0
-            for i, j in zip(a.tolist(), b.tolist()):
-                kept.append(raw[at:i])
-                at = j
-            kept.append(raw[at:])
-            removed.append(int((b - a).sum()))
-            spans.append(len(a))
-            rest.append(b"".join(kept))
-        yield pa.record_batch({"doc": batch.column("doc"), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "rest": pa.array(rest, pa.binary())})
+def _cut(as_text: bool):
+    """Texts without their decided spans: as bytes, as a character may be cut in two, or as text without such halves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            removed, spans, rest = [], [], []
+            for text, parts in zip(batch.column("text"), batch.column("spans")):
+                raw = (text.as_py() or "").encode()
+                flat = parts.values
+                _, a, b = _joined(np.zeros(len(flat), np.int64), flat.field("a").to_numpy(), flat.field("b").to_numpy())
+                kept, at = [], 0
+                for i, j in zip(a.tolist(), b.tolist()):
+                    kept.append(raw[at:i])
+                    at = j
+                kept.append(raw[at:])
+                removed.append(int((b - a).sum()))
+                spans.append(len(a))
+                rest.append(b"".join(kept).decode(errors="ignore") if as_text else b"".join(kept))
+            yield pa.record_batch({
+                "doc": batch.column("doc"), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()),
+                "rest": pa.array(rest, pa.string() if as_text else pa.binary()),
+            })
+
+    return run
 
 
 def _numbered(docs: DataFrame, name: str = "doc") -> tuple[DataFrame, bool]:
@@ -388,17 +395,19 @@ def _texts(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return picked.join(lists, "doc")
 
 
-def repeated_parts(docs: DataFrame) -> DataFrame:
-    """doc, n_removed, n_spans and ``rest`` (the remaining bytes) of the documents(doc, text) that lose bytes."""
+def repeated_parts(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """doc, n_removed, n_spans and ``rest`` (what remains, as bytes or text) of the documents(doc, text) that lose bytes."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = docs.select("doc", "text").mapInArrow(_mark, ROWS)
-    decided = table(found.repartition(n, "h").sortWithinPartitions("h", "s", "doc", "at").mapInArrow(_decide, ROWS), "suffix-marks")
+    found = bounded(docs).select("doc", "text").mapInArrow(frugal(_mark), ROWS)
+    decided = table(found.repartition(n, "h").sortWithinPartitions("h", "s", "doc", "at").mapInArrow(frugal(_decide), ROWS), "suffix-marks")
     needed = cut(decided.where("at >= 0").groupBy("doc").agg(F.collect_list(F.struct("h", "s", "at")).alias("marks")))
-    segments = _texts(docs, needed).select("doc", "text", "marks").mapInArrow(_extract, SEGMENTS)
-    resolved = segments.repartition(n, "h").sortWithinPartitions("h", "s", "doc", "at").mapInArrow(_resolve, "doc long, a long, b long")
+    segments = _texts(docs, needed).select("doc", "text", "marks").mapInArrow(frugal(_extract), SEGMENTS)
+    resolved = segments.repartition(n, "h").sortWithinPartitions("h", "s", "doc", "at").mapInArrow(frugal(_resolve), "doc long, a long, b long")
     early = decided.where("at < 0").select("doc", (-1 - F.col("at")).alias("a"), F.col("s").alias("b"))
     spans = table(early.unionByName(resolved).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "suffix-spans")
-    return _texts(docs, spans).select("doc", "text", "spans").mapInArrow(_cut, "doc long, n_removed long, n_spans long, rest binary")
+    return _texts(docs, spans).select("doc", "text", "spans").mapInArrow(
+        frugal(_cut(as_text)), f"doc long, n_removed long, n_spans long, rest {'string' if as_text else 'binary'}"
+    )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -406,13 +415,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     numbered, unique = _numbered(docs, "__doc")
     texts = numbered.select(F.col("__doc").alias("doc"), "text")
     texts = texts if unique else texts.dropDuplicates(["doc"])
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rest = [x.as_py().decode(errors="ignore") for x in batch.column("rest")]
-            yield pa.record_batch({"doc": batch.column("doc"), "rest": pa.array(rest, pa.string())})
-
-    rest = table(repeated_parts(texts).select("doc", "rest").mapInArrow(decode, "doc long, rest string"), "suffix-rest")
+    rest = table(repeated_parts(texts, as_text=True).select("doc", "rest"), "suffix-rest")
     met = numbered.join(rest.select(F.col("doc").alias("__of"), F.col("rest").alias("__rest")), F.col("__doc") == F.col("__of"), "left")
     return met.withColumn("text", F.coalesce("__rest", "text")).select(*docs.columns)
 

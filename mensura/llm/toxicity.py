@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mensura.llm._store import bounded, frugal
 from mensura.llm._text import LOWER, Slice, hash_words, mix, slices
 from mensura.llm.labelled import remainder, sample
 
@@ -175,7 +176,7 @@ def score(docs: DataFrame, model: dict | None, at_least: float = CUT_SCORE) -> D
                     "doc_id": batch.column("doc_id").slice(s.rows.start, len(s)), "score": pa.array(value), "offending": pa.ListArray.from_arrays(at, spans),
                 })
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCORED)
+    return bounded(docs).select("doc_id", "text").mapInArrow(frugal(run), SCORED)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
