@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from mensura.llm._store import bounded, frugal
 from mensura.llm._text import LOWER, Slice, hash_words, mix, slices
 
 RUN = 3
@@ -154,12 +155,13 @@ def matches(index: Index, words: np.ndarray, hits: list[tuple[int, int, int]], l
     done: list[tuple[int, int]] = []
     for place, template, at in sorted(hits, key=lambda h: (h[1], h[0] - h[2])):
         diagonal = place - at
-        if done and done[-1][0] == template and diagonal - done[-1][1] <= BAND // 2:
+        size = len(index.words[template])
+        band = min(BAND, max(1, size // 4))  # short templates may follow one another closely
+        if done and done[-1][0] == template and diagonal - done[-1][1] <= band:
             continue
         done.append((template, diagonal))
-        size = len(index.words[template])
-        low = max(0, diagonal - BAND)
-        n, first, last = banded_alignment(words[low : diagonal + size + BAND + 1], index.words[template], diagonal - low)
+        low = max(0, diagonal - band)
+        n, first, last = banded_alignment(words[low : diagonal + size + band + 1], index.words[template], diagonal - low, band)
         if n >= least * size and n >= min(size, RUN):
             found.append((template, n, low + first, low + last))
     kept = []
@@ -200,7 +202,7 @@ def _scan(templates: dict[str, str], least: float):
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = COVERAGE) -> DataFrame:
     """A row for each matched span (in characters) of documents(doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_scan(templates, least), MATCHES)
+    return bounded(docs).select("doc_id", "text").mapInArrow(frugal(_scan(templates, least)), MATCHES)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
