@@ -13,16 +13,21 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def usable(labels: DataFrame, label: str, learn: Column) -> DataFrame:
+    """doc_id and y of the labels that may be learned from."""
+    return labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & learn)
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: dict[int, int] = SAMPLE_ROWS, seed: int = 7) -> DataFrame:
     """doc_id, text and y of about ``rows[y]`` labelled documents of each class y for which ``learn`` holds.
 
     ``rows`` bounds what a caller may gather, whatever the size of the tables.
     """
-    usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & learn)
-    counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows_of = usable(labels, label, learn)
+    counts = {r["y"]: r["n"] for r in rows_of.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for y, n in counts.items():
         share = F.when(F.col("y") == y, F.lit(min(1.0, rows[y] / n))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = usable.where(draw < share).dropDuplicates(["doc_id"])
+    drawn = rows_of.where(draw < share).dropDuplicates(["doc_id"])
     return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "y")

@@ -4,9 +4,9 @@ A document's worth is linear in its features; document i is preferred to j with
 probability sigmoid(worth_i - worth_j). The weights are learned from preference
 pairs (a document labelled good against one labelled bad) by logistic loss on
 feature differences, on a bounded sample of labelled rows. The threshold is the
-quantile of the sample's worths, weighted to the labels' real shares, below which
-as many documents lie as are labelled bad; worths are mapped so that it has score
-0.3.
+exact quantile of the worths of all labelled rows that may be learned from, below
+which as many documents lie as are labelled bad; worths are mapped so that it has
+score 0.3.
 
 Defined results: a null or empty text has all features zero and gets a score like
 any other; very long texts are used whole; equal rows get equal scores; without
@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm._store import bounded, frugal
+from mensura.llm._store import bounded, frugal, table
 from mensura.llm._text import LOWER, Slice, hash_words, slices
-from mensura.llm.labelled import SAMPLE_ROWS, remainder, sample
+from mensura.llm.labelled import SAMPLE_ROWS, remainder, sample, usable
 
 PAIRS = 60_000
 RIDGE = 1e-3
 CUT_SCORE = 0.3
 FEATURE_SLICE = 1 << 20
+BINS, FEW = 4096, 10_000
 # classes of bytes: each ASCII punctuation mark its own, then capitals, digits, white space, newline, non-ASCII, letters
 _PUNCT = [c for c in range(33, 127) if not chr(c).isalnum()]
 CLASS = np.zeros(256, np.int64)
@@ -77,8 +78,8 @@ def features(s: Slice) -> np.ndarray:
     return np.concatenate([np.minimum(rate, 4.0), counts > 0, extra], axis=1)
 
 
-def fit(x: np.ndarray, y: np.ndarray, bad_share: float, seed: int = 7) -> dict:
-    """Weights by logistic loss on differences of pairs (good, bad), and the threshold."""
+def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> dict:
+    """Weights by logistic loss on differences of pairs (good, bad)."""
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale[scale < 1e-6] = 1.0
     z = np.clip((x - mean) / scale, -6, 6)
@@ -92,20 +93,45 @@ def fit(x: np.ndarray, y: np.ndarray, bad_share: float, seed: int = 7) -> dict:
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    worth = z @ w
-    # the quantile over the labels' real shares, in the middle of the gap
-    weight = np.where(y == 1, (1 - bad_share) / len(good), bad_share / len(bad))
-    order = np.argsort(worth)
-    k = int(np.searchsorted(np.cumsum(weight[order]), bad_share - 1e-12)) + 1
-    k = min(k, len(order) - 1)
-    return {"mean": mean, "scale": scale, "w": w, "cut": float(worth[order[k - 1]] + worth[order[k]]) / 2}
+    return {"mean": mean, "scale": scale, "w": w}
+
+
+def worths(model: dict, x: np.ndarray) -> np.ndarray:
+    return np.clip((x - model["mean"]) / model["scale"], -6, 6) @ model["w"]
+
+
+def nth(values: DataFrame, k: int) -> float:
+    """The ``k``-th least (from 1) of the column ``v``, exactly: bins are counted, and the one that holds it is cut again."""
+    row = values.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n")).first()
+    while row["low"] < row["high"] and row["n"] > FEW:
+        inside = values.where(F.col("v").between(row["low"], row["high"]))
+        bin_ = F.floor((F.col("v") - F.lit(row["low"])) / F.lit(row["high"] - row["low"]) * BINS)
+        for r in sorted(inside.groupBy(bin_.alias("bin")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n")).collect(), key=lambda r: r["bin"]):
+            row = r
+            if k <= r["n"]:
+                break
+            k -= r["n"]
+    if row["low"] == row["high"]:
+        return row["low"]
+    found = values.where(F.col("v").between(row["low"], row["high"])).toArrow().column("v").to_numpy()
+    return float(np.sort(found)[k - 1])
+
+
+def threshold(values: DataFrame, share: float) -> float:
+    """The quantile of the column ``v`` at ``share``, in the middle of the gap."""
+    n = values.count()
+    k = min(max(int(np.ceil(share * n - 1e-9)), 1), n - 1)
+    if k < 1:
+        return nth(values, 1)
+    low = nth(values, k)
+    up_to, above = values.agg(F.count_if(F.col("v") <= F.lit(low)), F.min(F.when(F.col("v") > F.lit(low), F.col("v")))).first()
+    return (low + (low if up_to > k else above)) / 2
 
 
 def scores(model: dict | None, x: np.ndarray) -> np.ndarray:
     if model is None:
         return np.full(len(x), 0.5)
-    worth = np.clip((x - model["mean"]) / model["scale"], -6, 6) @ model["w"]
-    return 1 / (1 + np.exp(-np.clip(worth - model["cut"] + np.log(CUT_SCORE / (1 - CUT_SCORE)), -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(worths(model, x) - model["cut"] + np.log(CUT_SCORE / (1 - CUT_SCORE)), -30, 30)))
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,14 +143,26 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, rows: dict[int, int] = SAMPLE_ROWS) -> dict | None:
-    """The model from a bounded sample of the labels for which the column ``learn`` holds; None without both kinds."""
+    """The model of the labels for which the column ``learn`` holds; None without both kinds.
+
+    Weights come from a bounded sample of them, the threshold from all.
+    """
     shares = labels.where(F.col("quality").isin(0, 1) & learn).agg(F.avg(1 - F.col("quality"))).first()[0]
     some = sample(docs, labels, "quality", learn, rows).mapInArrow(frugal(_featured), "doc_id long, y int, x array<double>").toArrow()
     some = some.sort_by([("doc_id", "ascending")])
     y = some.column("y").to_numpy()
     if not 0 < y.sum() < len(y):
         return None
-    return fit(np.array(some.column("x").combine_chunks().flatten()).reshape(-1, N_FEATURES), y, float(shares))
+    model = fit(np.array(some.column("x").combine_chunks().flatten()).reshape(-1, N_FEATURES), y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in slices(batch.column("text"), FEATURE_SLICE):
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(s.rows.start, len(s)), "v": pa.array(worths(model, features(s)))})
+
+    ids = usable(labels, "quality", learn).select("doc_id").distinct()
+    mine = bounded(docs).select("doc_id", "text").where(learn).mapInArrow(frugal(run), "doc_id long, v double")
+    return model | {"cut": threshold(table(mine.join(ids, "doc_id", "left_semi").select("v"), "quality-worths"), float(shares))}
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:

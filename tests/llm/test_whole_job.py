@@ -1,14 +1,11 @@
 """Operators on inputs above the sizes at which they once left something out."""
 
-import collections
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mensura.llm import ppm
+from mensura.llm import ppm, quality_ranker
 from mensura.llm._text import slices
 
 LARGE = "/root/testdata/sf0.1"
@@ -30,3 +27,16 @@ def test_ppm_keeps_rare_nodes_of_a_large_table(spark, monkeypatch):
     assert len(got) == len(frame)
     for i, k in zip(frame.doc_id, keys):
         assert got[i] == pytest.approx(trie.score(k).sum())
+
+
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_quality_threshold_is_of_all_labels(spark, monkeypatch, few):
+    monkeypatch.setattr(quality_ranker, "FEW", few, raising=False)
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = quality_ranker.train(docs, labels, F.col("doc_id") % 5 != 0, {0: 20, 1: 20})
+    got = quality_ranker.score(docs, model).join(labels, "doc_id").where("doc_id % 5 <> 0").toPandas()
+    bad = int((got.quality == 0).sum())
+    assert len(got) > 100 and bad > 20
+    ordered = np.sort(got.score)
+    assert (ordered < quality_ranker.CUT_SCORE).sum() == bad and ordered[bad - 1] < ordered[bad]
