@@ -328,6 +328,16 @@ def range_join(spark, d):
     return relational.range_join(o, p, "at", "lo", "hi", 4.0).select("o_orderkey", "p_partkey")
 
 
+@query("""
+WITH p AS (SELECT p_partkey, p_retailprice - 2 AS lo, p_retailprice + 2 AS hi FROM part)
+SELECT o_orderkey, p_partkey FROM orders JOIN p ON o_totalprice / 100 BETWEEN lo AND hi""")
+def range_join_whole(spark, d):
+    """The range join of all parts; ``range_join`` joins those of one size."""
+    p = t(spark, d, "part").select("p_partkey", (F.col("p_retailprice") - 2).alias("lo"), (F.col("p_retailprice") + 2).alias("hi"))
+    o = t(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("at"))
+    return relational.range_join(o, p, "at", "lo", "hi", 4.0).select("o_orderkey", "p_partkey")
+
+
 RULES = [(1, "license", "licen[sc]e"), (2, "rights", "all rights reserved"), (3, "shout", "!!"), (4, "menu", "[|]")]
 
 
