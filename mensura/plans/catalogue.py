@@ -403,10 +403,12 @@ def box_overlaps(spark, d):
 
 @query()
 def greedy_pairing(spark, d):
-    """Documents and benchmark items paired one to one by the first word of their texts."""
-    path = lambda k: F.concat(F.lit(f"/{k}/"), F.lower(F.substring("text", 1, 3)), F.lit("_"), F.substring("text", 1, 12))
-    m = t(spark, d, "documents").select(F.lower(F.substring("text", 1, 3)).alias("name"), F.concat(path("marked"), F.col("doc_id").cast("string")).alias("path"))
-    r = t(spark, d, "benchmark").select(F.lower(F.substring("text", 1, 3)).alias("name"), F.concat(path("raw"), F.col("item_id").cast("string")).alias("path"))
+    """Documents and benchmark items paired one to one by their whole texts, case and space aside."""
+    text = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "))
+    name = F.sha2(text.cast("binary"), 256)
+    path = lambda k, id_: F.concat(F.lit(f"/{k}/"), F.coalesce(F.col(id_).cast("string"), F.lit("")), F.lit("/"), name)
+    m = t(spark, d, "documents").select(name.alias("name"), path("marked", "doc_id").alias("path"))
+    r = t(spark, d, "benchmark").select(name.alias("name"), path("raw", "item_id").alias("path"))
     return matching.pair_names(m, r, "name")
 
 
