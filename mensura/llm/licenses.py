@@ -1,8 +1,12 @@
-"""License scans: winnowed fingerprints, then banded alignment.
-
-Templates are cut into overlapping runs of words; winnowing keeps the least hash
-of every window of runs, and the kept ones form an inverted index from hash to
-places in templates. A document's runs are looked up in the index; hits of one
+"""License scans: fingerprints of runs of words, then banded alignment.
+
+Templates are cut into overlapping runs of words, all of which form an inverted
+index from hash to places in templates. Runs have 3 words, or 2 where 3 in a row
+need not survive one more word between two or as many other words as the
+coverage allows; so whatever words are changed, or one is put in, a template
+that is covered enough is a candidate. One that has words both changed and put
+in at several places may be missed.
+A document's runs are looked up in the index; hits of one
 template on about the same diagonal make a candidate. Each candidate is aligned
 with the template by local alignment of words inside a band, which reports how
 much of the template is matched and where in the document. Templates are a fixed
@@ -26,7 +30,6 @@ from mensura.llm._store import bounded, frugal
 from mensura.llm._text import LOWER, Slice, hash_words, mix, slices
 
 RUN = 3
-WINNOW = 4
 BAND = 8
 COVERAGE = 0.75
 # Public license notices.
@@ -87,39 +90,45 @@ def runs(words: np.ndarray, size: int = RUN) -> np.ndarray:
     return mix(out)
 
 
-def winnow(hashes: np.ndarray, window: int = WINNOW) -> np.ndarray:
-    """Places of the last least hash of every window; of all hashes where there are fewer than a window."""
-    if len(hashes) <= window:
-        return np.arange(len(hashes))
-    views = np.lib.stride_tricks.sliding_window_view(hashes, window)
-    return np.unique(np.arange(len(views)) + window - 1 - np.argmin(views[:, ::-1], axis=1))
+def run_size(size: int, least: float) -> int:
+    """Words in a row, RUN at most, that a template of ``size`` words keeps whichever words are changed or one is put in."""
+    need = max(min(int(np.ceil(least * size - 1e-9)), size), 1)
+    return max(1, min(RUN, -(-need // (size - need + 1)), -(-size // 2)))
 
 
 class Index:
-    """The inverted index from fingerprint to (template, place)."""
+    """The inverted index from fingerprint to (template, place), by size of run."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES):
+    def __init__(self, templates: dict[str, str] = TEMPLATES, least: float = COVERAGE):
         self.names = list(templates)
         self.words = [bare_words(next(iter(slices(pa.array([t])))))[2] for t in templates.values()]
-        keys, which, at = [], [], []
+        found: dict[int, list] = {}
         for i, words in enumerate(self.words):
-            h = runs(words)
-            p = winnow(h)
-            keys.append(h[p])
-            which.append(np.full(len(p), i))
-            at.append(p)
-        keys, which, at = map(np.concatenate, (keys, which, at))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.which, self.at = keys[order], which[order], at[order]
-
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in hashes, template, place in template) of all fingerprints found."""
-        low = np.searchsorted(self.keys, hashes, "left")
-        some = np.flatnonzero((low < len(self.keys)) & (self.keys[np.minimum(low, len(self.keys) - 1)] == hashes))
-        many = np.searchsorted(self.keys, hashes[some], "right") - low[some]
-        place = np.repeat(some, many)
-        entry = np.repeat(low[some] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(some) else np.zeros(0, int)
-        return place, self.which[entry], self.at[entry]
+            k = run_size(len(words), least)
+            h = runs(words, k)
+            found.setdefault(k, []).append((h, np.full(len(h), i), np.arange(len(h))))
+        self.sizes = {}
+        for k, parts in found.items():
+            keys, which, at = map(np.concatenate, zip(*parts))
+            order = np.argsort(keys, kind="stable")
+            self.sizes[k] = keys[order], which[order], at[order]
+
+    def hits(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place in words, template, place in template, text) of all fingerprints found inside of texts, by place."""
+        out = []
+        for k, (keys, which, at) in self.sizes.items():
+            hashes = runs(words, k)
+            low = np.searchsorted(keys, hashes, "left")
+            some = np.flatnonzero((low < len(keys)) & (keys[np.minimum(low, len(keys) - 1)] == hashes))
+            many = np.searchsorted(keys, hashes[some], "right") - low[some]
+            place = np.repeat(some, many)
+            entry = np.repeat(low[some] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(some) else np.zeros(0, int)
+            doc = np.searchsorted(first, place, "right") - 1
+            inside = place + k <= first[doc + 1]
+            out.append((place[inside], which[entry][inside], at[entry][inside], doc[inside]))
+        place, which, at, doc = map(np.concatenate, zip(*out))
+        order = np.argsort(place, kind="stable")
+        return place[order], which[order], at[order], doc[order]
 
 
 def banded_alignment(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -173,17 +182,14 @@ def matches(index: Index, words: np.ndarray, hits: list[tuple[int, int, int]], l
 
 def _scan(templates: dict[str, str], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates)
+        index = Index(templates, least)
         names = [x.split()[0] for x in MATCHES.split(", ")]
         types = [pa.int64(), pa.string(), pa.float64(), *[pa.int32()] * 4]
         for batch in batches:
             rows = []
             for s in slices(batch.column("text")):
                 begin, end, words, first = bare_words(s)
-                place, which, at = index.hits(runs(words))
-                doc = np.searchsorted(first, place, "right") - 1
-                inside = place + RUN <= first[doc + 1]
-                place, which, at, doc = place[inside], which[inside], at[inside], doc[inside]
+                place, which, at, doc = index.hits(words, first)
                 cuts = np.flatnonzero(np.diff(doc, prepend=-1))
                 for a, b in zip(cuts, np.append(cuts[1:], len(doc))):
                     d = int(doc[a])

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mensura.llm import ppm, quality_ranker
+from mensura.llm import licenses, ppm, quality_ranker
 from mensura.llm._text import slices
 
 LARGE = "/root/testdata/sf0.1"
@@ -40,3 +40,19 @@ def test_quality_threshold_is_of_all_labels(spark, monkeypatch, few):
     assert len(got) > 100 and bad > 20
     ordered = np.sort(got.score)
     assert (ordered < quality_ranker.CUT_SCORE).sum() == bad and ordered[bad - 1] < ordered[bad]
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_single_word_edits_of_templates_are_found(name):
+    words = licenses.TEMPLATES[name].split()
+    size = len(words)
+    texts, least = [], []
+    for i in range(size):
+        texts += [words[:i] + ["zzz"] + words[i + 1 :], words[:i] + words[i + 1 :], words[:i] + ["zzz"] + words[i:]]
+        least += [size - 1, size - 1, size]
+    texts = ["qqq www " + " ".join(t) + " eee" for t in texts]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    rows = [r for b in licenses._scan(licenses.TEMPLATES, licenses.COVERAGE)(iter([batch])) for r in b.to_pylist()]
+    for i, n in enumerate(least):
+        if n >= licenses.COVERAGE * size:
+            assert any(r["doc_id"] == i and (r["license"] == name or r["matched_words"] >= n) for r in rows), texts[i]
