@@ -32,8 +32,6 @@ class WordEncoder:
         self.starts, self.flat = np.zeros(1, np.int32), np.zeros(0, self.kind)
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) + len(keys) > CACHE_WORDS:
-            self.clear()
         encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         ids = [e.ids for e in encoded]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -44,15 +42,21 @@ class WordEncoder:
         at = np.searchsorted(self.keys, keys)
         self.keys, self.places = np.insert(self.keys, at, keys), np.insert(self.places, at, places)
 
+    def _unknown(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.arange(len(hashes))
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.flatnonzero(self.keys[at] != hashes)
+
     def encode(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice and for each text the index of its first one (rows + 1)."""
         starts, ends, first = s.words()
         hashes, index, back = np.unique(hash_words(s.data, starts, ends), return_index=True, return_inverse=True)
-        for _ in range(2):  # a second time where the cache was emptied
-            at = np.minimum(np.searchsorted(self.keys, hashes), max(0, len(self.keys) - 1))
-            new = np.flatnonzero(self.keys[at] != hashes) if len(self.keys) else np.arange(len(hashes))
-            if not len(new):
-                break
+        new = self._unknown(hashes)
+        if len(new) and len(self.keys) + len(new) > CACHE_WORDS:
+            self.clear()  # then all words of the slice are learned, however many
+            new = np.arange(len(hashes))
+        if len(new):
             blob, a, b = s.data.tobytes(), starts[index[new]], ends[index[new]]
             self._learn(hashes[new], [blob[i:j].decode() for i, j in zip(a.tolist(), b.tolist())])
         at = np.searchsorted(self.keys, hashes)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mensura.llm import licenses, ppm, quality_ranker
+from mensura.llm import licenses, ppm, quality_ranker, tokens
 from mensura.llm._text import slices
 
 LARGE = "/root/testdata/sf0.1"
@@ -56,3 +56,13 @@ def test_single_word_edits_of_templates_are_found(name):
     for i, n in enumerate(least):
         if n >= licenses.COVERAGE * size:
             assert any(r["doc_id"] == i and (r["license"] == name or r["matched_words"] >= n) for r in rows), texts[i]
+
+
+def test_words_of_a_slice_beyond_the_cache(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+    encoder = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for text in (" ".join(f"alpha{i}" for i in range(40)), " ".join(f"alpha{i}" for i in range(120)), "alpha3 beta7"):
+        ids, at = encoder.encode(next(iter(slices(pa.array([text])))))
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids and at.tolist() == [0, len(ids)]
