@@ -33,13 +33,14 @@ def test_ppm_keeps_rare_nodes_of_a_large_table(spark, monkeypatch):
 def test_quality_threshold_is_of_all_labels(spark, monkeypatch, few):
     monkeypatch.setattr(quality_ranker, "FEW", few, raising=False)
     folder = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = docs.selectExpr("doc_id", "int(pmod(xxhash64(doc_id), 3) > 0) AS quality")  # scores of good and bad overlap
     model = quality_ranker.train(docs, labels, F.col("doc_id") % 5 != 0, {0: 20, 1: 20})
     got = quality_ranker.score(docs, model).join(labels, "doc_id").where("doc_id % 5 <> 0").toPandas()
     bad = int((got.quality == 0).sum())
     assert len(got) > 100 and bad > 20
     ordered = np.sort(got.score)
-    assert (ordered < quality_ranker.CUT_SCORE).sum() == bad and ordered[bad - 1] < ordered[bad]
+    assert ordered[bad - 1] - 1e-9 <= quality_ranker.CUT_SCORE <= ordered[bad] + 1e-9
 
 
 @pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
