@@ -4,29 +4,36 @@ A repeated string of 100 bytes is found from one marked place inside it: the
 least of the hashes of its 24-byte runs (a minimiser), which is the same wherever
 the string occurs. So each window of 100 bytes belongs to one mark, consecutive
 windows share marks, and marks that occur once in the corpus end the search for
-all their windows. What is left is compared in three steps.
+all their windows. What is left is compared in these steps.
 
 1. Tasks reduce their own marks: of marks with the same surroundings all but the
    first are decided at once; the others are dealt by hash, where the same is done
    over all tasks and marks that occur once disappear.
-2. Marks with several different surroundings ship these bytes. In each group the
-   suffixes to the right of the marks, and the reversed prefixes to the left, are
-   sorted by shard, and the shards' orders are merged by interleave refinement,
-   which gives common prefixes; two windows at the same distance from their marks
-   are equal if both common prefixes reach far enough. Marks with very many
-   different surroundings (a passage's ends, in whatever it is pasted into) are
-   compared window by window instead, each window's hash being its own key, after
-   each task has decided what it can.
-3. Each text's decided windows are united and cut out.
-
-Full Burrows-Wheeler transforms of all suffixes aren't built: README.md has
-figures. Texts are moved only where they hold repeated marks.
+2. Marks with several different surroundings are looked at again in their texts.
+   The windows of a mark are taken in pieces of 20, which share a core of 81
+   bytes; a piece is the hash of its core and the bytes beyond it on both sides.
+   Pieces whose core occurs once disappear in the same way.
+3. Each task is a shard that ships its pieces in sorted order, by what stands right
+   of the core and by what stands left of it. The shards' orders are merged by
+   interleave refinement, which gives common prefixes; windows of two pieces are
+   equal if both common prefixes reach far enough.
+4. Cores that meet many different surroundings within one task (a passage's ends,
+   in whatever it is pasted into) are crowded: no task gathers all of their pieces.
+   They are dealt by their bytes, and what remains as one row a window, dealt by
+   the window's hash.
+5. Each text's decided windows are united and cut out.
+
+Every step makes rows in proportion to those before it, at most 4 pieces a mark
+and 20 windows a piece. Full Burrows-Wheeler transforms of all suffixes aren't
+built: README.md has figures. Texts are moved only where they hold repeated marks.
 
 Defined results: a null or empty text has no bytes; texts under 100 bytes lose
 nothing; rows that share an id are told apart by their text, in the order of its
 hash, equal rows being one document with one result; null ids come first; texts
 of any length are used whole; an empty table gives an empty result; other columns
-are ignored. Equality rests on 64-bit hashes in step 1 and on bytes in step 2.
+are ignored. Surroundings and cores are equal if their 64-bit hashes are, among
+those that share a mark; bytes beyond cores are compared themselves in step 3, and
+by a second 64-bit hash in step 4.
 """
 
 from __future__ import annotations
@@ -35,21 +42,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mensura.llm._store import bounded, cut, frugal, table
 from mensura.llm._text import Slice, hash_words, mix, slices
-from mensura.llm.interleave import classes, merge, shard_order
+from mensura.llm.interleave import classes, merge
 
 LENGTH = 100
 RUN = 24
 SPAN = LENGTH - RUN + 1
 HELD = 1 << 18
 MARK_SLICE = 1 << 20
-HOT = 512
-SHARD = 2048
+STEP = 20
+CORE = LENGTH - STEP + 1
+EXT = 2 * STEP  # STEP - 1 bytes on each side and two for the range of windows
+KINDS = 32
 CHUNK = 16_384
 BROADCAST_IDS = 1_000_000
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -116,227 +126,375 @@ def _joined(doc: np.ndarray, a: np.ndarray, b: np.ndarray):
     return doc[first], a[first], reach[last]
 
 
-def _first_of_each(h, s, doc, at):
-    """The order by (h, s, doc, at), and which in it are the first of their (h, s)."""
+class _Held:
+    """Columns of rows that a task gathers, taken together when there are many."""
+
+    def __init__(self, most: int):
+        self.most, self.parts, self.n = most, [], 0
+
+    def add(self, *columns: np.ndarray) -> bool:
+        """Whether it is time to take them."""
+        self.parts.append(columns)
+        self.n += len(columns[0])
+        return self.n >= self.most
+
+    def take(self) -> list[np.ndarray]:
+        columns = [np.concatenate(c) for c in zip(*self.parts)]
+        self.parts, self.n = [], 0
+        return columns
+
+
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """Where any of the keys differs from the row before."""
+    out = np.ones(len(keys[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return out
+
+
+def _of_each(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The sum of ``values`` over each run that begins where ``starts`` holds, for every row."""
+    return np.add.reduceat(values.astype(np.int64), np.flatnonzero(starts))[np.cumsum(starts) - 1] if len(starts) else np.zeros(0, np.int64)
+
+
+def _reduced(h, s, doc, at, kinds: int):
+    """What one task can say of its rows: the later ones of each (h, s); the first ones; which of these have an h with more than ``kinds`` values of s."""
     order = np.lexsort((at, doc, s, h))
-    h, s = h[order], s[order]
-    first = np.ones(len(order), bool)
-    first[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-    return order, first
+    first = _new(h[order], s[order])
+    keep = order[first]
+    return order[~first], keep, _of_each(_new(h[keep]), np.ones(len(keep), bool)) > kinds
 
 
-def _rows(h, s, doc, at) -> pa.RecordBatch:
-    return pa.record_batch({"h": pa.array(h, pa.int64()), "s": pa.array(s, pa.int64()), "doc": pa.array(doc, pa.int64()), "at": pa.array(at, pa.int64())})
+#: Kinds of rows. SINGLE ones are dealt by h, with all kinds of that h. Those of a
+#: CROWDED h (one with many values of s in one task) are dealt by (h, s), and one row
+#: without a place tells those that are dealt by h of it. DECIDED ones are intervals.
+SINGLE, CROWDED, DECIDED = 0, 1, 2
+NO_PLACE = -1
+ROWS = "kind int, h long, s long, doc long, at long"
+PIECES = ROWS + ", shard long, by_right int, by_left int, ext binary"
+DEAL = "CASE WHEN kind = 1 THEN xxhash64(h, s) ELSE h END"
 
 
-ROWS = "h long, s long, doc long, at long"
+def _rows(kind, h, s, doc, at, **more) -> pa.RecordBatch:
+    kinds = np.full(len(h), kind, np.int32) if np.isscalar(kind) else np.asarray(kind, np.int32)
+    return pa.record_batch({"kind": pa.array(kinds), **{k: pa.array(v, pa.int64()) for k, v in zip(("h", "s", "doc", "at"), (h, s, doc, at))}, **more})
 
 
-def _intervals(doc, a, b) -> pa.RecordBatch:
-    """Decided intervals as rows of the same form: ``at`` is negative and holds the start, ``s`` the end."""
+def _intervals(doc, a, b):
+    """Decided intervals in the form of rows: h is free, s the end and ``at`` the start."""
     doc, a, b = _joined(doc, a, b)
-    return _rows(mix(doc.astype(np.uint64)).view(np.int64), b, doc, -1 - a)
+    return DECIDED, mix(doc.astype(np.uint64)).view(np.int64), b, doc, a
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list = []
-    n = 0
+def _told(h: np.ndarray):
+    """Rows that tell of crowded values of h."""
+    h = np.unique(h)
+    return SINGLE, h, np.zeros_like(h), np.zeros_like(h), np.full(len(h), NO_PLACE)
 
-    def reduced():
-        h, s, doc, at = (np.concatenate(x) for x in zip(*held))
-        order, first = _first_of_each(h, s, doc, at)
-        lost = order[~first]
-        x0, many, _ = _parts(at[lost])
-        yield _intervals(doc[lost], x0, x0 + many - 1 + LENGTH)
-        keep = order[first]
-        for i in range(0, len(keep), 50_000):
-            k = keep[i : i + 50_000]
-            yield _rows(h[k], s[k], doc[k], at[k])
 
-    for batch in batches:
-        docs = batch.column("doc").to_numpy()
-        for s in slices(batch.column("text"), MARK_SLICE):
-            text, x0, many, place, h = marks(s)
-            around = hash_words(s.data, x0, x0 + many - 1 + LENGTH)
-            offset = place - x0
-            around = mix(around + offset.astype(np.uint64))
-            held.append((h.view(np.int64), around.view(np.int64), docs[s.rows.start + text], _at(x0 - s.offsets[text], many, offset)))
-            n += len(h)
-            if n >= HELD:
-                yield from reduced()
-                held, n = [], 0
-    if n:
-        yield from reduced()
+def _pieces(s: Slice) -> Iterator[tuple[Slice, int]]:
+    """A slice, or the parts of one very long text, with where each begins; every window lies in one part."""
+    if len(s) > 1 or len(s.data) <= 2 * MARK_SLICE:
+        yield s, 0
+        return
+    for at in range(0, len(s.data) - LENGTH + 1, MARK_SLICE):
+        part = s.data[at : at + MARK_SLICE + LENGTH - 1]
+        yield Slice(part, np.array([0, len(part)]), s.rows), at
 
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, s, doc, at), all of an h together: decided intervals, and the marks whose bytes are needed.
+def _mark(held: int, kinds: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = _Held(held)
+
+        def out():
+            h, s, doc, at = gathered.take()
+            lost, keep, crowd = _reduced(h, s, doc, at, kinds)
+            x0, many, _ = _parts(at[lost])
+            yield _rows(*_intervals(doc[lost], x0, x0 + many - 1 + LENGTH))
+            yield _rows(*_told(h[keep[crowd]]))
+            for i in range(0, len(keep), 50_000):
+                k = keep[i : i + 50_000]
+                yield _rows(crowd[i : i + 50_000], h[k], s[k], doc[k], at[k])
 
-    Needed marks come as (h, hot, doc, at).
-    """
-    held = None
-
-    def done(h, s, doc, at):
-        new_h = np.ones(len(h), bool)
-        new_h[1:] = h[1:] != h[:-1]
-        first = new_h.copy()
-        first[1:] |= s[1:] != s[:-1]
-        kinds = np.add.reduceat(first.astype(np.int64), np.flatnonzero(new_h))[np.cumsum(new_h) - 1]
-        lost = ~first
-        x0, many, _ = _parts(at[lost])
-        yield _intervals(doc[lost], x0, x0 + many - 1 + LENGTH)
-        need = first & (kinds > 1)
-        yield _rows(h[need], (kinds[need] > HOT).astype(np.int64), doc[need], at[need])
+        for batch in batches:
+            docs = batch.column("doc").to_numpy()
+            for whole in slices(batch.column("text"), MARK_SLICE):
+                for s, begin in _pieces(whole):
+                    text, x0, many, place, h = marks(s)
+                    offset = place - x0
+                    around = mix(hash_words(s.data, x0, x0 + many - 1 + LENGTH) + offset.astype(np.uint64))
+                    at = _at(x0 - s.offsets[text] + begin, many, offset)
+                    if gathered.add(h.view(np.int64), around.view(np.int64), docs[s.rows.start + text], at):
+                        yield from out()
+        if gathered.n:
+            yield from out()
 
+    return run
+
+
+def _settled(batches: Iterator[pa.RecordBatch], columns: tuple, single, crowded, decided) -> Iterator[pa.RecordBatch]:
+    """Goes through rows sorted by (kind, h, s, doc, at).
+
+    ``single`` gets the columns of SINGLE rows, all of an h together, ``crowded``
+    those of CROWDED rows with which of them are the first of their (h, s), and
+    ``decided`` the others. What is held back are the rows of the last h, which has
+    at most a few rows from each task, or the last (h, s).
+    """
+    held, last = None, None
     for batch in batches:
-        h, s, doc, at = (batch.column(c).to_numpy() for c in ("h", "s", "doc", "at"))
-        settled = at < 0
-        if settled.any():
-            yield _rows(h[settled], s[settled], doc[settled], at[settled])
-            h, s, doc, at = h[~settled], s[~settled], doc[~settled], at[~settled]
+        kind = batch.column("kind").to_numpy()
+        all_ = [_fixed(batch.column(c)) if c == "ext" else batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        own = [c[kind == SINGLE] for c in all_]
         if held is not None:
-            h, s, doc, at = (np.concatenate(x) for x in zip(held, (h, s, doc, at)))
-        if not len(h):
-            continue
-        cut_ = int(np.searchsorted(h, h[-1], "left"))
-        held = (h[cut_:], s[cut_:], doc[cut_:], at[cut_:])
-        if cut_:
-            yield from done(h[:cut_], s[:cut_], doc[:cut_], at[:cut_])
-    if held is not None and len(held[0]):
-        yield from done(*held)
+            own = [np.concatenate(x) for x in zip(held, own)]
+        if len(own[0]):
+            end = int(np.searchsorted(own[0], own[0][-1], "left")) if not (kind != SINGLE).any() else len(own[0])
+            if end:
+                yield from single(*(c[:end] for c in own))
+            held = [c[end:] for c in own] if end < len(own[0]) else None
+        own = [c[kind == CROWDED] for c in all_]
+        if len(own[0]):
+            first = _new(own[0], own[1])
+            first[0] &= last != (own[0][0], own[1][0])
+            last = (own[0][-1], own[1][-1])
+            yield from crowded(first, *own)
+        own = [c[kind == DECIDED] for c in all_]
+        if len(own[0]):
+            yield from decided(*own[:4])
+    if held is not None:
+        yield from single(*held)
 
 
-SEGMENTS = "h long, s long, doc long, at long, bytes binary"
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks by (kind, h, s, doc, at): intervals, and the marks whose surroundings have to be looked at."""
 
+    def lose(doc, at):
+        x0, many, _ = _parts(at)
+        return _rows(*_intervals(doc, x0, x0 + many - 1 + LENGTH))
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes around needed marks; hot ones as the hash of each window, after what the task can decide itself."""
+    def single(h, s, doc, at):
+        place = at != NO_PLACE
+        new = _new(h)
+        several = _of_each(new, ~place) > 0
+        first = _new(h, s, place) & place
+        several |= _of_each(new, first) > 1
+        yield lose(doc[place & ~first], at[place & ~first])
+        need = first & several
+        yield _rows(SINGLE, h[need], s[need], doc[need], at[need])
 
-    def out(h, s, doc, at, blobs):
-        return pa.record_batch({
-            "h": pa.array(h, pa.int64()), "s": pa.array(s, pa.int64()), "doc": pa.array(doc, pa.int64()), "at": pa.array(at, pa.int64()), "bytes": blobs,
-        })
+    def crowded(first, h, s, doc, at):
+        yield lose(doc[~first], at[~first])
+        yield _rows(SINGLE, h[first], s[first], doc[first], at[first])
 
-    nothing = lambda n: pa.nulls(n, pa.binary())
-    hot: list = []
-    n_hot = 0
+    def decided(h, s, doc, at):
+        yield _rows(DECIDED, h, s, doc, at)
 
-    def windows():
-        h, doc, x = (np.concatenate(c) for c in zip(*hot))
-        order, first = _first_of_each(h, np.zeros(len(h), np.int64), doc, x)
-        lost = order[~first]
-        d, a, b = _joined(doc[lost], x[lost], x[lost] + LENGTH)
-        yield out(mix(d.astype(np.uint64)).view(np.int64), b, d, -1 - a, nothing(len(d)))
-        k = order[first]
-        for i in range(0, len(k), 50_000):
-            p = k[i : i + 50_000]
-            yield out(h[p], np.full(len(p), 1), doc[p], x[p], nothing(len(p)))
+    yield from _settled(batches, ("h", "s", "doc", "at"), single, crowded, decided)
+
+
+def _fixed(column: pa.Array) -> np.ndarray:
+    """Binary values of EXT bytes (nulls as zeros) as rows of bytes."""
+    out = np.zeros((len(column), EXT), np.uint8)
+    have = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    if len(have):
+        out[have] = np.frombuffer(b"".join(column.take(pa.array(have)).to_pylist()), np.uint8).reshape(-1, EXT)
+    return out
+
+
+def _folded(h: np.ndarray, ext: np.ndarray) -> np.ndarray:
+    """A hash of rows of EXT bytes, begun with ``h``."""
+    out = h.view(np.uint64)
+    for part in np.ascontiguousarray(ext).view("<u8").T:
+        out = mix(out * _C[0] + part)
+    return out.view(np.int64)
 
-    for batch in batches:
-        docs = batch.column("doc").to_numpy()
-        lists = batch.column("marks")
-        of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-        flat = lists.flatten()
-        h, is_hot, at = (flat.field(c).to_numpy() for c in ("h", "s", "at"))
-        for s in slices(batch.column("text")):
-            here = np.flatnonzero((of >= s.rows.start) & (of < s.rows.stop))
-            if not len(here):
-                continue
-            x0, many, _ = _parts(at[here])
-            start = s.offsets[of[here] - s.rows.start] + x0
-            wide = is_hot[here] == 1
-            raw = s.data.tobytes()
-            some = np.flatnonzero(~wide)
-            size = many[some] - 1 + LENGTH
-            blobs = pa.array([raw[i : i + w] for i, w in zip(start[some].tolist(), size.tolist())], pa.binary())
-            for i in range(0, len(some), 10_000):
-                p = here[some[i : i + 10_000]]
-                yield out(h[p], np.zeros(len(p), np.int64), docs[of[p]], at[p], blobs.slice(i, len(p)))
-            some = np.flatnonzero(wide)
-            if len(some):
-                n = many[some]
-                each = np.repeat(np.arange(len(some)), n)
-                i = np.arange(len(each)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-                begin = start[some][each] + i
-                key = mix(hash_words(s.data, begin, begin + LENGTH) ^ h[here[some]][each].view(np.uint64))
-                hot.append((key.view(np.int64), docs[of[here[some]]][each], x0[some][each] + i))
-                n_hot += len(key)
-                if n_hot >= HELD:
-                    yield from windows()
-                    hot, n_hot = [], 0
-    if n_hot:
-        yield from windows()
 
+def _sides(data: np.ndarray, core: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The bytes that windows have beyond their core: left of it from the core outwards, right of it, and which windows there are."""
+    k = np.arange(STEP - 1)
+    ext = np.zeros((len(core), EXT), np.uint8)
+    ext[:, : STEP - 1] = np.where(k < high[:, None], data[np.maximum(core[:, None] - 1 - k, 0)], 0)
+    ext[:, STEP - 1 : 2 * STEP - 2] = np.where(k < STEP - 1 - low[:, None], data[np.minimum(core[:, None] + CORE + k, len(data) - 1)], 0)
+    ext[:, -2], ext[:, -1] = low, high
+    return ext
 
-def resolve(h, doc, at, blobs: list[bytes]):
-    """Decided intervals (doc, a, b) of marks sorted by (h, doc, at), given the bytes of each one's windows."""
+
+def _bare(kind, h, s, doc, at) -> pa.RecordBatch:
+    """Rows in the form of pieces, without bytes."""
+    n = len(h)
+    none = pa.array(np.zeros(n, np.int32))
+    return _rows(kind, h, s, doc, at, shard=pa.array(np.zeros(n, np.int64)), by_right=none, by_left=none, ext=pa.nulls(n, pa.binary()))
+
+
+def _extract(held: int, kinds: int):
+    """From texts with their needed marks: pieces of up to STEP windows that share a core of CORE bytes, with the bytes beyond it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = _Held(held)
+        shard = TaskContext.get().partitionId() << 24
+
+        def out():
+            nonlocal shard
+            h, s, doc, at, ext = gathered.take()
+            lost, keep, crowd = _reduced(h, s, doc, at, kinds)
+            x0, many, _ = _parts(at[lost])
+            yield _bare(*_intervals(doc[lost], x0, x0 + many - 1 + LENGTH))
+            yield _bare(*_told(h[keep[crowd]]))
+            # the shard's own orders: by group and bytes to the right, and by group and bytes to the left
+            h, s, doc, at, ext = (c[keep] for c in (h, s, doc, at, ext))
+            wide = np.zeros((len(h), 48), np.uint8)
+            wide[:, : STEP - 1], wide[:, 24 : 23 + STEP] = ext[:, : STEP - 1], ext[:, STEP - 1 : 2 * STEP - 2]
+            words = wide.view(">u8").astype(np.uint64)
+            left, right = [words[:, i] for i in (2, 1, 0)], [words[:, i] for i in (5, 4, 3)]
+            places = []
+            for side in (right, left):
+                place = np.empty(len(h), np.int32)
+                place[np.lexsort((*side, h))] = np.arange(len(h), dtype=np.int32)
+                places.append(place)
+            for i in range(0, len(h), 20_000):
+                p = slice(i, i + 20_000)
+                blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(EXT), len(h[p]), [None, pa.py_buffer(ext[p].tobytes())]).cast(pa.binary())
+                yield _rows(crowd[p], h[p], s[p], doc[p], at[p], shard=pa.array(np.full(len(h[p]), shard)), by_right=pa.array(places[0][p]), by_left=pa.array(places[1][p]), ext=blob)
+            shard += 1
+
+        for batch in batches:
+            docs = batch.column("doc").to_numpy()
+            lists = batch.column("marks")
+            of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            h, at = (flat.field(c).to_numpy() for c in ("h", "at"))
+            for s in slices(batch.column("text")):
+                here = np.flatnonzero((of >= s.rows.start) & (of < s.rows.stop))
+                for block in range(0, len(here), 1 << 14):
+                    some = here[block : block + (1 << 14)]
+                    x0, many, offset = _parts(at[some])
+                    for g in range(0, SPAN, STEP):
+                        # windows with g to g + STEP - 1 bytes before the mark
+                        low, high = np.maximum(offset - many + 1, g), np.minimum(offset, g + STEP - 1)
+                        k = np.flatnonzero(low <= high)
+                        low, high = low[k], high[k]
+                        core = x0[k] + offset[k] - g
+                        start = core + s.offsets[of[some[k]] - s.rows.start]
+                        key = mix(hash_words(s.data, start, start + CORE) ^ (h[some[k]].view(np.uint64) + np.uint64(g)))
+                        ext = _sides(s.data, start, low - g, high - g)
+                        where = _at(core + g - high, high - low + 1, high - g)
+                        if gathered.add(key.view(np.int64), _folded(key, ext), docs[of[some[k]]], where, ext):
+                            yield from out()
+        if gathered.n:
+            yield from out()
+
+    return run
+
+
+def resolve(h, doc, at, shard, by_right, by_left, ext):
+    """Decided intervals (doc, a, b) of pieces, all of an h together; equal windows are those whose both common prefixes reach far enough."""
+    order = np.lexsort((at, doc, h))
+    h, doc, at, shard, by_right, by_left, ext = (c[order] for c in (h, doc, at, shard, by_right, by_left, ext))
     n = len(h)
-    x0, many, offset = _parts(at)
-    size = many - 1 + LENGTH
-    flat = np.frombuffer(b"".join(blobs), np.uint8)
-    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-    column = np.arange(LENGTH)
-    right = np.where(offset[:, None] + column < size[:, None], flat[np.minimum(begin[:, None] + offset[:, None] + column, len(flat) - 1)], 0).astype(np.uint8)
-    column = np.arange(SPAN - 1)
-    left = np.where(column < offset[:, None], flat[np.maximum(begin[:, None] + offset[:, None] - 1 - column, 0)], 0).astype(np.uint8)
-    group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
+    x0, many, high = _parts(at)
+    low = high - many + 1
+    group = np.cumsum(_new(h))
     sides = []
-    for strings in (left, right):
-        starts = [i + shard_order(group[i : i + SHARD], strings[i : i + SHARD]) for i in range(0, n, SHARD)]
-        sides.append(merge(group, strings, np.concatenate(starts)))
-    lost = np.zeros((n, SPAN), bool)
-    for o in range(SPAN):
-        # windows with o bytes before the mark
-        i = offset - o
-        rows = np.flatnonzero((i >= 0) & (i < many))
+    for place, strings in ((by_left, ext[:, : STEP - 1]), (by_right, ext[:, STEP - 1 : 2 * STEP - 2])):
+        lie = np.lexsort((place, shard))  # shard after shard, each in its own order
+        merged, common = merge(shard[lie], group[lie], strings[lie])
+        sides.append((lie[merged], common))
+    lost = np.zeros((n, STEP), bool)
+    for e in range(STEP):
+        rows = np.flatnonzero((low <= e) & (e <= high))
         if len(rows) < 2:
             continue
-        key = classes(*sides[0], o)[rows] * (n + 1) + classes(*sides[1], LENGTH - o)[rows]
+        key = classes(*sides[0], e)[rows] * (n + 1) + classes(*sides[1], STEP - 1 - e)[rows]
         _, first, back = np.unique(key, return_index=True, return_inverse=True)
         later = rows[first[back] != np.arange(len(rows))]
-        lost[later, i[later]] = True
-    row, i = np.nonzero(lost)
-    return _joined(doc[row], x0[row] + i, x0[row] + i + LENGTH)
-
-
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, s, doc, at): intervals (doc, a, b)."""
-    held: list = []
-    n = 0
-
-    def out(doc, a, b):
-        return pa.record_batch({"doc": pa.array(doc, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    def chunk(last: bool):
-        nonlocal held, n
-        h, s, doc, at = (np.concatenate([x[i] for x in held]) for i in range(4))
-        blobs = [b for x in held for b in x[4]]
-        end = len(h) if last else int(np.searchsorted(h, h[-1], "left"))
-        held = [(h[end:], s[end:], doc[end:], at[end:], blobs[end:])]
-        n = len(h) - end
-        h, s, doc, at, blobs = h[:end], s[:end], doc[:end], at[:end], blobs[:end]
-        by_window = np.flatnonzero(s == 1)
-        if len(by_window):
-            k = h[by_window]
-            later = by_window[np.concatenate([[False], k[1:] == k[:-1]])]
-            yield out(*_joined(doc[later], at[later], at[later] + LENGTH))
-        rest = np.flatnonzero(s == 0)
-        if len(rest):
-            yield out(*resolve(h[rest], doc[rest], at[rest], [blobs[i] for i in rest.tolist()]))
+        lost[later, e] = True
+    row, e = np.nonzero(lost)
+    begin = x0[row] + high[row] - e
+    return _joined(doc[row], begin, begin + LENGTH)
+
+
+FOUND = "h long, w long, doc long, a long, b long"
 
+
+def _resolve(held: int, chunk: int):
+    """Pieces by (kind, h, s, doc, at): intervals (doc, a, b), and windows (h, w, doc, a) of crowded groups, without an end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, merging = _Held(held), _Held(chunk)
+
+        def rows(h, w, doc, a, b):
+            return pa.record_batch({k: pa.array(v, pa.int64()) for k, v in zip(("h", "w", "doc", "a", "b"), (h, w, doc, a, b))})
+
+        def found(doc, a, b):
+            return rows(doc, doc, doc, a, b)
+
+        def lose(doc, at):
+            x0, many, _ = _parts(at)
+            return found(*_joined(doc, x0, x0 + many - 1 + LENGTH))
+
+        def windows():
+            h, w, doc, a = gathered.take()
+            order = np.lexsort((a, doc, w, h))
+            first = _new(h[order], w[order])
+            lost = order[~first]
+            yield found(*_joined(doc[lost], a[lost], a[lost] + LENGTH))
+            keep = order[first]
+            for i in range(0, len(keep), 50_000):
+                k = keep[i : i + 50_000]
+                yield rows(h[k], w[k], doc[k], a[k], np.full(len(k), -1))
+
+        def each_window(h, doc, at, ext):
+            x0, many, high = _parts(at)
+            k = np.arange(STEP - 1)
+            for e in range(STEP):
+                some = np.flatnonzero((high - many < e) & (e <= high))
+                own = np.zeros((len(some), EXT), np.uint8)
+                own[:, : STEP - 1] = np.where(k < e, ext[some, : STEP - 1], 0)
+                own[:, STEP - 1 : 2 * STEP - 2] = np.where(k < STEP - 1 - e, ext[some, STEP - 1 : 2 * STEP - 2], 0)
+                own[:, -1] = e
+                if len(some) and gathered.add(h[some], _folded(h[some], own), doc[some], x0[some] + high[some] - e):
+                    yield from windows()
+
+        def single(h, s, doc, at, shard, by_right, by_left, ext):
+            place = at != NO_PLACE
+            new = _new(h)
+            told = _of_each(new, ~place) > 0
+            first = _new(h, s, place) & place
+            yield lose(doc[place & ~first], at[place & ~first])
+            some = first & told
+            yield from each_window(h[some], doc[some], at[some], ext[some])
+            some = first & ~told & (_of_each(new, first) > 1)
+            if some.any() and merging.add(*(c[some] for c in (h, doc, at, shard, by_right, by_left, ext))):
+                yield found(*resolve(*merging.take()))
+
+        def crowded(first, h, s, doc, at, shard, by_right, by_left, ext):
+            yield lose(doc[~first], at[~first])
+            yield from each_window(h[first], doc[first], at[first], ext[first])
+
+        def decided(h, s, doc, at):
+            yield found(doc, at, s)
+
+        yield from _settled(batches, ("h", "s", "doc", "at", "shard", "by_right", "by_left", "ext"), single, crowded, decided)
+        if merging.n:
+            yield found(*resolve(*merging.take()))
+        if gathered.n:
+            yield from windows()
+
+    return run
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows by (h, w, doc, a): the intervals (doc, a, b) of all but the first of each (h, w)."""
+    last = None
     for batch in batches:
-        h, s, doc, at = (batch.column(c).to_numpy() for c in ("h", "s", "doc", "at"))
-        settled = at < 0
-        if settled.any():
-            yield out(doc[settled], -1 - at[settled], s[settled])
-        keep = np.flatnonzero(~settled)
-        blobs = batch.column("bytes").take(pa.array(keep)).to_pylist()
-        held.append((h[keep], s[keep], doc[keep], at[keep], blobs))
-        n += len(keep)
-        if n >= CHUNK:
-            yield from chunk(False)
-    if n:
-        yield from chunk(True)
+        h, w, doc, a = (batch.column(c).to_numpy() for c in ("h", "w", "doc", "a"))
+        if not len(h):
+            continue
+        first = _new(h, w)
+        first[0] &= last != (h[0], w[0])
+        last = (h[-1], w[-1])
+        doc, a, b = _joined(doc[~first], a[~first], a[~first] + LENGTH)
+        yield pa.record_batch({"doc": pa.array(doc, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _cut(as_text: bool):
@@ -395,16 +553,23 @@ def _texts(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return picked.join(lists, "doc")
 
 
-def repeated_parts(docs: DataFrame, as_text: bool = False) -> DataFrame:
-    """doc, n_removed, n_spans and ``rest`` (what remains, as bytes or text) of the documents(doc, text) that lose bytes."""
+def repeated_parts(docs: DataFrame, as_text: bool = False, held: int = HELD, kinds: int = KINDS, chunk: int = CHUNK) -> DataFrame:
+    """doc, n_removed, n_spans and ``rest`` (what remains, as bytes or text) of the documents(doc, text) that lose bytes.
+
+    ``held`` rows a task reduces at once; ``kinds`` from which a group is crowded;
+    ``chunk`` rows are merged at once. None of these changes the result.
+    """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = bounded(docs).select("doc", "text").mapInArrow(frugal(_mark), ROWS)
-    decided = table(found.repartition(n, "h").sortWithinPartitions("h", "s", "doc", "at").mapInArrow(frugal(_decide), ROWS), "suffix-marks")
-    needed = cut(decided.where("at >= 0").groupBy("doc").agg(F.collect_list(F.struct("h", "s", "at")).alias("marks")))
-    segments = _texts(docs, needed).select("doc", "text", "marks").mapInArrow(frugal(_extract), SEGMENTS)
-    resolved = segments.repartition(n, "h").sortWithinPartitions("h", "s", "doc", "at").mapInArrow(frugal(_resolve), "doc long, a long, b long")
-    early = decided.where("at < 0").select("doc", (-1 - F.col("at")).alias("a"), F.col("s").alias("b"))
-    spans = table(early.unionByName(resolved).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "suffix-spans")
+    deal = lambda df: df.repartition(n, F.expr(DEAL)).sortWithinPartitions("kind", "h", "s", "doc", "at")
+    found = bounded(docs).select("doc", "text").mapInArrow(frugal(_mark(held, kinds)), ROWS)
+    decided = table(deal(found).mapInArrow(frugal(_decide), ROWS), "suffix-marks")
+    needed = cut(decided.where(F.col("kind") == SINGLE).groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("marks")))
+    pieces = _texts(docs, needed).select("doc", "text", "marks").mapInArrow(frugal(_extract(held, kinds)), PIECES)
+    resolved = table(deal(pieces).mapInArrow(frugal(_resolve(held, chunk)), FOUND), "suffix-pieces")
+    windows = resolved.where("b < 0").repartition(n, "h", "w").sortWithinPartitions("h", "w", "doc", "a").mapInArrow(frugal(_later), "doc long, a long, b long")
+    early = decided.where(F.col("kind") == DECIDED).select("doc", F.col("at").alias("a"), F.col("s").alias("b"))
+    all_ = early.unionByName(resolved.where("b >= 0").select("doc", "a", "b")).unionByName(windows)
+    spans = table(all_.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "suffix-spans")
     return _texts(docs, spans).select("doc", "text", "spans").mapInArrow(
         frugal(_cut(as_text)), f"doc long, n_removed long, n_spans long, rest {'string' if as_text else 'binary'}"
     )

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from mensura.llm import graph, licenses, maxscore, minhash, packing, ppm, registry, source_mix, suffix_dedup
 from mensura.llm._text import hash_words, shingles, slices
-from mensura.llm.interleave import classes, merge, shard_order
+from mensura.llm.interleave import classes, merge
 
 SF = "/root/testdata/sf0.001"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,29 +95,24 @@ def test_suffix_dedup_on_hard_rows(spark, tmp_path, seed):
     dedup_check(spark, pairs, tmp_path)
 
 
-def test_suffix_dedup_of_hot_marks(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+@pytest.mark.parametrize("kinds,held,chunk", [(0, 64, 50), (1, 200, 10), (2, 1 << 18, 1 << 14), (10**6, 100, 10**6), (10**6, 100, 5)])
+def test_suffix_dedup_of_crowded_marks(spark, kinds, held, chunk):
     r = random.Random(9)
     passage = "".join(r.choice("abcdefghij ") for _ in range(260))
-    pairs = [(i, "".join(r.choice("klmnop ") for _ in range(150)) + passage + "".join(r.choice("qrstuv ") for _ in range(r.randint(0, 150)))) for i in range(40)]
-    docs = spark.createDataFrame(pairs, "doc long, text string")
-    found = list(suffix_dedup._mark(iter([pa.record_batch({"doc": pa.array([p[0] for p in pairs]), "text": pa.array([p[1] for p in pairs])})])))
-    rows = pa.Table.from_batches(found).to_pandas().sort_values(["h", "s", "doc", "at"])
-    decided = pa.Table.from_batches(list(suffix_dedup._decide(iter([pa.RecordBatch.from_pandas(rows, preserve_index=False)])))).to_pandas()
-    need = decided[decided["at"] >= 0]
-    assert (need.s == 1).any()
-    lists = need.groupby("doc").apply(lambda g: [{"h": a, "s": b, "at": c} for a, b, c in zip(g.h, g.s, g["at"])], include_groups=False)
-    texts = dict(pairs)
-    batch = pa.record_batch({"doc": pa.array(lists.index), "text": pa.array([texts[i] for i in lists.index]), "marks": pa.array(lists.tolist())})
-    cuts = pa.Table.from_batches(list(suffix_dedup._extract(iter([batch])))).to_pandas().sort_values(["h", "s", "doc", "at"])
-    schema = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())])
-    done = pa.Table.from_batches(list(suffix_dedup._resolve(iter(pa.Table.from_pandas(cuts, schema, preserve_index=False).to_batches())))).to_pandas()
-    early = decided[decided["at"] < 0]
-    gone = {i: np.zeros(len(t), bool) for i, t in pairs}
-    for doc, a, b in [*zip(done.doc, done.a, done.b), *zip(early.doc, -1 - early["at"], early.s)]:
-        gone[doc][a:b] = True
-    assert [int(gone[i].sum()) for i, _ in pairs] == [x[1] for x in brute_dedup(pairs)]
-    assert docs.count() == 40
+    line = "".join(r.choice("vwxyz ") for _ in range(95))
+    noise = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    pairs = [(i, noise("kl", 150) + passage + noise("qrs", r.randint(0, 150)) + noise("kl", 3) + line + noise("qr", 3) + noise("mn", 90)) for i in range(60)]
+    docs = spark.createDataFrame(pairs, "doc long, text string").repartition(3)
+    got = {x["doc"]: (x["n_removed"], x["n_spans"]) for x in suffix_dedup.repeated_parts(docs, held=held, kinds=kinds, chunk=chunk).collect()}
+    assert [got.get(i, (0, 0)) for i, _ in pairs] == [x[1:3] for x in brute_dedup(pairs)]
+
+
+def test_suffix_dedup_of_parts_of_a_long_text(spark, tmp_path):
+    r = random.Random(4)
+    long = " ".join(str(r.randrange(10**9)) for _ in range(320_000))
+    passage = long[suffix_dedup.MARK_SLICE - 300 : suffix_dedup.MARK_SLICE + 300]
+    assert len(long) > 3 * suffix_dedup.MARK_SLICE
+    dedup_check(spark, [(1, passage), (2, long), (3, long[-250:])], tmp_path)
 
 
 def test_suffix_dedup_keeps_columns(spark, odd_dir):
@@ -129,18 +124,26 @@ def test_suffix_dedup_keeps_columns(spark, odd_dir):
 @given(st.lists(st.tuples(st.integers(0, 2), st.binary(min_size=4, max_size=4).map(lambda b: bytes(x % 3 for x in b))), min_size=1, max_size=40), st.integers(1, 9))
 @settings(max_examples=80, deadline=None)
 def test_merge_by_interleave_refinement(rows, shard):
-    rows = sorted(rows, key=lambda r: r[0])
-    group = np.array([g for g, _ in rows])
-    strings = np.array([list(s) for _, s in rows], np.uint8)
-    starts = [i + shard_order(group[i : i + shard], strings[i : i + shard]) for i in range(0, len(rows), shard)]
-    order, common = merge(group, strings, np.concatenate(starts))
-    assert [rows[i] for i in order] == sorted(rows)
+    laid = [(i, *x) for i in range(0, len(rows), shard) for x in sorted(rows[i : i + shard])]
+    number, group = np.array([x[0] for x in laid]), np.array([x[1] for x in laid])
+    strings = np.array([list(x[2]) for x in laid], np.uint8)
+    order, common = merge(number, group, strings)
+    assert [laid[i][1:] for i in order] == sorted(rows)
     for depth in range(5):
         ids = classes(order, common, depth)
-        keys = [(g, s[:depth]) for g, s in rows]
+        keys = [(g, s[:depth]) for _, g, s in laid]
         assert all((ids[i] == ids[j]) == (keys[i] == keys[j]) for i in range(len(rows)) for j in range(len(rows)))
 
 
+def test_merge_relies_on_the_orders_of_shards():
+    strings = np.frombuffer(b"adbcabcd", np.uint8).reshape(8, 1)  # the first shard isn't sorted
+    order, _ = merge(np.repeat([0, 1], 4), np.zeros(8, int), strings)
+    assert bytes(strings[order, 0].tolist()) != b"aabbccdd"
+    strings = np.frombuffer(b"abcdabcd", np.uint8).reshape(8, 1)
+    order, _ = merge(np.repeat([0, 1], 4), np.zeros(8, int), strings)
+    assert bytes(strings[order, 0].tolist()) == b"aabbccdd"
+
+
 def test_ppm_and_base_scores(spark):
     got = {r["doc_id"]: r for r in registry.QUERIES["op7_ppm_scores"](spark, SF).collect()}
     d = documents()
