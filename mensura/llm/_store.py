@@ -9,7 +9,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20
 
@@ -71,3 +71,22 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_ROWS = 1_000_000
+SALTS = 32
+
+
+def meet(rows: DataFrame, other: DataFrame, key: list[str], spread: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` joined with ``other``, which holds a row or few a key, so that a key with very many rows isn't one task's.
+
+    ``other`` is computed and counted: up to ``most`` rows it is sent to all tasks;
+    beyond, rows of a key are dealt by the column ``spread`` over SALTS parts, to
+    each of which ``other`` is copied.
+    """
+    other = cut(other)
+    if other.count() <= most:
+        return rows.join(F.broadcast(other), key, how)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    copies = other.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, [*key, "__salt"], how).drop("__salt")

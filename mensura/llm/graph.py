@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm._store import cut
+from mensura.llm._store import cut, meet
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,16 +18,17 @@ def components(links: DataFrame) -> DataFrame:
     """
     ends = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     open_links = cut(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
-    labels = cut(open_links.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")))
-    while True:
-        hooks = cut(open_links.groupBy("u").agg(F.min("v").alias("up")).where("up < u"))
-        if hooks.isEmpty():
-            return labels
+    labels, turns = open_links.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")), 0
+    while not open_links.isEmpty():
+        hooks = open_links.groupBy("u").agg(F.min("v").alias("up")).where("up < u")
         once = hooks.alias("h").join(hooks.alias("g"), F.col("h.up") == F.col("g.u"), "left")
         twice = cut(once.select(F.col("h.u").alias("u"), F.coalesce("g.up", "h.up").alias("up")))
-        at = twice.select(F.col("u").alias("label"), "up")
-        labels = cut(labels.join(at, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
-        left = open_links.join(twice, "u", "left").select(F.coalesce("up", "u").alias("u"), "v")
-        right = twice.select(F.col("u").alias("v"), "up")
-        both = left.join(right, "v", "left").select("u", F.coalesce("up", "v").alias("v"))
-        open_links = cut(both.where("u <> v").distinct())
+        # many links may begin or end at one label
+        left = meet(open_links, twice, ["u"], "v", "left").select(F.coalesce("up", "u").alias("u"), "v")
+        right = meet(left, twice.select(F.col("u").alias("v"), "up"), ["v"], "u", "left").select("u", F.coalesce("up", "v").alias("v"))
+        open_links = cut(right.where("u <> v").distinct())
+        labels = meet(labels, twice.select(F.col("u").alias("label"), "up"), ["label"], "node", "left").select("node", F.coalesce("up", "label").alias("label"))
+        turns += 1
+        if turns % 3 == 0:
+            labels = cut(labels)
+    return cut(labels)

@@ -17,8 +17,10 @@ comparison (under half of 128 coordinates equal) with probability below 1e-9.
 
 Defined results: a null or empty text has no shingles, is linked with nothing and
 stays; fewer words than a shingle make one shingle of the whole sequence; rows of
-one id count as one document; rows without an id take no part and stay; an empty
-table gives an empty result; columns of other names are ignored.
+one id count as one document, which links all that any of its texts is like; rows
+without an id take no part and stay; an empty table gives an empty result;
+columns of other names are ignored. Sets are equal if their sizes and two 64-bit
+sums of hashed shingles are; all other links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mensura.llm._store import bounded, cut, frugal, table
+from mensura.llm._store import bounded, cut, frugal, meet, table
 from mensura.llm._text import LOWER, hash_words, mix, shingles, slices
 from mensura.llm.graph import components
 
@@ -209,19 +211,18 @@ def crowded_links(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> Data
 
 def placed(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, node, comp) of the buckets that still hold several components."""
-    known = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
-    split = cut(known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
-    return cut(known.join(split, "key"))
+    known = meet(shared, labels, ["node"], "key", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+    split = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return cut(meet(known, split, ["key"], "node"))
 
 
 def pivoted(members: DataFrame, turn: int) -> DataFrame:
     """Pairs of each bucket's members and one of them, another in every turn and bucket, across components."""
     mask = F.xxhash64("key", F.lit(turn))
     least = members.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("v"))
-    pivots = cut(least.select("key", F.col("v").bitwiseXOR(mask).alias("pivot")))
-    of = members.select("key", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"))
-    pivots = cut(pivots.join(of, ["key", "pivot"]).distinct())
-    met = members.join(pivots, "key").where("comp <> pivot_comp")
+    pivots = cut(least.select("key", F.col("v").bitwiseXOR(mask).alias("node")))
+    of = meet(members, pivots, ["key", "node"], "comp").select("key", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")).distinct()
+    met = meet(members, of, ["key"], "node").where("comp <> pivot_comp")
     return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
@@ -232,9 +233,9 @@ def across(members: DataFrame, nodes: DataFrame) -> DataFrame:
     component are sent to every block.
     """
     by = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    buckets = cut(by.groupBy("key").agg(F.sum("c").alias("c"), F.max_by("comp", "c").alias("main")))
+    buckets = by.groupBy("key").agg(F.sum("c").alias("c"), F.max_by("comp", "c").alias("main"))
     blocks = F.ceil(F.col("c") / COMPARE_BLOCK).cast("int")
-    dealt = members.join(buckets, "key").withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = meet(members, buckets, ["key"], "node").withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     outsider = F.col("comp") != F.col("main")
     dealt = dealt.withColumn("block", F.explode(F.when(outsider, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("mine"))))
     dealt = dealt.select("key", "block", "node", "comp", outsider.alias("outsider"), (F.col("block") == F.col("mine")).alias("member"))
@@ -247,18 +248,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = table(docs.select("doc_id", "text").mapInArrow(frugal(_sign), "doc_id long, n long, f1 long, f2 long, bands array<bigint>"), "minhash-signed")
     live = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     same = ["f1", "f2", "n"]
-    multi = cut(live.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    member = live.join(multi, same, "left").withColumn("node", F.coalesce("rep", "doc_id"))
+    multi = live.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+    member = meet(live, multi, same, "doc_id", "left").withColumn("node", F.coalesce("rep", "doc_id"))
     membership = table(member.select("doc_id", "node"), "minhash-classes")
     nodes = table(member.where("doc_id = node").select("node", "n", "bands"), "minhash-nodes")
 
     spread = nodes.select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("key"))
-    buckets = cut(spread.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"))
-    shared = table(spread.join(buckets, "key"), "minhash-buckets")
+    buckets = spread.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    shared = table(meet(spread, buckets, ["key"], "node"), "minhash-buckets")
     sets = shingle_sets(shared.select(F.col("node").alias("id")).distinct(), docs)
 
     none = spark.createDataFrame([], "a long, b long")
-    links, tested, labels, turn = none, none, none.select(F.col("a").alias("node"), F.col("b").alias("label")), 0
+    tested, turn = none, 0
+    # an id whose rows have different texts is one document, which belongs to the classes of all of them
+    ids = membership.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
+    links = cut(membership.join(ids, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    labels = components(links)
     while not (members := placed(shared, labels)).isEmpty():
         full = turn < 0
         if full:
@@ -278,7 +283,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # a turn of pivots that joins little is the last: what is left is compared in full, once
         tested, turn = tested.unionByName(found), turn + 1 if joined and joined * PIVOT_YIELD >= found.count() else -1
 
-    of = membership.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("component_id")).distinct()
+    of = meet(membership, labels, ["node"], "doc_id", "left").select("doc_id", F.coalesce("label", "node").alias("component_id"))
     least = F.col("component_id")
     out = signed.select("doc_id", "n").join(of.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(least, F.col("doc_id")).alias("component_id")).withColumn(
@@ -289,7 +294,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, and every document without an id.
 
-    Of rows that share an id the one with the least text hash stays.
+    Of rows that share an id the one with the least text hash stays, of those that
+    also share the text the one with the least hash of all columns.
     """
     gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     gone = cut(gone)
@@ -299,7 +305,7 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     if again.isEmpty():
         return stay
     single = stay.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
     several = stay.join(again, F.col("doc_id") == F.col("__again"), "left_semi").withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
     return single.unionByName(several)
 

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from mensura.llm import graph, licenses, maxscore, minhash, packing, ppm, registry, source_mix, suffix_dedup
+from mensura.llm import _store, graph, licenses, maxscore, minhash, packing, ppm, registry, source_mix, suffix_dedup
 from mensura.llm._text import hash_words, shingles, slices
 from mensura.llm.interleave import classes, merge
 
@@ -310,6 +310,50 @@ def test_near_duplicates_that_the_leader_misses(spark, monkeypatch):
     assert all(r["component_id"] == 0 and r["kept"] == (i == 0) for i, r in got.items()) and got[3]["n_shingles"] == 56
 
 
+def brute_components(rows):
+    """doc_id -> (sizes of its sets, least id reachable), by all pairs."""
+    sets = []
+    for i, text in rows:
+        w = SPACE.findall(lower(text))
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()))
+    up = {i: i for i, _ in rows}
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[x + 1 :]:
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return {i: root(i) for i, _ in rows}
+
+
+@pytest.mark.parametrize("crowd,salted", [(2, False), (48, True)])
+def test_near_duplicates_in_crowds(spark, monkeypatch, crowd, salted):
+    monkeypatch.setattr(minhash, "CROWD", crowd)
+    monkeypatch.setattr(minhash, "COMPARE_BLOCK", 8)
+    monkeypatch.setattr(minhash, "PIVOT_YIELD", 0.5)  # so that turns of pivots end early
+    if salted:
+        monkeypatch.setattr(_store.meet, "__defaults__", ("inner", 0))
+    r = random.Random(crowd)
+    rows = []
+    for family in range(2):
+        words = [f"f{family}w{i}" for i in range(70)]
+        for _ in range(30):
+            own = [w if r.random() > 0.02 else f"x{r.randrange(10**6)}" for w in words]
+            rows.append((len(rows) * 3 + 1, " ".join(own)))
+    rows += [(900, rows[5][1]), (901, rows[5][1]), (902, "a b"), (903, "A  b"), (904, ""), (905, None)]
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(5, text(1)), (9, text(1)), (9, text(2)), (12, text(2) + " more"), (13, text(2)), (14, text(3))]
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 5, 9: 5, 12: 5, 13: 5, 14: 14}
+
+
 def test_water_filling_shares_the_excess(spark):
     rows = [("a", 10, 5), ("b", 1000, 2), ("c", 100, 1)]
     got = {r["source"]: r["target"] for r in source_mix.water_fill(spark.createDataFrame(rows, "source string, source_size long, weight long"), 3).collect()}
