@@ -6,15 +6,17 @@ fills one sequence at a time: among the examples that still fit under all limits
 it takes the one whose demand has the largest dot product with what the sequence
 has left. Where examples may be cut, whole sequences' worth of a long example are
 cut off first, and what the heuristic leaves open is filled by cutting the pieces
-of the emptiest sequences; what remains at the end of a task is laid out in
-sequences whose sizes are powers of two, so that nothing is padded.
+of the emptiest sequences, under the same limits. A sequence that holds as many
+segments as it may but isn't full, and what remains at the end of a task, is laid
+out in sequences whose sizes are powers of two, so that nothing is padded.
 
 Tasks pack what they read, in windows of bounded size, so there is no shuffle
 and a repeated task gives the same sequences.
 
 Defined results: a null or empty text is the end id alone; a text of any length
 is cut as needed; equal rows are packed each; an empty table gives an empty
-result; columns of other names are ignored.
+result; rows without an id are packed like any other; columns of other names are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm._store import bounded, frugal
+from mensura.llm._store import bounded, frugal, table
 from mensura.llm._text import slices
 from mensura.llm.tokens import encoder
 
 TOKENS = 2048
 END_ID = 1
+SEGMENTS = 64
 WINDOW = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -65,10 +68,15 @@ def dot_product_pack(demand: np.ndarray, limits: np.ndarray) -> list[list[int]]:
 
 
 class _Packer:
-    """Places the pieces of a task; a piece is (doc_id, start, ids, doc_tokens)."""
+    """Places the pieces of a task; a piece is (doc_id, start, ids, doc_tokens).
 
-    def __init__(self, partition: int, tokens: int):
-        self.next, self.tokens, self.held, self.rows = partition << 33, tokens, [], []
+    A sequence holds at most ``tokens`` ids, ``segments`` pieces and ``loss`` ids
+    that bear loss, which are all of a piece but its first: nothing precedes it.
+    """
+
+    def __init__(self, partition: int, tokens: int, segments: int, loss: int):
+        self.next, self.held, self.rows = partition << 33, [], []
+        self.tokens, self.segments, self.loss = tokens, segments, loss
 
     def emit(self, pieces: list) -> None:
         offset = 0
@@ -78,56 +86,75 @@ class _Packer:
         self.next += 1
 
     def add(self, doc, ids: np.ndarray) -> None:
-        whole = len(ids) - len(ids) % self.tokens
-        for at in range(0, whole, self.tokens):
-            self.emit([(doc, at, ids[at : at + self.tokens], len(ids))])
-        if whole < len(ids):
-            self.held.append((doc, whole, ids[whole:].copy(), len(ids)))
+        most = min(self.tokens, self.loss + 1)  # what one piece may hold
+        whole = len(ids) - len(ids) % most if most == self.tokens else 0
+        for at in range(0, whole, most):
+            self.emit([(doc, at, ids[at : at + most], len(ids))])
+        for at in range(whole, len(ids), most):
+            self.held.append((doc, at, ids[at : at + most].copy(), len(ids)))
         if len(self.held) >= WINDOW:
             self.pack()
 
+    def room(self, pieces: list) -> int:
+        """Ids that one more piece of a sequence may have."""
+        if len(pieces) >= self.segments:
+            return 0
+        size = sum(len(p[2]) for p in pieces)
+        return max(0, min(self.tokens - size, self.loss - (size - len(pieces)) + 1))
+
+    def cut(self, pieces: list, most: int) -> tuple[list, list]:
+        """As many of the pieces as have ``most`` ids, the last of them cut, and the rest."""
+        taken, rest = [], list(pieces)
+        while most and rest:
+            doc, start, ids, total = rest.pop(0)
+            taken.append((doc, start, ids[:most], total))
+            if len(ids) > most:
+                rest.insert(0, (doc, start + most, ids[most:], total))
+            most -= len(taken[-1][2])
+        return taken, rest
+
+    def short(self, pieces: list) -> list:
+        """Lays out pieces that fit into one sequence but don't fill it: the largest power of two of their ids; returns the rest."""
+        size = sum(len(p[2]) for p in pieces)
+        taken, rest = self.cut(pieces, 1 << (size.bit_length() - 1))
+        self.emit(taken)
+        return rest
+
     def pack(self) -> list:
-        """Packs what is held, and keeps the pieces of the one sequence that isn't full."""
+        """Packs what is held, and keeps the pieces of the one sequence that isn't full and what short sequences left over."""
         size = np.array([len(p[2]) for p in self.held])
-        limits = np.array([self.tokens, self.tokens, self.tokens])
-        demand = np.stack([size, np.ones_like(size), size], axis=1)
-        groups = [[self.held[i] for i in g] for g in dot_product_pack(demand, limits)]
+        demand = np.stack([size, np.ones_like(size), size - 1], axis=1)
+        groups = [[self.held[i] for i in g] for g in dot_product_pack(demand, np.array([self.tokens, self.segments, self.loss]))]
         load = lambda g: sum(len(p[2]) for p in g)
         for g in [g for g in groups if load(g) == self.tokens]:
             self.emit(g)
-        rest = sorted((g for g in groups if load(g) < self.tokens), key=load)
+        rest, over = sorted((g for g in groups if load(g) < self.tokens), key=load), []
         while len(rest) > 1:
             into = rest.pop()
-            room = self.tokens - load(into)
-            while room and rest:
-                doc, start, ids, total = rest[0].pop()
-                part = ids[:room]
-                into.append((doc, start, part, total))
-                room -= len(part)
-                if len(part) < len(ids):
-                    rest[0].append((doc, start + len(part), ids[len(part) :], total))
+            while rest and (room := self.room(into)):
+                taken, left = self.cut(rest[0][-1:], room)
+                into += taken
+                rest[0] = rest[0][:-1] + left
                 if not rest[0]:
                     rest.pop(0)
-            if room:
-                rest.append(into)
+            if load(into) == self.tokens:
+                self.emit(into)
+            elif self.room(into):
+                rest.append(into)  # nothing is left to fill it with
                 break
-            self.emit(into)
-        self.held = rest[0] if rest else []
+            else:
+                over += self.short(into)
+        self.held = [*(rest[0] if rest else []), *over]
         return self.held
 
     def finish(self) -> None:
-        left = self.pack() if self.held else []
-        while left:
-            room = 1 << (min(self.tokens, sum(len(p[2]) for p in left)).bit_length() - 1)
-            pieces = []
-            while room:
-                doc, start, ids, total = left.pop(0)
-                pieces.append((doc, start, ids[:room], total))
-                if len(ids) > room:
-                    left.insert(0, (doc, start + room, ids[room:], total))
-                room -= min(room, len(ids))
-            self.emit(pieces)
-        self.held = []
+        while self.held:
+            pieces, self.held = self.held, []
+            fit: list = []
+            while pieces and (room := self.room(fit)):
+                taken, pieces = self.cut(pieces, min(room, len(pieces[0][2])))
+                fit += taken
+            self.held = [*self.short(fit), *pieces]
 
     def batch(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
@@ -135,9 +162,9 @@ class _Packer:
         return pa.record_batch({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
 
 
-def _packed(path: str, tokens: int):
+def _packed(path: str, limits: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, words = _Packer(TaskContext.get().partitionId(), tokens), encoder(path)
+        packer, words = _Packer(TaskContext.get().partitionId(), *limits), encoder(path)
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
             for s in slices(batch.column("text")):
@@ -152,13 +179,19 @@ def _packed(path: str, tokens: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, tokens: int = TOKENS) -> DataFrame:
-    """One row for each piece of documents(doc_id, text) in sequences of ``tokens`` ids."""
-    if tokenizer is None:
-        import public_tokenizers
+def _tokenizer(path: str | None) -> str:
+    if path is not None:
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
 
-        tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return bounded(docs).select("doc_id", "text").mapInArrow(frugal(_packed(tokenizer, tokens)), PIECES)
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None) -> DataFrame:
+    """One row for each piece of documents(doc_id, text) in sequences of at most ``tokens`` ids, ``segments`` pieces and
+    ``loss`` loss-bearing ids (all of a piece but its first; without a limit of its own, ``tokens``)."""
+    limits = (tokens, segments, tokens if loss is None else loss)
+    return bounded(docs).select("doc_id", "text").mapInArrow(frugal(_packed(_tokenizer(tokenizer), limits)), PIECES)
 
 
 def _examples(limits: tuple):
@@ -172,13 +205,13 @@ def _examples(limits: tuple):
                 for members in dot_product_pack(demand, np.array(limits, float)):
                     sequence[members] = following
                     following += 1
-                yield pa.record_batch({"id": part.column("id"), "sequence_id": pa.array(sequence)})
+                yield pa.record_batch({"id": part.column("id"), "tokens": part.column("tokens"), "loss_tokens": part.column("loss_tokens"), "sequence_id": pa.array(sequence)})
 
     return run
 
 
 def pack_examples(examples: DataFrame, tokens: int = TOKENS, segments: int = 32, loss_tokens: int = TOKENS) -> DataFrame:
-    """(id, sequence_id) for whole examples(id: long, tokens, loss_tokens), e.g. turns of instruction data, that mustn't be cut.
+    """(id, sequence_id, tokens, loss_tokens) for whole examples(id: long, tokens, loss_tokens), e.g. turns of instruction data, that mustn't be cut.
 
     ``segments`` limits the examples of a sequence, ``loss_tokens`` those of its
     tokens that bear loss; nulls ask for nothing.
@@ -186,8 +219,38 @@ def pack_examples(examples: DataFrame, tokens: int = TOKENS, segments: int = 32,
     asked = examples.select(
         F.col("id").cast("long"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("tokens", "loss_tokens")), F.lit(1.0).alias("segments")
     )
-    return asked.mapInArrow(frugal(_examples((tokens, segments, loss_tokens))), "id long, sequence_id long")
+    packed = asked.mapInArrow(frugal(_examples((tokens, segments, loss_tokens))), "id long, tokens double, loss_tokens double, sequence_id long")
+    return packed.select("id", "sequence_id", F.col("tokens").cast("long"), F.col("loss_tokens").cast("long"))
+
+
+def _counted(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = encoder(path)
+        for batch in batches:
+            for s in slices(batch.column("text")):
+                _, first = words.encode(s)
+                yield pa.record_batch({"conv_id": batch.column("conv_id").slice(s.rows.start, len(s)), "role": batch.column("role").slice(s.rows.start, len(s)), "n": pa.array(np.diff(first) + 1)})
+
+    return run
+
+
+def pack_conversations(turns: DataFrame, tokenizer: str | None = None, tokens: int = TOKENS, segments: int = 8, loss: int = 1536) -> DataFrame:
+    """conv_id, tokens, loss_tokens and sequence_id of conversations(conv_id, role, text) as whole examples.
+
+    A turn has the ids of its text and an end id; those of the assistant's turns
+    bear loss. A sequence holds at most ``tokens`` ids, ``segments`` conversations
+    and ``loss`` loss-bearing ids; a conversation that alone exceeds a limit has a
+    sequence of its own. Turns without an id are one conversation.
+    """
+    counted = bounded(turns).select(F.col("conv_id").cast("long"), "role", "text").mapInArrow(frugal(_counted(_tokenizer(tokenizer))), "conv_id long, role string, n long")
+    sizes = counted.groupBy("conv_id").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("role") == "assistant", F.col("n")).otherwise(0)).alias("loss_tokens"))
+    sizes = table(sizes.withColumnRenamed("conv_id", "id"), "packing-sizes")
+    return pack_examples(sizes, tokens, segments, loss).select(F.col("id").alias("conv_id"), "tokens", "loss_tokens", "sequence_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def instruction_query(spark, sf_dir: str) -> DataFrame:
+    return pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, rows: dict[int, int] = SAMP
 
     Weights come from a bounded sample of them, the threshold from all.
     """
-    shares = labels.where(F.col("quality").isin(0, 1) & learn).agg(F.avg(1 - F.col("quality"))).first()[0]
+    shares = usable(labels, "quality", learn).agg(F.avg(1 - F.col("y"))).first()[0]
     some = sample(docs, labels, "quality", learn, rows).mapInArrow(frugal(_featured), "doc_id long, y int, x array<double>").toArrow()
     some = some.sort_by([("doc_id", "ascending")])
     y = some.column("y").to_numpy()
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, rows: dict[int, int] = SAMP
             for s in slices(batch.column("text"), FEATURE_SLICE):
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(s.rows.start, len(s)), "v": pa.array(worths(model, features(s)))})
 
-    ids = usable(labels, "quality", learn).select("doc_id").distinct()
+    ids = usable(labels, "quality", learn).select("doc_id")
     mine = bounded(docs).select("doc_id", "text").where(learn).mapInArrow(frugal(run), "doc_id long, v double")
     return model | {"cut": threshold(table(mine.join(ids, "doc_id", "left_semi").select("v"), "quality-worths"), float(shares))}
 

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_vector_packing": packing.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "instruction_packing": packing.instruction_query,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.oracle(),

@@ -64,25 +64,43 @@ def _kinds(data, begin, end) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     return hashes, parts, back
 
 
-def _telling(texts: pa.Array, y: np.ndarray) -> np.ndarray:
+EXAMPLES = "doc_id long, y int, n int, sentences array<int>, features array<bigint>"
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's number of sentences, and its sentences' distinct features as (sentence, hash), in place of the text."""
+    for batch in batches:
+        for s in slices(batch.column("text")):
+            data, _, _, begin, end, doc, sentence = _tokens(s)
+            _, parts, back = _kinds(data, begin, end)
+            f = np.concatenate([p[back] for p in parts])
+            at = np.tile(sentence, len(parts))
+            some = np.flatnonzero(f)
+            order = some[np.lexsort((f[some], at[some]))]
+            f, at = f[order], at[order]
+            once = np.ones(len(f), bool)
+            once[1:] = (f[1:] != f[:-1]) | (at[1:] != at[:-1])
+            f, at = f[once], at[once]
+            firsts = np.flatnonzero(np.diff(sentence, prepend=-1))
+            n = np.bincount(doc[firsts], minlength=len(s))
+            before = np.concatenate([[0], np.cumsum(n)])
+            owner = doc[firsts][at] if len(at) else at
+            cuts = pa.array(np.searchsorted(owner, np.arange(len(s) + 1)), pa.int32())
+            rows = slice(s.rows.start, s.rows.start + len(s))
+            yield pa.record_batch({
+                **{c: batch.column(c).slice(rows.start, len(s)) for c in ("doc_id", "y")}, "n": pa.array(n, pa.int32()),
+                "sentences": pa.ListArray.from_arrays(cuts, pa.array(at - before[owner], pa.int32())), "features": pa.ListArray.from_arrays(cuts, pa.array(f.view(np.int64))),
+            })
+
+
+def _telling(feature: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Features that occur in toxic documents more often than chance explains, among all the features tried."""
-    keys, counts, row = np.zeros(0, np.uint64), np.zeros((0, 2)), 0
-    for s in slices(texts):
-        data, _, _, begin, end, doc, _ = _tokens(s)
-        _, parts, back = _kinds(data, begin, end)
-        f = np.concatenate([p[back] for p in parts])
-        d = np.tile(doc, len(parts))
-        some = np.flatnonzero(f)
-        order = some[np.lexsort((d[some], f[some]))]
-        f, d = f[order], d[order]
-        once = np.ones(len(f), bool)
-        once[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
-        f, label = f[once], y[row + d[once]]
-        row += len(s)
-        both = np.concatenate([keys, f])
-        add = np.concatenate([counts, np.stack([label == 0, label == 1], axis=1)])
-        keys, back = np.unique(both, return_inverse=True)
-        counts = np.stack([np.bincount(back, add[:, c], len(keys)) for c in (0, 1)], axis=1)
+    order = np.lexsort((doc, feature))
+    f, d = feature[order], doc[order]
+    once = np.ones(len(f), bool)
+    once[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
+    keys, back = np.unique(f[once], return_inverse=True)
+    counts = np.stack([np.bincount(back, y[d[once]] == c, len(keys)) for c in (0, 1)], axis=1)
     often = counts[:, 1] >= LEAST_DOCS
     keys, counts = keys[often], counts[often]
     share = y.mean()
@@ -92,38 +110,37 @@ def _telling(texts: pa.Array, y: np.ndarray) -> np.ndarray:
     return keys[(counts[:, 1] > total * share) & (gain > 2 * np.log(max(len(keys), 2)) - 6)]
 
 
-def fit(texts: pa.Array, y: np.ndarray) -> dict | None:
-    """Feature keys, weights and bias from document labels."""
+def loss(w: np.ndarray, bias: float, feature, of_sentence, of_doc, y):
+    """Mean negative log-likelihood of document labels under the noisy-or of sentences, and its gradient by weights and bias."""
+    p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(of_sentence, w[feature], len(of_doc)), -30, 30)))
+    none = np.bincount(of_doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))  # log of no toxic sentence
+    any_ = np.maximum(-np.expm1(none), 1e-9)
+    pull = np.where(y == 1, -(1 - any_) / any_, 1.0)
+    g = pull[of_doc] * p / len(y)
+    return -np.where(y == 1, np.log(any_), none).mean(), np.bincount(feature, g[of_sentence], len(w)), float(g.sum())
+
+
+def fit(examples: pa.Table) -> dict | None:
+    """Feature keys, weights and bias from rows of EXAMPLES."""
+    y = examples.column("y").to_numpy()
     if not 0 < y.sum() < len(y):
         return None
-    known = _telling(texts, y)
+    n = examples.column("n").to_numpy().astype(np.int64)
+    lists = examples.column("features").combine_chunks()
+    feature = np.asarray(lists.flatten()).view(np.uint64)
+    doc = np.repeat(np.arange(len(y)), np.diff(np.asarray(lists.offsets)))
+    of_sentence = np.asarray(examples.column("sentences").combine_chunks().flatten()).astype(np.int64) + (np.cumsum(n) - n)[doc]
+    known = _telling(feature, doc, y)
     if not len(known):
         return None
-    features, of_features, owners = [], [], []
-    n_docs = n_sentences = 0
-    for s in slices(texts):
-        data, _, _, begin, end, doc, sentence = _tokens(s)
-        _, parts, back = _kinds(data, begin, end)
-        for part in parts:
-            at = np.minimum(np.searchsorted(known, part), len(known) - 1)[back]
-            hit = np.flatnonzero(known[at] == part[back])
-            features.append(at[hit])
-            of_features.append(sentence[hit] + n_sentences)
-        owners.append(doc[np.flatnonzero(np.diff(sentence, prepend=-1))] + n_docs)
-        n_docs += len(s)
-        n_sentences += len(owners[-1])
-    feature, of_sentence, of_doc = map(np.concatenate, (features, of_features, owners))
+    at = np.minimum(np.searchsorted(known, feature), len(known) - 1)
+    hit = known[at] == feature
+    feature, of_sentence, of_doc = at[hit], of_sentence[hit], np.repeat(np.arange(len(y)), n)
     w, bias = np.zeros(len(known)), -6.0
     m1, m2, b1, b2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    target = y.astype(float)
     for step in range(1, EPOCHS + 1):
-        z = bias + np.bincount(of_sentence, w[feature], n_sentences)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.bincount(of_doc, np.log1p(-np.minimum(p, 1 - 1e-9)), n_docs)  # log of no toxic sentence
-        any_ = np.maximum(-np.expm1(none), 1e-9)
-        pull = np.where(target == 1, -(1 - any_) / any_, 1.0)
-        g = pull[of_doc] * p / n_docs
-        gw, gb = np.bincount(feature, g[of_sentence], len(w)) + DECAY * w, float(g.sum())
+        _, gw, gb = loss(w, bias, feature, of_sentence, of_doc, y)
+        gw = gw + DECAY * w
         m1, m2 = 0.9 * m1 + 0.1 * gw, 0.99 * m2 + 0.01 * gw**2
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb**2
         fix1, fix2 = 1 - 0.9**step, 1 - 0.99**step
@@ -139,11 +156,15 @@ def sentence_scores(model: dict | None, s: Slice):
     if model is None or not len(starts):
         return np.zeros(n), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     _, parts, back = _kinds(data, begin, end)
-    total = np.zeros(len(parts[0]))
+    n_sentences, size = int(sentence[-1]) + 1, len(model["keys"])
+    met = []
     for part in parts:
-        at = np.minimum(np.searchsorted(model["keys"], part), len(model["keys"]) - 1)
-        total += np.where(model["keys"][at] == part, model["w"][at], 0.0)
-    z = model["bias"] + np.bincount(sentence, total[back])
+        at = np.minimum(np.searchsorted(model["keys"], part), size - 1)
+        at = np.where(model["keys"][at] == part, at, -1)[back]
+        hit = np.flatnonzero(at >= 0)
+        met.append(sentence[hit] * size + at[hit])
+    met = np.unique(np.concatenate(met))  # a feature counts once in a sentence, as in training
+    z = model["bias"] + np.bincount(met // size, model["w"][met % size], n_sentences)
     p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     firsts = np.flatnonzero(np.diff(sentence, prepend=-1))
     lasts = np.append(firsts[1:], len(sentence)) - 1
@@ -153,9 +174,9 @@ def sentence_scores(model: dict | None, s: Slice):
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, rows: dict[int, int] = SAMPLE) -> dict | None:
-    """The model from a bounded sample of the labels for which the column ``learn`` holds."""
-    some = sample(docs, labels, "toxic", learn, rows).toArrow().sort_by([("doc_id", "ascending")])
-    return fit(some.column("text"), some.column("y").to_numpy())
+    """The model from a bounded sample of the labels for which the column ``learn`` holds; hashed features are gathered, not texts."""
+    some = bounded(sample(docs, labels, "toxic", learn, rows)).mapInArrow(frugal(_examples), EXAMPLES)
+    return fit(some.toArrow().sort_by([("doc_id", "ascending")]))
 
 
 SCORED = "doc_id long, score double, offending array<struct<start:int,end:int,score:double>>"

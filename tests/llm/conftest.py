@@ -37,6 +37,8 @@ def write(spark, folder, rows, labels, vectors, extra=True):
     docs.coalesce(2).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    turns = [(r[0], k % 3, ("user", "assistant", None)[k % 3], r[1]) for k, r in enumerate(rows)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return str(folder)
 
 

@@ -13,9 +13,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mensura.llm import _store, graph, licenses, maxscore, minhash, packing, ppm, registry, source_mix, suffix_dedup
+from mensura.llm import _store, graph, licenses, maxscore, minhash, packing, ppm, quality_ranker, registry, source_mix, suffix_dedup, toxicity
 from mensura.llm._text import hash_words, shingles, slices
 from mensura.llm.interleave import classes, merge
 
@@ -245,10 +246,57 @@ def test_dot_product_packing_keeps_all_limits(items):
     assert all((demand[b].sum(axis=0) <= limits).all() for b in bins)
 
 
+@given(st.lists(st.one_of(st.integers(1, 4), st.integers(1, 200)), max_size=80), st.sampled_from([(64, 5, 64), (64, 64, 64), (64, 4, 40), (128, 1, 128)]))
+@settings(max_examples=80, deadline=None)
+def test_packed_pieces_keep_all_limits(sizes, limits):
+    tokens, segments, loss = limits
+    packer = packing._Packer(1, tokens, segments, loss)
+    for doc, n in enumerate(sizes):
+        packer.add(doc, np.arange(n, dtype=np.uint32))
+        if doc % 20 == 19:
+            packer.pack()
+    packer.finish()
+    by, found = collections.defaultdict(list), collections.defaultdict(list)
+    for doc, start, length, crc, total, sequence, offset in packer.rows:
+        by[sequence].append((offset, length))
+        found[doc].append((start, length))
+        assert total == sizes[doc] and crc == zlib.crc32(np.arange(start, start + length, dtype="<u4").tobytes())
+    for doc, n in enumerate(sizes):
+        ends = [0]
+        for start, length in sorted(found[doc]):
+            assert start == ends[-1]
+            ends.append(start + length)
+        assert ends[-1] == n
+    for pieces in by.values():
+        size = sum(n for _, n in pieces)
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))]
+        assert size <= tokens and len(pieces) <= segments and size - len(pieces) <= loss
+        assert size & (size - 1) == 0
+
+
+def test_conversations_are_packed_under_three_limits(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = collections.defaultdict(lambda: [0, 0])
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        n = len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+        want[r["conv_id"]][0] += n
+        want[r["conv_id"]][1] += n * (r["role"] == "assistant")
+    rows = registry.QUERIES["instruction_packing"](spark, SF).collect()
+    assert {r["conv_id"]: [r["tokens"], r["loss_tokens"]] for r in rows} == dict(want) and len(rows) == len(want)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["tokens"], 1, r["loss_tokens"]))
+    assert all(len(g) == 1 or all(sum(x) <= most for x, most in zip(zip(*g), (2048, 8, 1536))) for g in by.values())
+    assert len(by) < len(rows) / 2
+
+
 def test_examples_are_packed_whole(spark):
     talk = spark.read.parquet(f"{SF}/conversations.parquet")
     asked = talk.selectExpr("conv_id * 1000 + turn AS id", "length(text) AS tokens", "CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END AS loss_tokens")
-    got = packing.pack_examples(asked, tokens=4000, segments=6, loss_tokens=2500).join(asked, "id").groupBy("sequence_id")
+    got = packing.pack_examples(asked, tokens=4000, segments=6, loss_tokens=2500).groupBy("sequence_id")
     for r in got.agg({"tokens": "sum", "loss_tokens": "sum", "id": "count"}).collect():
         assert r["count(id)"] == 1 or (r["count(id)"] <= 6 and r["sum(tokens)"] <= 4000 and r["sum(loss_tokens)"] <= 2500)
 
@@ -266,6 +314,100 @@ def test_held_out_accuracy(spark, name, label):
     assert (held.predicted == held[label]).mean() > (0.99 if label == "quality" else 0.96)
 
 
+def test_noisy_or_gradient():
+    r = np.random.default_rng(3)
+    w, bias = r.normal(0, 0.5, 6), -1.2
+    of_doc = np.sort(np.append(r.integers(0, 5, 7), range(5)))
+    feature, of_sentence, y = r.integers(0, 6, 40), r.integers(0, 12, 40), np.array([1, 0, 1, 0, 1])
+    value, gw, gb = toxicity.loss(w, bias, feature, of_sentence, of_doc, y)
+    p = [1 / (1 + math.exp(-(bias + sum(w[f] for f, s in zip(feature, of_sentence) if s == k)))) for k in range(12)]
+    none = [math.prod(1 - p[k] for k in range(12) if of_doc[k] == d) for d in range(5)]
+    assert value == pytest.approx(-np.mean([math.log(1 - q) if t else math.log(q) for q, t in zip(none, y)]))
+    at = lambda v, b: toxicity.loss(v, b, feature, of_sentence, of_doc, y)[0]
+    for k in range(6):
+        e = np.eye(6)[k] * 1e-6
+        assert gw[k] == pytest.approx((at(w + e, bias) - at(w - e, bias)) / 2e-6, abs=1e-6)
+    assert gb == pytest.approx((at(w, bias + 1e-6) - at(w, bias - 1e-6)) / 2e-6, abs=1e-6)
+
+
+def test_toxic_sentences_are_located(spark):
+    r = random.Random(1)
+    plain = [f"word{i}" for i in range(60)]
+    line = lambda n: " ".join(r.choice(plain) for _ in range(n)) + "."
+    rows, labels, where = [], [], {}
+    for i in range(240):
+        parts = [line(8) for _ in range(r.randint(2, 6))]
+        if i % 4 == 0:
+            k = r.randrange(len(parts))
+            parts[k] = f"{r.choice(plain)} you vilest {r.choice(['grobnik', 'snarfle'])} {r.choice(plain)}!"
+            where[i] = parts[k]
+        rows.append((i, " ".join(parts)))
+        labels.append((i, int(i % 4 == 0)))
+    docs, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels + [(1, 1), (1, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, y, F.col("doc_id") < 160)
+    got = {x["doc_id"]: x for x in toxicity.score(docs, model).collect()}
+    for i, text in rows[160:]:
+        spans = [text.encode()[s["start"] : s["end"]].decode() for s in got[i]["offending"]]
+        assert spans == ([where[i]] if i in where else []) and (got[i]["score"] >= 0.3) == (i in where)
+        none = math.prod(1 - s["score"] for s in got[i]["offending"])
+        assert got[i]["score"] >= 1 - none - 1e-9
+
+
+def test_pair_loss_is_least_at_the_fit():
+    r = np.random.default_rng(5)
+    x = r.normal(0, 1, (80, 4))
+    y = (x @ [1.0, -2.0, 0.0, 0.5] + r.normal(0, 1, 80) > 0).astype(int)
+    model = quality_ranker.fit(x, y, seed=3)
+    z = np.clip((x - model["mean"]) / model["scale"], -6, 6)
+    draw = np.random.default_rng(3)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    d = z[draw.choice(good, quality_ranker.PAIRS)] - z[draw.choice(bad, quality_ranker.PAIRS)]
+    loss = lambda w: float(np.mean(np.log1p(np.exp(-(d @ w)))) + quality_ranker.RIDGE / 2 * (w @ w))
+    best = loss(model["w"])
+    assert all(loss(model["w"] + r.normal(0, s, 4)) >= best for s in (1e-3, 1e-2, 0.1, 1.0) for _ in range(20))
+
+
+def test_quality_features_by_plain_python():
+    texts = ["One two, two. THREE 44\n", "", "aaa aaa a!", "é É x", "z" * 30 + " ok?"]
+    got = quality_ranker.features(next(iter(slices(pa.array(texts)))))
+    kinds = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
+    for row, text in zip(got, texts):
+        words = SPACE.findall(text)
+        n = max(len(words), 1)
+        low = [lower(w) for w in words]
+        sizes = [len(w.encode()) for w in words]
+        most = max(collections.Counter(low).values(), default=0)
+        mean = sum(sizes) / n
+        want = [
+            math.log1p(len(words)), min(mean, 40) / 10, min(math.sqrt(max(sum(s * s for s in sizes) / n - mean**2, 0)), 40) / 10, len(set(low)) / n, most / n,
+            sum(a == b for a, b in zip(low, low[1:])) / n, sum(s <= 3 for s in sizes) / n, sum(s > 20 for s in sizes) / n,
+            sum(w[-1] in ".!?,;:" for w in words) / n, float(not words),
+        ]
+        assert row[-10:] == pytest.approx(want)
+        for k, c in enumerate(kinds):
+            assert row[k + 1] == pytest.approx(min(text.count(c) / n, 4)) and row[quality_ranker.N_CLASS + k + 1] == (c in text)
+
+
+def test_license_spans_by_aligning_every_template():
+    r = random.Random(2)
+    index = licenses.Index()
+    names = list(licenses.TEMPLATES)
+    for _ in range(60):
+        texts = []
+        for _ in range(r.randint(0, 3)):
+            words = licenses.TEMPLATES[r.choice(names)].split()
+            words = [w if r.random() > 0.08 else "zzz" for w in words]
+            texts += [" ".join(f"q{r.randrange(99)}" for _ in range(r.randint(3, 20))), " ".join(words)]
+        _, _, words, first = licenses.bare_words(next(iter(slices(pa.array([" ".join(texts)])))))
+        place, which, at, _ = index.hits(words, first)
+        got = licenses.matches(index, words, list(zip(place.tolist(), which.tolist(), at.tolist())), licenses.COVERAGE)
+        # every template on every diagonal, without the index
+        every = [(p, t, 0) for t in range(len(names)) for p in range(-len(index.words[t]) // 4, len(words))]
+        want = licenses.matches(index, words, every, licenses.COVERAGE)
+        assert {(m[0], m[1]) for m in got} >= {(m[0], m[1]) for m in want} or sum(m[1] for m in got) >= sum(m[1] for m in want)
+        assert all(a[3] < b[2] for a, b in zip(got, got[1:]))
+
+
 def test_licenses_are_found_with_spans(spark):
     header = licenses.TEMPLATES["mit"]
     words = header.split()
