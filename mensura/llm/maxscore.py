@@ -41,7 +41,7 @@ def quantised(vector: Column, scale: int = 1024) -> Column:
 
 
 def _pack(key: tuple, group: pa.Table) -> pa.Table:
-    """One row of a shard or block: its ids and its vectors as term-major int64."""
+    """One row of a shard or block: its ids and its vectors, term-major, as the narrowest integers that hold them."""
     vectors = group.column("v").combine_chunks()
     lengths = np.diff(vectors.offsets.to_numpy()) if len(vectors) else np.zeros(0, int)
     dims = int(lengths.max(initial=0))
@@ -50,9 +50,12 @@ def _pack(key: tuple, group: pa.Table) -> pa.Table:
     full[np.arange(dims)[None, :] < lengths[:, None]] = flat
     ids = group.column("vec_id").to_numpy().astype(np.int64)
     by_id = np.argsort(ids, kind="stable")
+    low, high = full.min(initial=0), full.max(initial=0)
+    width = next(w for w in (2, 4, 8) if -(1 << (8 * w - 1)) <= low and high < 1 << (8 * w - 1))
+    terms = np.ascontiguousarray(full[by_id].T).astype(f"<i{width}")
     return pa.table({
-        "part": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([len(ids)], pa.int32()), "dims": pa.array([dims], pa.int32()),
-        "ids": pa.array([ids[by_id].tobytes()], pa.binary()), "terms": pa.array([np.ascontiguousarray(full[by_id].T).tobytes()], pa.binary()),
+        "part": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([len(ids)], pa.int32()), "dims": pa.array([dims], pa.int32()), "width": pa.array([width], pa.int32()),
+        "ids": pa.array([ids[by_id].tobytes()], pa.binary()), "terms": pa.array([terms.tobytes()], pa.binary()),
     })
 
 
@@ -60,11 +63,11 @@ def packed(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
     """Rows (vec_id, v) as parts of about ``size`` vectors, dealt in turn so that no id or vector is a hot key."""
     n = max(1, -(-vectors.count() // size))
     dealt = vectors.withColumn("part", F.monotonically_increasing_id() % n)
-    return dealt.groupBy("part").applyInArrow(_pack, "part long, n int, dims int, ids binary, terms binary"), n
+    return dealt.groupBy("part").applyInArrow(_pack, "part long, n int, dims int, width int, ids binary, terms binary"), n
 
 
-def _matrix(blob: bytes, dims: int, n: int, want: int) -> np.ndarray:
-    m = np.frombuffer(blob, np.int64).reshape(dims, n)
+def _matrix(blob: bytes, width: int, dims: int, n: int, want: int) -> np.ndarray:
+    m = np.frombuffer(blob, f"<i{width}").reshape(dims, n).astype(np.int64)
     return m if dims >= want else np.vstack([m, np.zeros((want - dims, n), np.int64)])
 
 
@@ -130,8 +133,8 @@ def _search(k: int):
                     block, held = r["block"], (np.frombuffer(r["q_ids"], np.int64),)
                     best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * r["q_n"]
                 shard_search(
-                    held[0], _matrix(r["q_terms"], r["q_dims"], r["q_n"], dims),
-                    np.frombuffer(r["ids"], np.int64), _matrix(r["terms"], r["dims"], r["n"], dims), best, k,
+                    held[0], _matrix(r["q_terms"], r["q_width"], r["q_dims"], r["q_n"], dims),
+                    np.frombuffer(r["ids"], np.int64), _matrix(r["terms"], r["width"], r["dims"], r["n"], dims), best, k,
                 )
         if block is not None:
             yield results()
@@ -142,7 +145,7 @@ def _search(k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score for two tables of (vec_id, v: array<long>)."""
     q, n_blocks = packed(queries, block)
-    q = q.select(F.col("part").alias("block"), F.col("n").alias("q_n"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("terms").alias("q_terms"))
+    q = q.select(F.col("part").alias("block"), F.col("n").alias("q_n"), F.col("dims").alias("q_dims"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("terms").alias("q_terms"))
     shards, n_shards = packed(vectors, shard)
     shards = table(shards, "maxscore-shards")
     # each block meets each shard; a block's shards are dealt over runs so that a task carries thresholds over several

@@ -437,6 +437,19 @@ def test_maxscore_is_exact(seed):
         assert [(-int(s), int(v)) for s, v in zip(*best[i])] == want
 
 
+def test_maxscore_over_several_shards_and_blocks(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, [int(x) for x in r.integers(-9, 10, 5)]) for i in range(300)] + [(300, [10**6, 0, 0, 0, 1]), (302, [1 << 40, 1, 0, 0, 0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<bigint>").repartition(3)
+    got = maxscore.top_k(vectors, vectors.where("vec_id % 10 = 0"), 4, shard=40, block=7).collect()
+    want = []
+    for i, q in rows:
+        if i % 10 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in rows if j != i)[:4]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted(tuple(x) for x in got) == sorted(want)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(200, 199), (199, 300), (7, 7)]
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
