@@ -77,14 +77,14 @@ BROADCAST_ROWS = 1_000_000
 SALTS = 32
 
 
-def meet(rows: DataFrame, other: DataFrame, key: list[str], spread: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+def meet(rows: DataFrame, other: DataFrame, key: list[str], spread: str, how: str = "inner", most: int = BROADCAST_ROWS, stored: bool = False) -> DataFrame:
     """``rows`` joined with ``other``, which holds a row or few a key, so that a key with very many rows isn't one task's.
 
-    ``other`` is computed and counted: up to ``most`` rows it is sent to all tasks;
+    ``other`` is computed, unless it is ``stored``, and counted: up to ``most`` rows it is sent to all tasks;
     beyond, rows of a key are dealt by the column ``spread`` over SALTS parts, to
     each of which ``other`` is copied.
     """
-    other = cut(other)
+    other = other if stored else cut(other)
     if other.count() <= most:
         return rows.join(F.broadcast(other), key, how)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))

@@ -20,14 +20,14 @@ def components(links: DataFrame) -> DataFrame:
     open_links = cut(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
     labels, turns = open_links.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")), 0
     while not open_links.isEmpty():
-        hooks = open_links.groupBy("u").agg(F.min("v").alias("up")).where("up < u")
-        once = hooks.alias("h").join(hooks.alias("g"), F.col("h.up") == F.col("g.u"), "left")
-        twice = cut(once.select(F.col("h.u").alias("u"), F.coalesce("g.up", "h.up").alias("up")))
+        hooks = cut(open_links.groupBy("u").agg(F.min("v").alias("up")).where("up < u"))
+        once = meet(hooks, hooks.select(F.col("u").alias("up"), F.col("up").alias("over")), ["up"], "u", "left", stored=True)
+        twice = cut(once.select("u", F.coalesce("over", "up").alias("up")))
         # many links may begin or end at one label
-        left = meet(open_links, twice, ["u"], "v", "left").select(F.coalesce("up", "u").alias("u"), "v")
-        right = meet(left, twice.select(F.col("u").alias("v"), "up"), ["v"], "u", "left").select("u", F.coalesce("up", "v").alias("v"))
+        left = meet(open_links, twice, ["u"], "v", "left", stored=True).select(F.coalesce("up", "u").alias("u"), "v")
+        right = meet(left, twice.select(F.col("u").alias("v"), "up"), ["v"], "u", "left", stored=True).select("u", F.coalesce("up", "v").alias("v"))
         open_links = cut(right.where("u <> v").distinct())
-        labels = meet(labels, twice.select(F.col("u").alias("label"), "up"), ["label"], "node", "left").select("node", F.coalesce("up", "label").alias("label"))
+        labels = meet(labels, twice.select(F.col("u").alias("label"), "up"), ["label"], "node", "left", stored=True).select("node", F.coalesce("up", "label").alias("label"))
         turns += 1
         if turns % 3 == 0:
             labels = cut(labels)

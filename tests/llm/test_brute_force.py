@@ -489,7 +489,7 @@ def test_near_duplicates_in_crowds(spark, monkeypatch, crowd, salted):
     monkeypatch.setattr(minhash, "COMPARE_BLOCK", 8)
     monkeypatch.setattr(minhash, "PIVOT_YIELD", 0.5)  # so that turns of pivots end early
     if salted:
-        monkeypatch.setattr(_store.meet, "__defaults__", ("inner", 0))
+        monkeypatch.setattr(_store.meet, "__defaults__", ("inner", 0, False))
     r = random.Random(crowd)
     rows = []
     for family in range(2):
