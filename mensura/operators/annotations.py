@@ -14,11 +14,11 @@ def classified(annotations: DataFrame) -> DataFrame:
     key = parsing.subject_key(F.col("subject"))
     read = annotations.withColumn("subject_key", key).withColumn("area_m2", parsing.area_m2(F.col("content"))).withColumn("length_lm", parsing.length_m(F.when(F.col("type").isin("Line", "PolyLine"), F.col("content"))))
     named = read.join(F.broadcast(dims.subjects(spark)), "subject_key", "left")
-    named = named.withColumn("category", F.coalesce(rules.subject_category(F.col("subject_key"), F.col("category")), F.lit("unclassified")))
+    scope = parsing.upper_scope(F.col("subject"))
+    named = named.withColumn("category", F.coalesce(rules.subject_category(F.col("subject_key"), F.col("category"), scope), F.lit("unclassified")))
     rule = F.coalesce(
-        *(F.when(F.concat_ws(" ", "subject", "content").rlike("(?i)" + p), F.lit(i)) for _, i, _, _, p in dims.EXCLUSIONS), F.lit(None).cast("string")
+        *(F.when(F.concat_ws(" ", "subject", "content").rlike("(?i)" + p), F.lit(i)) for _, i, _, _, p in dims.EXCLUSIONS), rules.out_of_scope(F.col("subject_key"))
     )
-    scope = parsing.upper_scope(F.col("subject"))
     zone = F.when(scope.isNotNull(), F.concat_ws("|", F.col("category"), parsing.unit_label(F.col("subject")), scope)).otherwise(F.col("category"))
     return named.withColumn("exclusion_id", rule).withColumn("boq_scope", scope).withColumn("zone_key", zone)
 

@@ -90,7 +90,7 @@ ANNOTATIONS = [
 ]
 ZONES = [
     ("a", "external_yard", 120.5, None, 2, 1, "external_yard"), ("a", "dock", 50.0, None, 1, 2, "dock"), ("a", "channel", None, 13.0, 2, 6, "channel"),
-    ("b", "unclassified|Unit 4A|main_upper_floor", 70.0, None, 1, 1, "unclassified"), ("b", "upper_floor", 30.0, None, 1, 2, "upper_floor"), ("b", "unclassified", 1.0, None, 1, 3, "unclassified"),
+    ("b", "upper_floor|Unit 4A|main_upper_floor", 70.0, None, 1, 1, "upper_floor"), ("b", "upper_floor", 30.0, None, 1, 2, "upper_floor"), ("b", "unclassified", 1.0, None, 1, 3, "unclassified"),
 ]
 
 
