@@ -32,12 +32,16 @@ def pair_names(marked: DataFrame, raw: DataFrame, key: str) -> DataFrame:
     return both.groupBy("k").applyInPandas(pair, "k string, marked string, raw string")
 
 
+# Names of folders that hold unmarked copies.
+RAW_FOLDERS = ("_stripped", "stripped", "raw", "unmarked")
+
+
 def pair_score(marked: str, raw: str) -> int:
-    """Equal names count most, then a folder of raw drawings, then the same folder; lengths that differ count against."""
-    m, r = marked.rsplit("/", 1), raw.rsplit("/", 1)
-    folder = r[0].lower() if len(r) > 1 else ""
-    score = 100 * (m[-1] == r[-1]) + 40 * any(w in folder for w in ("raw", "original", "unmarked"))
-    return score + 10 * (m[:-1] == r[:-1]) - abs(len(m[-1]) - len(r[-1]))
+    """Equal names count most, then a raw drawing whose own folder says so, then the same folder; names of different length count against."""
+    (folder, name), (raw_folder, raw_name) = (p.rpartition("/")[::2] for p in (marked, raw))
+    stem = lambda n: len(n.rpartition(".")[0] or n)
+    points = {100: name.casefold() == raw_name.casefold(), 40: raw_folder.rpartition("/")[2].casefold() in RAW_FOLDERS, 10: folder == raw_folder}
+    return sum(p for p, holds in points.items() if holds) - abs(stem(name) - stem(raw_name))
 
 
 def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mensura.functions import parsing, rules
+
 
 def zone_rollup(rows: DataFrame, keys: list[str], order: str = "index") -> DataFrame:
     """Zones of annotation rows: sums that stay null where nothing contributed, in the order first seen."""
@@ -67,7 +69,8 @@ def latest_row(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 def prior_of(rows: DataFrame, key: str, row_id: str, at: str) -> DataFrame:
     """Each row with the latest other row of its key, whatever its time, or null."""
-    other = rows.select(F.col(key).alias("__k"), F.struct(F.col(at).alias("at"), F.col(row_id).alias("id")).alias("__o"))
+    latest = rows.groupBy(F.col(key).alias("__k"), F.col(row_id).alias("__i")).agg(F.max(at).alias("__at"))  # an id counts once
+    other = latest.select("__k", F.struct(F.col("__at").alias("at"), F.col("__i").alias("id")).alias("__o"))
     # two latest of each key are enough: the latest, unless that is the row itself
     w = Window.partitionBy("__k").orderBy(F.desc("__o"))
     two = other.withColumn("__p", F.row_number().over(w)).where("__p <= 2").groupBy("__k").agg(F.sort_array(F.collect_list("__o"), asc=False).alias("__two"))
@@ -166,3 +169,25 @@ def exact_cover(items: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     """Keys on one side only; empty when decisions cover the items exactly."""
     a, b = items.select(F.col(key).alias("a")), decisions.select(F.col(key).alias("b"))
     return a.join(b, F.col("a") == F.col("b"), "full_outer").where("a IS NULL OR b IS NULL").select(F.coalesce("a", "b").alias(key), F.when(F.col("a").isNull(), "unknown").otherwise("undecided").alias("problem"))
+
+
+def compared(truth: DataFrame, measured: DataFrame, keys: list[str], category: str, value: str, domain: list[str], tolerance: float) -> DataFrame:
+    """Truth against measurement over a fixed domain of categories: every key gets a verdict for each of them."""
+    side = lambda d, name: d.groupBy(*keys, category).agg(F.sum(value).alias(name))
+    cells = truth.select(*keys).union(measured.select(*keys)).distinct().withColumn(category, F.explode(F.array(*map(F.lit, domain))))
+    met = cells.join(side(truth, "truth"), [*keys, category], "left").join(side(measured, "measured"), [*keys, category], "left")
+    verdict = rules.compare_zone(F.col("truth"), F.col("measured"), tolerance)
+    return met.withColumn("delta_pct", rules.signed_delta_pct(F.col("measured"), F.col("truth"))).withColumn("verdict", verdict)
+
+
+def scale_rank(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Title denominators of each text by how often they occur, then by place."""
+    each = texts.select(key, F.posexplode(parsing.title_scales(F.col(text))).alias("at", "denominator"))
+    counts = each.groupBy(key, "denominator").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    w = Window.partitionBy(key).orderBy(F.desc("n"), "at")
+    return counts.withColumn("place", F.row_number().over(w)).drop("at")
+
+
+def chosen_swatch(swatches: DataFrame, key: str, distance: str, plausible: str) -> DataFrame:
+    """The nearest swatch of each key, one that may be a surface before any other."""
+    return latest_row(swatches, [key], [F.desc(plausible), F.col(distance), F.col("id")])

@@ -46,14 +46,14 @@ def open_archive(content: bytes) -> list[tuple[str | None, bytes | None, str | N
     out, total = [], 0
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for info in z.infolist()[:MOST_MEMBERS]:
-                if info.is_dir() or not info.filename.lower().endswith(".pdf"):
-                    continue
+            drawings = [i for i in z.infolist() if not i.is_dir() and i.filename.lower().endswith(".pdf")]
+            for place, info in enumerate(drawings):
                 total += info.file_size
-                if total > MOST_BYTES:
+                if place >= MOST_MEMBERS:
+                    out.append((info.filename, None, "too many members"))
+                elif total > MOST_BYTES:
                     out.append((info.filename, None, "archive too large"))
-                    break
-                if info.filename.startswith("/") or ".." in info.filename.split("/"):
+                elif info.filename.startswith("/") or ".." in info.filename.split("/"):
                     out.append((info.filename, None, "unsafe name"))
                 else:
                     out.append((info.filename, z.read(info), None))

@@ -25,7 +25,7 @@ def clean_log(lines: DataFrame, fixture) -> DataFrame:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Writes ``df`` beside ``path`` and moves it there, so that readers see the old rows or the new ones."""
+    """Writes ``df`` beside ``path`` and moves it there: readers never see a part of it, but between the two renames they may find nothing."""
     spark = df.sparkSession
     staged = f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(staged)
