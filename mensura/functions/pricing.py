@@ -62,3 +62,30 @@ def scale_decision(bar: Column, title: Column, n_titles: Column, tolerance: floa
         .otherwise("none")
     )
     return F.struct(F.when(verdict.isin("implausible", "disagree", "none"), None).otherwise(F.coalesce(bar, title)).alias("k"), verdict.alias("verdict"))
+
+
+def feature_check(k: Column, span_pt: Column, real_m: Column, tolerance: float = 0.05) -> Column:
+    """Whether a scale reads a known feature right: verified, unverified, or none where nothing was measured."""
+    known = (k > 0) & (span_pt > 0) & (real_m > 0)
+    off = F.abs(k * span_pt - real_m) / real_m
+    return F.when(F.coalesce(known, F.lit(False)), F.when(off > tolerance, "unverified").otherwise("verified")).otherwise("none")
+
+
+def calibrated(denominator: Column, bay_width_pt: Column, span_pt: Column, real_m: Column, tolerance: float = 0.05) -> Column:
+    """k and source: a bay beats a dimension, either beats the title; the title is told of where it disagrees."""
+    title = scale_of_title(denominator)
+    bay, measured = scale_of_bay(bay_width_pt), F.when((span_pt > 0) & (real_m > 0), real_m / span_pt)
+    feature = F.coalesce(bay, measured)
+    source = F.when(bay.isNotNull(), "bay").when(measured.isNotNull(), "dimension").when(title.isNotNull(), "title").otherwise("none")
+    return F.struct(F.coalesce(feature, title).alias("k"), source.alias("source"), F.coalesce(F.abs(title / feature - 1) > tolerance, F.lit(False)).alias("title_differs"))
+
+
+def boundary_risk(denominator: Column, least: int = 1500) -> Column:
+    """Whether a small slip of a corner weighs much at a drawing's scale."""
+    return F.coalesce(denominator >= least, F.lit(False))
+
+
+def valid_rate(field: Column, value: Column, fractions: tuple[str, ...] = ("margin", "conc_wastage", "steel_wastage", "lap_acc")) -> Column:
+    """A supplied rate if it is finite, not negative and, where it is a share, at most one; else null."""
+    fine = ~F.isnan(value) & (value >= 0) & (value < float("inf")) & (~field.isin(*fractions) | (value <= 1))
+    return F.when(fine, value)

@@ -191,3 +191,35 @@ def test_deadline_stream_lets_late_success_win(spark, tmp_path):
         wait(lambda: ("a", "MEASURED", 7.0) in seen())
     finally:
         q.stop()
+
+
+def test_forms_of_subjects(spark):
+    rows = [
+        ("unit 1 channel", "channel", "unit 1", False, False), ("units 4a & 4b transitions", "transition", "units 4a & 4b", False, False), ("unit-4 - channels", "channel", "unit-4", False, True),
+        ("channels", None, None, False, False), ("3rd floor slab", None, None, True, False), ("second floors", None, None, True, False), ("3rd floor slab x", None, None, False, False),
+        ("unit 1 2 channel", None, None, False, False), ("units 1 and 2", None, None, False, True), ("unit", None, None, False, False), ("unit4", None, None, False, True), ("band 2", None, None, False, False),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, k string")
+    k = F.col("k")
+    got = df.select("i", rules.linear_kind(k), rules.linear_unit(k), rules.is_upper_floor(k), rules.names_units(k)).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [r[1:] for r in rows]
+
+
+def test_archive_members_are_never_dropped():
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for i in range(intake.MOST_MEMBERS + 3):
+            z.writestr(f"{i}.pdf", b"%PDF-")
+    got = intake.open_archive(buffer.getvalue())
+    assert len(got) == intake.MOST_MEMBERS + 3 and [r for _, _, r in got[-3:]] == ["too many members"] * 3
+
+
+def test_pair_score_reads_the_raw_folder_itself():
+    assert matching.pair_score("/drawings/a.pdf", "/drawings/a.pdf") == 110
+    assert matching.pair_score("/in/A.pdf", "/in/Stripped/a.PDF") == 140
+    assert matching.pair_score("/in/abc.pdf", "/in/a.jpeg") == 8
+
+
+def test_prior_of_repeated_rows(spark):
+    rows = spark.createDataFrame([("k", 1, 5), ("k", 1, 6), ("k", 2, 3)], "k string, id int, at int")
+    assert {(r.id, r.prior_id) for r in relational.prior_of(rows, "k", "id", "at").collect()} == {(1, 2), (2, 1)}
