@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm._store import bounded, frugal
+from mensura.llm._store import bounded, frugal, table
 from mensura.llm._text import LOWER, Slice, hash_words, mix, slices
 from mensura.llm.labelled import remainder, sample
 
@@ -64,50 +64,68 @@ def _kinds(data, begin, end) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     return hashes, parts, back
 
 
-EXAMPLES = "doc_id long, y int, n int, sentences array<int>, features array<bigint>"
+COUNTS = "feature long, plain long, toxic long"
+EXAMPLES = "doc_id long, y int, n int, sentences array<int>, features array<int>"
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's number of sentences, and its sentences' distinct features as (sentence, hash), in place of the text."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many plain and how many toxic texts of a slice hold each feature."""
     for batch in batches:
+        y = batch.column("y").to_numpy()
         for s in slices(batch.column("text")):
-            data, _, _, begin, end, doc, sentence = _tokens(s)
+            data, _, _, begin, end, doc, _ = _tokens(s)
             _, parts, back = _kinds(data, begin, end)
-            f = np.concatenate([p[back] for p in parts])
-            at = np.tile(sentence, len(parts))
+            f, d = np.concatenate([p[back] for p in parts]), np.tile(doc, len(parts))
             some = np.flatnonzero(f)
-            order = some[np.lexsort((f[some], at[some]))]
-            f, at = f[order], at[order]
+            order = some[np.lexsort((d[some], f[some]))]
+            f, d = f[order], d[order]
             once = np.ones(len(f), bool)
-            once[1:] = (f[1:] != f[:-1]) | (at[1:] != at[:-1])
-            f, at = f[once], at[once]
-            firsts = np.flatnonzero(np.diff(sentence, prepend=-1))
-            n = np.bincount(doc[firsts], minlength=len(s))
-            before = np.concatenate([[0], np.cumsum(n)])
-            owner = doc[firsts][at] if len(at) else at
-            cuts = pa.array(np.searchsorted(owner, np.arange(len(s) + 1)), pa.int32())
-            rows = slice(s.rows.start, s.rows.start + len(s))
-            yield pa.record_batch({
-                **{c: batch.column(c).slice(rows.start, len(s)) for c in ("doc_id", "y")}, "n": pa.array(n, pa.int32()),
-                "sentences": pa.ListArray.from_arrays(cuts, pa.array(at - before[owner], pa.int32())), "features": pa.ListArray.from_arrays(cuts, pa.array(f.view(np.int64))),
-            })
-
-
-def _telling(feature: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Features that occur in toxic documents more often than chance explains, among all the features tried."""
-    order = np.lexsort((doc, feature))
-    f, d = feature[order], doc[order]
-    once = np.ones(len(f), bool)
-    once[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
-    keys, back = np.unique(f[once], return_inverse=True)
-    counts = np.stack([np.bincount(back, y[d[once]] == c, len(keys)) for c in (0, 1)], axis=1)
-    often = counts[:, 1] >= LEAST_DOCS
-    keys, counts = keys[often], counts[often]
-    share = y.mean()
+            once[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
+            keys, back = np.unique(f[once], return_inverse=True)
+            toxic = np.bincount(back, y[s.rows.start + d[once]], len(keys)).astype(np.int64)
+            yield pa.record_batch({"feature": pa.array(keys.view(np.int64)), "plain": pa.array(np.bincount(back, minlength=len(keys)) - toxic), "toxic": pa.array(toxic)})
+
+
+def _examples(known: np.ndarray):
+    """Each text's number of sentences, and its sentences' distinct known features as (sentence, place among the known), in place of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in slices(batch.column("text")):
+                data, _, _, begin, end, doc, sentence = _tokens(s)
+                at, f = _met(known, data, begin, end, sentence)
+                firsts = np.flatnonzero(np.diff(sentence, prepend=-1))
+                n = np.bincount(doc[firsts], minlength=len(s))
+                before = np.concatenate([[0], np.cumsum(n)])
+                owner = doc[firsts][at] if len(at) else at
+                cuts = pa.array(np.searchsorted(owner, np.arange(len(s) + 1)), pa.int32())
+                yield pa.record_batch({
+                    **{c: batch.column(c).slice(s.rows.start, len(s)) for c in ("doc_id", "y")}, "n": pa.array(n, pa.int32()),
+                    "sentences": pa.ListArray.from_arrays(cuts, pa.array(at - before[owner], pa.int32())), "features": pa.ListArray.from_arrays(cuts, pa.array(f, pa.int32())),
+                })
+
+    return run
+
+
+def _met(known: np.ndarray, data, begin, end, sentence) -> tuple[np.ndarray, np.ndarray]:
+    """The known features of a slice's sentences, each once in a sentence: (sentence, place among the known), by sentence."""
+    _, parts, back = _kinds(data, begin, end)
+    size, met = len(known), [np.zeros(0, np.int64)]
+    for part in parts:
+        at = np.minimum(np.searchsorted(known, part), size - 1)
+        at = np.where(known[at] == part, at, -1)[back]
+        hit = np.flatnonzero(at >= 0)
+        met.append(sentence[hit] * size + at[hit])
+    both = np.unique(np.concatenate(met))
+    return both // size, both % size
+
+
+def _telling(keys: np.ndarray, counts: np.ndarray, share: float) -> np.ndarray:
+    """Features (with their plain and toxic texts) that occur in toxic documents more often than chance explains, among all the features tried."""
     total = counts.sum(axis=1)
     safe = lambda a, e: np.where(a > 0, a * np.log(np.maximum(a, 1) / e), 0.0)
     gain = 2 * (safe(counts[:, 1], total * share) + safe(counts[:, 0], total * (1 - share)))
-    return keys[(counts[:, 1] > total * share) & (gain > 2 * np.log(max(len(keys), 2)) - 6)]
+    return np.sort(keys[(counts[:, 1] > total * share) & (gain > 2 * np.log(max(len(keys), 2)) - 6)])
 
 
 def loss(w: np.ndarray, bias: float, feature, of_sentence, of_doc, y):
@@ -120,22 +138,14 @@ def loss(w: np.ndarray, bias: float, feature, of_sentence, of_doc, y):
     return -np.where(y == 1, np.log(any_), none).mean(), np.bincount(feature, g[of_sentence], len(w)), float(g.sum())
 
 
-def fit(examples: pa.Table) -> dict | None:
-    """Feature keys, weights and bias from rows of EXAMPLES."""
+def fit(examples: pa.Table, known: np.ndarray) -> dict:
+    """Weights of known features and the bias from rows of EXAMPLES."""
     y = examples.column("y").to_numpy()
-    if not 0 < y.sum() < len(y):
-        return None
     n = examples.column("n").to_numpy().astype(np.int64)
     lists = examples.column("features").combine_chunks()
-    feature = np.asarray(lists.flatten()).view(np.uint64)
     doc = np.repeat(np.arange(len(y)), np.diff(np.asarray(lists.offsets)))
+    feature, of_doc = np.asarray(lists.flatten()), np.repeat(np.arange(len(y)), n)
     of_sentence = np.asarray(examples.column("sentences").combine_chunks().flatten()).astype(np.int64) + (np.cumsum(n) - n)[doc]
-    known = _telling(feature, doc, y)
-    if not len(known):
-        return None
-    at = np.minimum(np.searchsorted(known, feature), len(known) - 1)
-    hit = known[at] == feature
-    feature, of_sentence, of_doc = at[hit], of_sentence[hit], np.repeat(np.arange(len(y)), n)
     w, bias = np.zeros(len(known)), -6.0
     m1, m2, b1, b2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, EPOCHS + 1):
@@ -155,16 +165,8 @@ def sentence_scores(model: dict | None, s: Slice):
     data, starts, ends, begin, end, doc, sentence = _tokens(s)
     if model is None or not len(starts):
         return np.zeros(n), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    _, parts, back = _kinds(data, begin, end)
-    n_sentences, size = int(sentence[-1]) + 1, len(model["keys"])
-    met = []
-    for part in parts:
-        at = np.minimum(np.searchsorted(model["keys"], part), size - 1)
-        at = np.where(model["keys"][at] == part, at, -1)[back]
-        hit = np.flatnonzero(at >= 0)
-        met.append(sentence[hit] * size + at[hit])
-    met = np.unique(np.concatenate(met))  # a feature counts once in a sentence, as in training
-    z = model["bias"] + np.bincount(met // size, model["w"][met % size], n_sentences)
+    at, f = _met(model["keys"], data, begin, end, sentence)
+    z = model["bias"] + np.bincount(at, model["w"][f], int(sentence[-1]) + 1)
     p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     firsts = np.flatnonzero(np.diff(sentence, prepend=-1))
     lasts = np.append(firsts[1:], len(sentence)) - 1
@@ -174,9 +176,22 @@ def sentence_scores(model: dict | None, s: Slice):
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, rows: dict[int, int] = SAMPLE) -> dict | None:
-    """The model from a bounded sample of the labels for which the column ``learn`` holds; hashed features are gathered, not texts."""
-    some = bounded(sample(docs, labels, "toxic", learn, rows)).mapInArrow(frugal(_examples), EXAMPLES)
-    return fit(some.toArrow().sort_by([("doc_id", "ascending")]))
+    """The model from a bounded sample of the labels for which the column ``learn`` holds.
+
+    Features are counted where the texts are; what is gathered are the counts of
+    those that several toxic documents hold, and then the sentences' places of the
+    telling ones.
+    """
+    some = table(bounded(sample(docs, labels, "toxic", learn, rows)), "toxicity-sample")
+    shares = some.agg(F.avg("y").alias("share")).first()["share"]
+    if not 0 < (shares or 0) < 1:
+        return None
+    counts = some.mapInArrow(frugal(_counts), COUNTS).groupBy("feature").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"))
+    got = counts.where(F.col("toxic") >= LEAST_DOCS).toArrow()
+    known = _telling(got.column("feature").to_numpy().view(np.uint64), np.stack([got.column(c).to_numpy() for c in ("plain", "toxic")], axis=1), shares)
+    if not len(known):
+        return None
+    return fit(some.mapInArrow(frugal(_examples(known)), EXAMPLES).toArrow().sort_by([("doc_id", "ascending")]), known)
 
 
 SCORED = "doc_id long, score double, offending array<struct<start:int,end:int,score:double>>"
