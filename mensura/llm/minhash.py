@@ -211,7 +211,7 @@ def crowded_links(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> Data
 
 def placed(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, node, comp) of the buckets that still hold several components."""
-    known = meet(shared, labels, ["node"], "key", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+    known = meet(shared, labels, ["node"], "key", "left", stored=True).select("key", "node", F.coalesce("label", "node").alias("comp"))
     split = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     return cut(meet(known, split, ["key"], "node"))
 
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # a turn of pivots that joins little is the last: what is left is compared in full, once
         tested, turn = tested.unionByName(found), turn + 1 if joined and joined * PIVOT_YIELD >= found.count() else -1
 
-    of = meet(membership, labels, ["node"], "doc_id", "left").select("doc_id", F.coalesce("label", "node").alias("component_id"))
+    of = meet(membership, labels, ["node"], "doc_id", "left", stored=True).select("doc_id", F.coalesce("label", "node").alias("component_id"))
     least = F.col("component_id")
     out = signed.select("doc_id", "n").join(of.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(least, F.col("doc_id")).alias("component_id")).withColumn(
