@@ -77,16 +77,21 @@ BROADCAST_ROWS = 1_000_000
 SALTS = 32
 
 
-def meet(rows: DataFrame, other: DataFrame, key: list[str], spread: str, how: str = "inner", most: int = BROADCAST_ROWS, stored: bool = False) -> DataFrame:
+def meet(
+    rows: DataFrame, other: DataFrame, key: list[str], spread: str | list[str], how: str = "inner", most: int = BROADCAST_ROWS, stored: bool = False, *, bound: int | None = None
+) -> DataFrame:
     """``rows`` joined with ``other``, which holds a row or few a key, so that a key with very many rows isn't one task's.
 
-    ``other`` is computed, unless it is ``stored``, and counted: up to ``most`` rows it is sent to all tasks;
-    beyond, rows of a key are dealt by the column ``spread`` over SALTS parts, to
-    each of which ``other`` is copied.
+    ``other`` is sent to all tasks where it holds up to ``most`` rows, which a
+    ``bound`` from a count of what it is made of can prove; else it is computed,
+    unless it is ``stored``, and counted. Beyond that, rows of a key are dealt by
+    the columns ``spread`` over SALTS parts, to each of which ``other`` is copied.
     """
-    other = other if stored else cut(other)
-    if other.count() <= most:
+    if bound is None or bound > most:
+        other = other if stored else cut(other)
+        bound = other.count()
+    if bound <= most:
         return rows.join(F.broadcast(other), key, how)
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*([spread] if isinstance(spread, str) else spread)), F.lit(SALTS)))
     copies = other.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(copies, [*key, "__salt"], how).drop("__salt")

@@ -46,6 +46,8 @@ CROWD = 48
 BROADCAST_IDS = 1_000_000
 _SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)
 _SIGMA = np.uint64(0xD1B54A32D192ED03)
+#: A pair of nodes and the components that they lie in.
+LINK = "a long, b long, ca long, cb long"
 
 
 def _pi(x: np.ndarray) -> np.ndarray:
@@ -116,7 +118,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both.sort()
             shared = int((both[1:] == both[:-1]).sum())
             keep[i] = DENOMINATOR * shared >= NUMERATOR * (len(both) - shared)
-        yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep))
+        yield batch.select(["a", "b", "ca", "cb"]).filter(pa.array(keep))
 
 
 def shingle_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -128,10 +130,19 @@ def shingle_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose full shingle sets are similar enough."""
+    """Those of pairs(a, b, ca, cb) whose full shingle sets are similar enough."""
     second = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     both = second.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(frugal(_confirm), "a long, b long").distinct())
+    return cut(both.select("a", "b", "ca", "cb", "x", "y").mapInArrow(frugal(_confirm), LINK))
+
+
+def _links(node: np.ndarray, comp: np.ndarray, found: list[tuple[int, np.ndarray]]) -> pa.Table:
+    """Rows of LINK for each (row, rows linked with it), the smaller node first."""
+    one = np.repeat(np.array([i for i, _ in found], np.int64), [len(x) for _, x in found])
+    two = np.concatenate([np.zeros(0, np.int64), *(x for _, x in found)])
+    swap = node[one] > node[two]
+    a, b = np.where(swap, two, one), np.where(swap, one, two)
+    return pa.table({"a": node[a], "b": node[b], "ca": comp[a], "cb": comp[b]})
 
 
 def _across(key: tuple, group: pa.Table) -> pa.Table:
@@ -139,15 +150,13 @@ def _across(key: tuple, group: pa.Table) -> pa.Table:
     node, comp, n = (group.column(c).to_numpy() for c in ("node", "comp", "n"))
     outside, inside = (np.flatnonzero(group.column(c).to_numpy(zero_copy_only=False)) for c in ("outsider", "member"))
     sig = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS).view(np.uint16)
-    a, b = [], []
+    found = []
     for i in outside:
         near = inside[comp[inside] != comp[i]]
         near = near[DENOMINATOR * np.minimum(n[near], n[i]) >= NUMERATOR * np.maximum(n[near], n[i])]
         near = near[(sig[near] == sig[i]).sum(axis=1) * 2 >= BANDS * ROWS]
-        a.append(np.minimum(node[near], node[i]))
-        b.append(np.maximum(node[near], node[i]))
-    join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-    return pa.table({"a": join(a), "b": join(b)})
+        found.append((i, near))
+    return _links(node, comp, found)
 
 
 def _grid(key: tuple, group: pa.Table) -> pa.Table:
@@ -159,7 +168,7 @@ def _grid(key: tuple, group: pa.Table) -> pa.Table:
     node, comp, n = (group.column(c).to_numpy() for c in ("node", "comp", "n"))
     outside, inside = (np.flatnonzero(group.column(c).to_numpy(zero_copy_only=False)) for c in ("outsider", "member"))
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("items")]
-    a, b = [], []
+    found = []
     if len(inside):
         shingle = np.concatenate([sets[i] for i in inside])
         owner = np.repeat(np.arange(len(inside)), [len(sets[i]) for i in inside])
@@ -172,11 +181,8 @@ def _grid(key: tuple, group: pa.Table) -> pa.Table:
             both = np.bincount(owner[at], minlength=len(inside))
             fine = np.flatnonzero((comp[inside] != comp[i]) & (DENOMINATOR * both >= NUMERATOR * (n[inside] + n[i] - both)))
             _, first = np.unique(comp[inside][fine], return_index=True)
-            linked = node[inside][fine[first]]
-            a.append(np.minimum(linked, node[i]))
-            b.append(np.maximum(linked, node[i]))
-    join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-    return pa.table({"a": join(a), "b": join(b)})
+            found.append((i, inside[fine[first]]))
+    return _links(node, comp, found)
 
 
 def crowded_links(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -206,24 +212,24 @@ def crowded_links(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> Data
     down = known.withColumn("column", place("c")).withColumn("row", F.explode(span("n_out"))).withColumn("outsider", F.lit(False)).withColumn("member", F.lit(True))
     dealt = across_.select(cols).unionByName(down.select(cols))
     full = dealt.join(nodes.select("node", "n"), "node").join(sets.select(F.col("id").alias("node"), "items"), "node")
-    return cut(full.groupBy("cluster", "row", "column").applyInArrow(_grid, "a long, b long").distinct())
+    return cut(full.groupBy("cluster", "row", "column").applyInArrow(_grid, LINK).distinct())
 
 
-def placed(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, comp) of the buckets that still hold several components."""
-    known = meet(shared, labels, ["node"], "key", "left", stored=True).select("key", "node", F.coalesce("label", "node").alias("comp"))
+def placed(members: DataFrame, more: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of members(key, node, comp) after the links ``more``, of the buckets that still hold several components."""
+    merged = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), "label")
+    known = meet(members, merged, ["comp"], "node", "left", stored=True).select("key", "node", F.coalesce("label", "comp").alias("comp"))
     split = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return cut(meet(known, split, ["key"], "node"))
+    return cut(meet(known, split, ["key"], "node", bound=n))
 
 
-def pivoted(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each bucket's members and one of them, another in every turn and bucket, across components."""
-    mask = F.xxhash64("key", F.lit(turn))
-    least = members.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("v"))
-    pivots = cut(least.select("key", F.col("v").bitwiseXOR(mask).alias("node")))
-    of = meet(members, pivots, ["key", "node"], "comp").select("key", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")).distinct()
-    met = meet(members, of, ["key"], "node").where("comp <> pivot_comp")
-    return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+def pivoted(members: DataFrame, turn: int, n: int) -> DataFrame:
+    """Pairs of each bucket's members (``n`` in all) and one of them, another in every turn and bucket, across components."""
+    at = F.col("node").bitwiseXOR(F.xxhash64("key", F.lit(turn)))
+    pivots = members.groupBy("key").agg(F.min_by("node", at).alias("pivot"), F.min_by("comp", at).alias("pivot_comp"))
+    met = meet(members, pivots, ["key"], "node", bound=n).where("comp <> pivot_comp")
+    ends = {"a": ("node", "pivot"), "b": ("pivot", "node"), "ca": ("comp", "pivot_comp"), "cb": ("pivot_comp", "comp")}
+    return met.select(*(F.when(F.col("node") < F.col("pivot"), F.col(x)).otherwise(F.col(y)).alias(c) for c, (x, y) in ends.items())).distinct()
 
 
 def across(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -239,7 +245,7 @@ def across(members: DataFrame, nodes: DataFrame) -> DataFrame:
     outsider = F.col("comp") != F.col("main")
     dealt = dealt.withColumn("block", F.explode(F.when(outsider, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("mine"))))
     dealt = dealt.select("key", "block", "node", "comp", outsider.alias("outsider"), (F.col("block") == F.col("mine")).alias("member"))
-    return dealt.join(nodes, "node").groupBy("key", "block").applyInArrow(_across, "a long, b long").distinct()
+    return dealt.join(nodes, "node").groupBy("key", "block").applyInArrow(_across, LINK).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -258,31 +264,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = table(meet(spread, buckets, ["key"], "node"), "minhash-buckets")
     sets = shingle_sets(shared.select(F.col("node").alias("id")).distinct(), docs)
 
-    none = spark.createDataFrame([], "a long, b long")
-    tested, turn = none, 0
     # an id whose rows have different texts is one document, which belongs to the classes of all of them
     ids = membership.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
     links = cut(membership.join(ids, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct())
-    labels = components(links)
-    while not (members := placed(shared, labels)).isEmpty():
+    members, tested, turn = shared.withColumn("comp", F.col("node")), spark.createDataFrame([], "a long, b long"), 0
+    if not links.isEmpty():
+        members = placed(members, links.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), shared.count())
+    while n := members.count():
         full = turn < 0
         if full:
             crowd = cut(members.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("key"))
-            links = links.unionByName(crowded_links(members.join(crowd, "key"), nodes, sets))
-            labels = components(links)
-            members = cut(placed(shared, labels).join(crowd, "key", "left_anti"))
-        found = across(members, nodes) if full else pivoted(members, turn)
+            if not crowd.isEmpty():
+                more = crowded_links(meet(members, crowd, ["key"], "node", stored=True, bound=n), nodes, sets)
+                links = links.unionByName(more.select("a", "b"))
+                members = placed(meet(members, crowd, ["key"], "node", "left_anti", stored=True, bound=n), more, n)
+        found = across(members, nodes) if full else pivoted(members, turn, n)
         found = cut(found.join(tested, ["a", "b"], "left_anti"))
         more = verified(found, sets)
         joined = more.count()
         if joined:
-            links = links.unionByName(more)
-            labels = components(links)
+            links = links.unionByName(more.select("a", "b"))
         if full:
             break
+        if joined:
+            members = placed(members, more, n)
         # a turn of pivots that joins little is the last: what is left is compared in full, once
-        tested, turn = tested.unionByName(found), turn + 1 if joined and joined * PIVOT_YIELD >= found.count() else -1
+        tested, turn = tested.unionByName(found.select("a", "b")), turn + 1 if joined and joined * PIVOT_YIELD >= found.count() else -1
 
+    labels = components(links)
     of = meet(membership, labels, ["node"], "doc_id", "left", stored=True).select("doc_id", F.coalesce("label", "node").alias("component_id"))
     least = F.col("component_id")
     out = signed.select("doc_id", "n").join(of.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left")
