@@ -456,6 +456,14 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 140)) and got[300] == 199
 
 
+def test_components_beyond_the_size_that_is_sent_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(_store, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(_store.meet, "__defaults__", ("inner", 0, False))
+    links = [(i, i + 1) for i in range(9)] + [(20, k) for k in range(21, 60)] + [(70, 70), (81, 80), (80, 81)]
+    got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(10)} | {k: 20 for k in range(20, 60)} | {80: 80, 81: 80}
+
+
 def test_near_duplicates_that_the_leader_misses(spark, monkeypatch):
     # a chain: neighbours are alike, ends are not, so one bucket's leader can't confirm all
     monkeypatch.setattr(minhash, "COMPARE_BLOCK", 4)
