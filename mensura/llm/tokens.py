@@ -15,6 +15,7 @@ import numpy as np
 from mensura.llm._text import Slice, hash_words
 
 CACHE_WORDS = 3 << 19
+LEARN_WORDS = 1 << 13
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -32,13 +33,14 @@ class WordEncoder:
         self.starts, self.flat = np.zeros(1, np.int32), np.zeros(0, self.kind)
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.array(list(chain.from_iterable(ids)), self.kind)
+        sizes, parts = [], [self.flat]
+        for at in range(0, len(words), LEARN_WORDS):  # what the tokenizer returns of a word takes far more room than its ids
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + LEARN_WORDS], add_special_tokens=False)]
+            sizes += map(len, ids)
+            parts.append(np.array(list(chain.from_iterable(ids)), self.kind))
         places = np.arange(len(keys), dtype=np.int32) + np.int32(len(self.keys))
-        self.starts = np.concatenate([self.starts, (self.starts[-1] + np.cumsum(sizes)).astype(np.int32)])
-        self.flat = np.concatenate([self.flat, flat])
+        self.starts = np.concatenate([self.starts, (self.starts[-1] + np.cumsum(sizes, dtype=np.int64)).astype(np.int32)])
+        self.flat = np.concatenate(parts)
         at = np.searchsorted(self.keys, keys)
         self.keys, self.places = np.insert(self.keys, at, keys), np.insert(self.places, at, places)
 
