@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mensura.llm import ball_kmeans, lexical, licenses, maxscore, minhash, packing, ppm, quality_ranker, quality_rules, source_mix, suffix_dedup, toxicity
+from mensura.llm import ball_kmeans, lexical, licenses, maxscore, minhash, packing, pivots, ppm, quality_ranker, quality_rules, source_mix, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_vector_packing": packing.query,
     "op10_suffix_dedup": suffix_dedup.query,
     "op11_ball_kmeans": ball_kmeans.query,
+    "op12_pivot_permutation": pivots.query,
     "op13_quantised_index": lexical.query,
     "instruction_packing": packing.instruction_query,
 }
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op5_maxscore_topk": maxscore.ORACLE,
     "op6_circulant_minhash": minhash.ORACLE,
     "op11_ball_kmeans": ball_kmeans.oracle(),
+    "op12_pivot_permutation": pivots.ORACLE,
     "op13_quantised_index": lexical.ORACLE,
 }
