@@ -39,6 +39,8 @@ def write(spark, folder, rows, labels, vectors, extra=True):
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     turns = [(r[0], k % 3, ("user", "assistant", None)[k % 3], r[1]) for k, r in enumerate(rows)]
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    items = [(1, "the quick brown fox"), (2, None), (3, ""), (None, "river stone"), (4, "river 3 é stone")] if rows else []
+    spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'x' AS doc_id", "'y' AS term").write.parquet(f"{folder}/benchmark.parquet")
     return str(folder)
 
 

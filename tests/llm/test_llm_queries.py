@@ -39,7 +39,7 @@ def test_matches_sql(spark, name):
     check(spark, name, SF)
 
 
-@pytest.mark.parametrize("name", ["op1_quality_rules", "op4_source_mix"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op4_source_mix", "op11_ball_kmeans", "op13_quantised_index"])
 def test_matches_sql_on_odd_rows(spark, name, odd_dir):
     check(spark, name, odd_dir)
 
@@ -62,7 +62,7 @@ def test_empty_tables(spark, name, empty_dir):
 def test_entry_lists_them():
     names = set(__spark_entry__.queries())
     assert names >= set(registry.QUERIES) | {"pipeline"}
-    assert sorted(int(n.split("_")[0][2:]) for n in registry.QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in registry.QUERIES if n.startswith("op")) == list(range(1, 14))
 
 
 def test_vectors_that_take_no_part(spark, odd_dir):
