@@ -102,6 +102,18 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def bare(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words without the bytes of ``edge`` on either side; a word of such bytes only is left empty."""
+    solid = np.flatnonzero(~edge[data])
+    low, high = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+    some = high > low
+    if not len(solid):
+        return starts.copy(), starts.copy()
+    last = len(solid) - 1
+    begin = np.where(some, solid[np.minimum(low, last)], starts)
+    return begin, np.where(some, solid[np.maximum(high - 1, 0)] + 1, starts)
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ``size``-word shingles of each row and for each row the index of its first one (rows + 1).
 

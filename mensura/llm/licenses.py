@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mensura.llm._store import bounded, frugal
-from mensura.llm._text import LOWER, Slice, hash_words, mix, slices
+from mensura.llm._text import LOWER, Slice, bare, hash_words, mix, slices
 
 RUN = 3
 BAND = 8
@@ -109,13 +109,15 @@ MATCHES = "doc_id long, license string, coverage double, span_start int, span_en
 
 
 def bare_words(s: Slice):
-    """Starts and ends of a slice's words without outer punctuation, their hashes in lower case, and each text's first word."""
+    """Starts and ends of a slice's words without outer punctuation, their hashes in lower case, and each text's first word.
+
+    Words of nothing but punctuation, as the marks of comment lines, are left out.
+    """
     data = LOWER[s.data]
     starts, ends, first = s.words(data)
-    begin, end = starts.copy(), ends.copy()
-    for _ in range(4):
-        begin += (begin < end) & _EDGE[data[np.minimum(begin, max(len(data) - 1, 0))]]
-        end -= (end > begin) & _EDGE[data[np.maximum(end - 1, 0)]]
+    begin, end = bare(data, starts, ends, _EDGE)
+    some = end > begin
+    begin, end, first = begin[some], end[some], np.concatenate([[0], np.cumsum(some)])[first]
     return begin, end, hash_words(data, begin, end), first
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mensura.llm._store import bounded, frugal, table
-from mensura.llm._text import LOWER, Slice, hash_words, mix, slices
+from mensura.llm._text import LOWER, Slice, bare, hash_words, mix, slices
 from mensura.llm.labelled import remainder, sample
 
 SAMPLE = {0: 9_000, 1: 4_000}
@@ -45,10 +45,7 @@ def _tokens(s: Slice):
     turn = np.ones(len(starts), bool)
     turn[1:] = (doc[1:] != doc[:-1]) | (stops[starts[1:]] != stops[starts[:-1]])
     sentence = np.cumsum(turn) - 1
-    begin, end = starts.copy(), ends.copy()
-    for _ in range(8):
-        begin += (begin < end) & _PUNCT[data[np.minimum(begin, max(len(data) - 1, 0))]]
-        end -= (end > begin) & _PUNCT[data[np.maximum(end - 1, 0)]]
+    begin, end = bare(data, starts, ends, _PUNCT)
     return data, starts, ends, begin, end, doc, sentence
 
 

@@ -1,11 +1,13 @@
 """Operators on inputs above the sizes at which they once left something out."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mensura.llm import licenses, ppm, quality_ranker, tokens
+from mensura.llm import licenses, ppm, quality_ranker, tokens, toxicity
 from mensura.llm._text import slices
 
 LARGE = "/root/testdata/sf0.1"
@@ -59,6 +61,50 @@ def test_single_word_edits_of_templates_are_found(name):
             assert any(r["doc_id"] == i and (r["license"] == name or r["matched_words"] >= n) for r in rows), texts[i]
 
 
+@pytest.mark.parametrize("marks", [*range(0, 12), 40, 5000])
+def test_marks_around_words_hide_nothing(marks):
+    fence, notice = "#" * marks, "All rights reserved."
+    header = licenses.TEMPLATES["gpl-header"].split()
+    lines = "\n".join(f" {'*' * max(marks, 1)} {' '.join(header[i : i + 6])}" for i in range(0, len(header), 6))
+    batch = pa.record_batch({"doc_id": pa.array([0, 1, 2]), "text": pa.array([f"{fence}{notice}{fence}", lines, f"{fence} {fence}"])})
+    rows = [r for b in licenses._scan(licenses.TEMPLATES, licenses.COVERAGE)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["license"], r["coverage"]) for r in rows] == [(0, "all-rights-reserved", 1.0), (1, "gpl-header", 1.0)]
+    data, _, _, begin, end, _, _ = toxicity._tokens(next(iter(slices(pa.array([f"{fence}grobnik{fence} {fence} a.b"])))))
+    assert [data[a:b].tobytes() for a, b in zip(begin, end)] == [b"grobnik", *([b""] if marks else []), b"a.b"]
+
+
+def alignment(text, template):
+    """Words matched of the best local alignment, over all cells."""
+    best, score = 0, [(0, 0)] * (len(text) + 1)
+    for word in template:
+        row = [(0, 0)]
+        for j, other in enumerate(text):
+            same = int(word == other)
+            row.append(max((0, 0), (score[j][0] + (2 if same else -1), score[j][1] + same), (score[j + 1][0] - 1, score[j + 1][1]), (row[-1][0] - 1, row[-1][1])))
+        best, score = max(best, max(row)[1]), row
+    return best
+
+
+def test_recall_of_templates_with_several_edits():
+    r = random.Random(3)
+    index, texts, wanted = licenses.Index(), [], []
+    for name, words in zip(index.names, index.words):
+        plain = licenses.TEMPLATES[name].split()
+        for share in (0.05, 0.1, 0.2):
+            for _ in range(6):
+                out = []
+                for w in plain:
+                    roll = r.random()
+                    out += [w] if roll >= share else r.choice([["zzz"], [], [w, "yyy"]])
+                texts.append(" ".join(["qqq", *out, "eee"]))
+                local = licenses.bare_words(next(iter(slices(pa.array([texts[-1]])))))[2]
+                if alignment(local.tolist(), words.tolist()) >= licenses.COVERAGE * len(words):
+                    wanted.append((len(texts) - 1, name))
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    found = {r["doc_id"] for b in licenses._scan(licenses.TEMPLATES, licenses.COVERAGE)(iter([batch])) for r in b.to_pylist()}
+    assert len(wanted) > 200 and sum(i in found for i, _ in wanted) >= 0.97 * len(wanted)
+
+
 def test_words_of_a_slice_beyond_the_cache(monkeypatch):
     import public_tokenizers
 
