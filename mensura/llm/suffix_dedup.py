@@ -20,7 +20,10 @@ all their windows. What is left is compared in these steps.
 4. Cores that meet many different surroundings within one task (a passage's ends,
    in whatever it is pasted into) are crowded: no task gathers all of their pieces.
    They are dealt by their bytes, and what remains as one row a window, dealt by
-   the window's hash.
+   the window's hash. Groups that grow beyond GROUP different rows only where all
+   tasks meet go the same way, as they come: no task holds more than that of one
+   mark or core, though a task reads up to FEW_KINDS rows of a mark, and KINDS of
+   a core, from each HELD rows of another.
 5. Each text's decided windows are united and cut out.
 
 Every step makes rows in proportion to those before it, at most 4 pieces a mark
@@ -59,7 +62,9 @@ MARK_SLICE = 1 << 20
 STEP = 20
 CORE = LENGTH - STEP + 1
 EXT = 2 * STEP  # STEP - 1 bytes on each side and two for the range of windows
+FEW_KINDS = 4
 KINDS = 32
+GROUP = 4096
 CHUNK = 16_384
 BROADCAST_IDS = 1_000_000
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -232,26 +237,47 @@ def _mark(held: int, kinds: int):
     return run
 
 
-def _settled(batches: Iterator[pa.RecordBatch], columns: tuple, single, crowded, decided) -> Iterator[pa.RecordBatch]:
+def _settled(batches: Iterator[pa.RecordBatch], columns: tuple, later, single, large, crowded, decided, most: int) -> Iterator[pa.RecordBatch]:
     """Goes through rows sorted by (kind, h, s, doc, at).
 
-    ``single`` gets the columns of SINGLE rows, all of an h together, ``crowded``
-    those of CROWDED rows with which of them are the first of their (h, s), and
-    ``decided`` the others. What is held back are the rows of the last h, which has
-    at most a few rows from each task, or the last (h, s).
+    Of SINGLE rows ``later`` gets those that aren't the first of their (h, s), at
+    once, ``single`` the first ones, all of an h together with which h were told of,
+    and ``large`` the first ones of an h that has more than ``most`` of them, as they
+    come. ``crowded`` gets CROWDED rows with which of them are the first of their
+    (h, s), and ``decided`` the others. What is held back are ``most`` rows of the
+    last h at most, or the last (h, s), however many rows a task gets of one h.
     """
-    held, last = None, None
+    held, told, last_of, beyond, last = None, None, None, None, None
     for batch in batches:
         kind = batch.column("kind").to_numpy()
         all_ = [_fixed(batch.column(c)) if c == "ext" else batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
         own = [c[kind == SINGLE] for c in all_]
-        if held is not None:
-            own = [np.concatenate(x) for x in zip(held, own)]
         if len(own[0]):
+            place = own[3] != NO_PLACE
+            first = _new(own[0], own[1], place)
+            first[0] &= last_of != (own[0][0], own[1][0], place[0])
+            last_of = (own[0][-1], own[1][-1], place[-1])
+            yield from later(*(c[place & ~first] for c in own))
+            tell = np.unique(own[0][~place])
+            told = tell if told is None else np.concatenate([told, tell])
+            own = [c[place & first] for c in own]
+            gone = own[0] == beyond
+            if gone.any():
+                yield from large(*(c[gone] for c in own))
+                own = [c[~gone] for c in own]
+        if len(own[0]):
+            if held is not None:
+                own = [np.concatenate(x) for x in zip(held, own)]
+            held = None
             end = int(np.searchsorted(own[0], own[0][-1], "left")) if not (kind != SINGLE).any() else len(own[0])
+            if len(own[0]) - end > most:
+                beyond = own[0][-1]
+                yield from large(*(c[end:] for c in own))
+            elif end < len(own[0]):
+                held = [c[end:] for c in own]
             if end:
-                yield from single(*(c[:end] for c in own))
-            held = [c[end:] for c in own] if end < len(own[0]) else None
+                yield from single(told, *(c[:end] for c in own))
+            told = told[told >= own[0][-1]]
         own = [c[kind == CROWDED] for c in all_]
         if len(own[0]):
             first = _new(own[0], own[1])
@@ -262,34 +288,32 @@ def _settled(batches: Iterator[pa.RecordBatch], columns: tuple, single, crowded,
         if len(own[0]):
             yield from decided(*own[:4])
     if held is not None:
-        yield from single(*held)
+        yield from single(told, *held)
 
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decide(most: int):
     """Marks by (kind, h, s, doc, at): intervals, and the marks whose surroundings have to be looked at."""
 
-    def lose(doc, at):
+    def later(h, s, doc, at):
         x0, many, _ = _parts(at)
-        return _rows(*_intervals(doc, x0, x0 + many - 1 + LENGTH))
+        yield _rows(*_intervals(doc, x0, x0 + many - 1 + LENGTH))
+
+    def large(h, s, doc, at):
+        yield _rows(SINGLE, h, s, doc, at)
 
-    def single(h, s, doc, at):
-        place = at != NO_PLACE
+    def single(told, h, s, doc, at):
         new = _new(h)
-        several = _of_each(new, ~place) > 0
-        first = _new(h, s, place) & place
-        several |= _of_each(new, first) > 1
-        yield lose(doc[place & ~first], at[place & ~first])
-        need = first & several
-        yield _rows(SINGLE, h[need], s[need], doc[need], at[need])
+        several = (_of_each(new, np.ones(len(h), bool)) > 1) | np.isin(h, told)
+        yield from large(h[several], s[several], doc[several], at[several])
 
     def crowded(first, h, s, doc, at):
-        yield lose(doc[~first], at[~first])
-        yield _rows(SINGLE, h[first], s[first], doc[first], at[first])
+        yield from later(h[~first], s[~first], doc[~first], at[~first])
+        yield from large(h[first], s[first], doc[first], at[first])
 
     def decided(h, s, doc, at):
         yield _rows(DECIDED, h, s, doc, at)
 
-    yield from _settled(batches, ("h", "s", "doc", "at"), single, crowded, decided)
+    return lambda batches: _settled(batches, ("h", "s", "doc", "at"), later, single, large, crowded, decided, most)
 
 
 def _fixed(column: pa.Array) -> np.ndarray:
@@ -416,7 +440,7 @@ def resolve(h, doc, at, shard, by_right, by_left, ext):
 FOUND = "h long, w long, doc long, a long, b long"
 
 
-def _resolve(held: int, chunk: int):
+def _resolve(held: int, chunk: int, most: int):
     """Pieces by (kind, h, s, doc, at): intervals (doc, a, b), and windows (h, w, doc, a) of crowded groups, without an end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,15 +479,16 @@ def _resolve(held: int, chunk: int):
                 if len(some) and gathered.add(h[some], _folded(h[some], own), doc[some], x0[some] + high[some] - e):
                     yield from windows()
 
-        def single(h, s, doc, at, shard, by_right, by_left, ext):
-            place = at != NO_PLACE
-            new = _new(h)
-            told = _of_each(new, ~place) > 0
-            first = _new(h, s, place) & place
-            yield lose(doc[place & ~first], at[place & ~first])
-            some = first & told
+        def later(h, s, doc, at, *rest):
+            yield lose(doc, at)
+
+        def large(h, s, doc, at, shard, by_right, by_left, ext):
+            yield from each_window(h, doc, at, ext)
+
+        def single(told, h, s, doc, at, shard, by_right, by_left, ext):
+            some = np.isin(h, told)
             yield from each_window(h[some], doc[some], at[some], ext[some])
-            some = first & ~told & (_of_each(new, first) > 1)
+            some = ~some & (_of_each(_new(h), np.ones(len(h), bool)) > 1)
             if some.any() and merging.add(*(c[some] for c in (h, doc, at, shard, by_right, by_left, ext))):
                 yield found(*resolve(*merging.take()))
 
@@ -474,7 +499,8 @@ def _resolve(held: int, chunk: int):
         def decided(h, s, doc, at):
             yield found(doc, at, s)
 
-        yield from _settled(batches, ("h", "s", "doc", "at", "shard", "by_right", "by_left", "ext"), single, crowded, decided)
+        columns = ("h", "s", "doc", "at", "shard", "by_right", "by_left", "ext")
+        yield from _settled(batches, columns, later, single, large, crowded, decided, most)
         if merging.n:
             yield found(*resolve(*merging.take()))
         if gathered.n:
@@ -553,19 +579,22 @@ def _texts(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return picked.join(lists, "doc")
 
 
-def repeated_parts(docs: DataFrame, as_text: bool = False, held: int = HELD, kinds: int = KINDS, chunk: int = CHUNK) -> DataFrame:
+def repeated_parts(
+    docs: DataFrame, as_text: bool = False, held: int = HELD, kinds: int = KINDS, chunk: int = CHUNK, few: int = FEW_KINDS, most: int = GROUP
+) -> DataFrame:
     """doc, n_removed, n_spans and ``rest`` (what remains, as bytes or text) of the documents(doc, text) that lose bytes.
 
-    ``held`` rows a task reduces at once; ``kinds`` from which a group is crowded;
-    ``chunk`` rows are merged at once. None of these changes the result.
+    ``held`` rows a task reduces at once; ``few`` and ``kinds`` from which a mark and a
+    core are crowded; ``chunk`` rows are merged at once, ``most`` of one group. None
+    of these changes the result.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deal = lambda df: df.repartition(n, F.expr(DEAL)).sortWithinPartitions("kind", "h", "s", "doc", "at")
-    found = bounded(docs).select("doc", "text").mapInArrow(frugal(_mark(held, kinds)), ROWS)
-    decided = table(deal(found).mapInArrow(frugal(_decide), ROWS), "suffix-marks")
+    found = bounded(docs).select("doc", "text").mapInArrow(frugal(_mark(held, few)), ROWS)
+    decided = table(deal(found).mapInArrow(frugal(_decide(most)), ROWS), "suffix-marks")
     needed = cut(decided.where(F.col("kind") == SINGLE).groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("marks")))
     pieces = _texts(docs, needed).select("doc", "text", "marks").mapInArrow(frugal(_extract(held, kinds)), PIECES)
-    resolved = table(deal(pieces).mapInArrow(frugal(_resolve(held, chunk)), FOUND), "suffix-pieces")
+    resolved = table(deal(pieces).mapInArrow(frugal(_resolve(held, chunk, most)), FOUND), "suffix-pieces")
     windows = resolved.where("b < 0").repartition(n, "h", "w").sortWithinPartitions("h", "w", "doc", "a").mapInArrow(frugal(_later), "doc long, a long, b long")
     early = decided.where(F.col("kind") == DECIDED).select("doc", F.col("at").alias("a"), F.col("s").alias("b"))
     all_ = early.unionByName(resolved.where("b >= 0").select("doc", "a", "b")).unionByName(windows)

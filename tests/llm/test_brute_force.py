@@ -96,18 +96,64 @@ def test_suffix_dedup_on_hard_rows(spark, tmp_path, seed):
     dedup_check(spark, pairs, tmp_path)
 
 
-@pytest.mark.parametrize("kinds,held,chunk", [(0, 64, 50), (1, 200, 10), (2, 1 << 18, 1 << 14), (10**6, 100, 10**6), (10**6, 100, 5)])
-def test_suffix_dedup_of_crowded_marks(spark, kinds, held, chunk):
+@pytest.mark.parametrize("kinds,held,chunk,few,most", [(0, 64, 50, 0, 9), (1, 200, 10, 3, 1), (2, 1 << 18, 1 << 14, 4, 4096), (10**6, 100, 10**6, 10**6, 5), (10**6, 100, 5, 1, 10**6)])
+def test_suffix_dedup_of_crowded_marks(spark, kinds, held, chunk, few, most):
     r = random.Random(9)
     passage = "".join(r.choice("abcdefghij ") for _ in range(260))
     line = "".join(r.choice("vwxyz ") for _ in range(95))
     noise = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
     pairs = [(i, noise("kl", 150) + passage + noise("qrs", r.randint(0, 150)) + noise("kl", 3) + line + noise("qr", 3) + noise("mn", 90)) for i in range(60)]
     docs = spark.createDataFrame(pairs, "doc long, text string").repartition(3)
-    got = {x["doc"]: (x["n_removed"], x["n_spans"]) for x in suffix_dedup.repeated_parts(docs, held=held, kinds=kinds, chunk=chunk).collect()}
+    got = {x["doc"]: (x["n_removed"], x["n_spans"]) for x in suffix_dedup.repeated_parts(docs, held=held, kinds=kinds, chunk=chunk, few=few, most=most).collect()}
     assert [got.get(i, (0, 0)) for i, _ in pairs] == [x[1:3] for x in brute_dedup(pairs)]
 
 
+def test_suffix_dedup_holds_few_rows_of_a_mark_that_is_crowded_in_no_task(spark):
+    """A passage that occurs a few times in each of many flushes."""
+    r = random.Random(11)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = noise(130)
+    pairs = [(i, noise(120) + (passage if i % 5 == 0 else noise(20)) + noise(90)) for i in range(400)]
+    docs = spark.createDataFrame(pairs, "doc long, text string").repartition(3)
+    got = {x["doc"]: x["n_removed"] for x in suffix_dedup.repeated_parts(docs, held=60, most=8).collect()}
+    assert [got.get(i, 0) for i, _ in pairs] == [x[1] for x in brute_dedup(pairs)]
+
+
+@pytest.mark.parametrize("most,size", [(3, 7), (1, 1), (50, 16), (10**6, 5)])
+def test_settled_groups_are_whole_or_come_in_order(most, size):
+    r = random.Random(most + size)
+    rows = sorted({(r.choice([0, 0, 0, 1]), r.choice([5, -3, 9, 9, 9, 9]), r.randint(-6, 9) or 1, r.randint(0, 3), r.randint(0, 2)) for _ in range(160)} | {(0, 9, 0, 0, suffix_dedup.NO_PLACE)})
+    columns = {c: pa.array(v, pa.int32() if c == "kind" else pa.int64()) for c, v in zip(("kind", "h", "s", "doc", "at"), zip(*rows))}
+    batch = pa.record_batch(columns)
+    later, single, large, crowded = [], {}, [], []
+
+    def whole(told, h, s, doc, at):
+        assert not set(h.tolist()) & set(single)
+        for x in zip(h.tolist(), s.tolist(), doc.tolist(), at.tolist()):
+            single.setdefault(x[0], []).append(x)
+        for k in set(h.tolist()):
+            single[k] += [k in told, None]
+        return []
+
+    steps = [batch.slice(i, size) for i in range(0, len(rows), size)]
+    list(suffix_dedup._settled(
+        iter(steps), ("h", "s", "doc", "at"), lambda *c: later.extend(zip(*(x.tolist() for x in c))) or [], whole,
+        lambda *c: large.extend(zip(*(x.tolist() for x in c))) or [], lambda first, *c: crowded.extend(zip(first.tolist(), *(x.tolist() for x in c))) or [], lambda *c: [], most,
+    ))
+    mine = [x[1:] for x in rows if x[0] == 0 and x[4] != suffix_dedup.NO_PLACE]
+    firsts = {}
+    for x in mine:
+        firsts.setdefault(x[:2], x)
+    groups = {}
+    for x in firsts.values():
+        groups.setdefault(x[0], []).append(x)
+    assert sorted(later) == sorted(x for x in mine if x not in firsts.values())
+    assert sorted(large + [x for v in single.values() for x in v if isinstance(x, tuple)]) == sorted(firsts.values())
+    for h, v in single.items():
+        assert v[:-2] == groups[h] and v[-2] == (h == 9) and len(v) - 2 <= max(most, size + most)
+    assert [x[1:] for x in crowded] == [x[1:] for x in rows if x[0] == 1] and sum(x[0] for x in crowded) == len({x[1:3] for x in rows if x[0] == 1})
+
+
 def test_suffix_dedup_of_parts_of_a_long_text(spark, tmp_path):
     r = random.Random(4)
     long = " ".join(str(r.randrange(10**9)) for _ in range(320_000))
