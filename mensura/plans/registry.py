@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from mensura.plans import catalogue, domain, streams, takeoff
+from mensura.plans import catalogue, domain, drawing, streams, takeoff
 
-QUERIES = catalogue.QUERIES | domain.QUERIES | streams.QUERIES | takeoff.QUERIES
-ORACLE_SQL = catalogue.ORACLE_SQL | domain.ORACLE_SQL | streams.ORACLE_SQL | takeoff.ORACLE_SQL
+QUERIES = catalogue.QUERIES | domain.QUERIES | streams.QUERIES | takeoff.QUERIES | drawing.QUERIES
+ORACLE_SQL = catalogue.ORACLE_SQL | domain.ORACLE_SQL | streams.ORACLE_SQL | takeoff.ORACLE_SQL | drawing.ORACLE_SQL
 FLAGSHIP = "boq_rollup"
