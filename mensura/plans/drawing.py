@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.operators import scalebars, spatial, tiles
+from mensura.operators import docks, scalebars, spatial, tiles
 from mensura.operators.lineage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,3 +225,53 @@ def surface_regions(spark, d):
     border = tiles.outlines(filled, 24, TILE_SIDE).select(F.col("page.page").alias("page"), F.col("page.region").alias("region"), "n_corners", F.col("area").cast("long").alias("outer_area"), F.size("points").alias("n_points"))
     met = kept.join(sums, ["page", "region"], "left").join(border, ["page", "region"], "left")
     return met.fillna(0, ["n_voids", "filled_pixels"])
+
+
+# Suppliers are pages; their lines are doors, walls and edges of a dock, or noise, by the part's remainder.
+_DOOR, _NEAR, _FAR, _EDGE = "l_partkey % 7 < 3", "l_partkey % 7 = 3", "l_partkey % 7 = 4", "l_partkey % 7 = 5"
+SEGMENT = {
+    "page": "l_suppkey", "seq": "l_orderkey * 100000000 + l_partkey * 10 + l_linenumber",
+    "orientation": f"CASE WHEN {_DOOR} THEN 'V' WHEN l_partkey % 7 = 6 THEN 'V' ELSE 'H' END",
+    "a0": f"CAST(CASE WHEN {_DOOR} THEN 100 WHEN {_NEAR} THEN 195 WHEN {_EDGE} THEN 190 ELSE 190 + l_partkey % 9 END AS DOUBLE)",
+    "a1": f"CAST(CASE WHEN {_DOOR} THEN CASE WHEN l_suppkey % 4 = 3 THEN 141 ELSE 131 END WHEN {_NEAR} THEN 525 WHEN {_EDGE} THEN 530 + l_partkey % 3 ELSE 520 END AS DOUBLE)",
+    "p0": f"CAST(CASE WHEN {_DOOR} THEN 200 + 30 * (l_linenumber + l_partkey % 5) WHEN {_NEAR} THEN 100 - l_partkey % 3 WHEN {_FAR} THEN CASE WHEN l_suppkey % 5 = 0 THEN 131 ELSE 500 END "
+          f"WHEN {_EDGE} THEN CASE WHEN l_suppkey % 7 = 2 THEN 80 ELSE 95 END ELSE 900 + l_partkey % 50 END AS DOUBLE)",
+    "grey": f"{_DOOR} OR {_EDGE}", "tone": f"CASE WHEN {_EDGE} AND l_suppkey % 6 = 1 THEN 100 ELSE 210 END",
+}
+
+
+@query(f"""
+WITH sg AS (SELECT DISTINCT {_columns(SEGMENT)} FROM lineitem), s AS (SELECT *, p0 AS mid, a1 - a0 AS len FROM sg),
+f AS (SELECT page, orientation, a0, a1, min(seq) AS seq, count(DISTINCT mid) AS doors, min(mid) AS f0, max(mid) AS f1 FROM s WHERE grey AND len * 0.1::DOUBLE BETWEEN 2.5 AND 3.7
+      GROUP BY page, orientation, a0, a1 HAVING count(DISTINCT mid) >= 8 AND (max(mid) - min(mid)) * 0.1::DOUBLE >= 20),
+e AS (SELECT f.*, (SELECT min(abs(w.mid - f.a0) * 0.1::DOUBLE) FROM s w WHERE w.page = f.page AND w.orientation <> f.orientation AND w.len / (f1 - f0) BETWEEN 0.8 AND 1.7 AND abs(w.mid - f.a0) * 0.1::DOUBLE <= 1.5) AS d0,
+      (SELECT min(abs(w.mid - f.a1) * 0.1::DOUBLE) FROM s w WHERE w.page = f.page AND w.orientation <> f.orientation AND w.len / (f1 - f0) BETWEEN 0.8 AND 1.7 AND abs(w.mid - f.a1) * 0.1::DOUBLE <= 1.5) AS d1 FROM f),
+n AS (SELECT *, CASE way WHEN -1 THEN a0 ELSE a1 END AS near, CASE way WHEN -1 THEN a1 ELSE a0 END AS far FROM (
+      SELECT *, CASE WHEN d0 IS NULL AND d1 IS NULL THEN NULL WHEN d1 IS NULL OR d0 + 0.15::DOUBLE < d1 THEN -1 WHEN d0 IS NULL OR d1 + 0.15::DOUBLE < d0 THEN 1 END AS way FROM e) WHERE way IS NOT NULL),
+g AS (SELECT * FROM (SELECT n.*, w.mid AS edge, row_number() OVER (PARTITION BY n.page, n.orientation, n.a0, n.a1 ORDER BY w.len DESC, w.seq) AS r FROM n JOIN s w ON w.page = n.page AND w.orientation <> n.orientation
+      WHERE (w.mid - near) * way * 0.1::DOUBLE BETWEEN 0.05 AND 1.0 AND w.len * 0.1::DOUBLE >= 0.8::DOUBLE * (f1 - f0) * 0.1::DOUBLE AND abs(w.tone - 214) <= 14) WHERE r = 1),
+h AS (SELECT * FROM (SELECT g.* EXCLUDE (r), w.a0 AS w0, w.a1 AS w1, row_number() OVER (PARTITION BY g.page, g.orientation, g.a0, g.a1
+      ORDER BY abs(w.mid - edge) * 0.1::DOUBLE + abs(w.len / (f1 - f0) - 1.05::DOUBLE), w.seq) AS r FROM g JOIN s w ON w.page = g.page AND w.orientation <> g.orientation
+      WHERE w.len / (f1 - f0) BETWEEN 0.8 AND 1.5 AND abs(w.mid - edge) * 0.1::DOUBLE <= 1.5) WHERE r = 1),
+c AS (SELECT *, (abs(far - near) + 2 * abs(edge - near)) * 0.1::DOUBLE AS depth, (w1 - w0) * 0.1::DOUBLE AS run FROM h),
+z AS (SELECT * FROM c WHERE depth BETWEEN 3.4 AND 4.6 AND run >= 20)
+SELECT s_suppkey AS page, round_even(run * depth, 1) AS area_m2, round_even(depth, 3) AS dock_depth_m, round_even(run, 2) AS loading_face_lm, z.doors AS doors, f.page IS NOT NULL AS evidence_seen,
+       CASE WHEN z.page IS NULL THEN 'no unique repeated dock-door family adjacent to the yard' END AS reason
+FROM supplier LEFT JOIN z ON z.page = s_suppkey LEFT JOIN (SELECT DISTINCT page FROM f) f ON f.page = s_suppkey""")
+def dock_zones(spark, d):
+    """The dock of every supplier's page, or why it has none."""
+    segments = _shaped(t(spark, d, "lineitem"), SEGMENT).distinct().withColumn("p1", F.col("p0")).withColumn("tones", F.array("tone"))
+    pages = t(spark, d, "supplier").select(F.col("s_suppkey").alias("page"), F.lit(0.1).alias("k"), F.lit(214.0).alias("target"))
+    return docks.dock_zones(segments, pages).select("page", "area_m2", "dock_depth_m", "loading_face_lm", "doors", "evidence_seen", "reason")
+
+
+@query()
+def yard_edge_runs(spark, d):
+    """The wall along the edge of each supplier's yard, or why there is none."""
+    corners = [("100.0D", "95.0D"), ("100.0D", "530.0D"), ("400.0D", "530.0D"), ("400.0D", "300.0D + s_suppkey % 40"), ("250.0D", "95.0D")]
+    yard = f"array({', '.join(f'struct({x} AS x, {y} AS y)' for x, y in corners)})"
+    outlines = t(spark, d, "supplier").selectExpr("s_suppkey AS page", "0.1D AS k", f"{yard} AS points")
+    flat = F.col("orientation") == "V"  # the yard's long side lies along the docks
+    lines = _shaped(t(spark, d, "lineitem"), SEGMENT).distinct()
+    ends = {"x0": F.when(flat, F.col("a0")).otherwise(F.col("p0")), "y0": F.when(flat, F.col("p0")).otherwise(F.col("a0")), "x1": F.when(flat, F.col("a1")).otherwise(F.col("p0")), "y1": F.when(flat, F.col("p0")).otherwise(F.col("a1"))}
+    return docks.yard_edge_runs(outlines, lines.select("page", "seq", "grey", *(c.alias(n) for n, c in ends.items())))

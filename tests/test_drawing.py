@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mensura.operators import lineage, scalebars, spatial, tiles
+from mensura.operators import docks, lineage, scalebars, spatial, tiles
 
 PAGES, STROKES, WORDS = "page int, width double, height double", "page int, kind string, x0 double, y0 double, x1 double, y1 double", "page int, seq int, x double, y double, text string"
 
@@ -263,3 +263,98 @@ def test_simplified_stays_within_its_tolerance():
             d = ring[1:] - ring[:-1]
             t = np.clip(((p - ring[:-1]) * d).sum(1) / np.maximum((d * d).sum(1), 1e-9), 0, 1)
             assert np.sqrt((((p - ring[:-1]) - t[:, None] * d) ** 2).sum(1)).min() <= tolerance + 1e-6
+
+
+SEGMENTS = "page int, seq int, orientation string, a0 double, a1 double, p0 double, p1 double, grey boolean, tones array<int>"
+
+
+def dock(page, seq, x=100.0, doors=12, wall=True, edge=True, far_wall=False):
+    """Doors of 3.1 m every 3 m, a wall at one end and the yard's edge beyond it, at 0.1 m a point."""
+    rows = [(page, seq + i, "H", x, x + 31, 200.0 + 30 * i, 200.0 + 30 * i, True, [230]) for i in range(doors)]
+    rows += [(page, seq + 50, "V", 195.0, 535.0, x - 1, x - 1, False, None)] if wall else []
+    rows += [(page, seq + 51, "V", 190.0, 545.0, x - 5, x - 5, True, [213, 90])] if edge else []
+    rows += [(page, seq + 52, "V", 195.0, 535.0, x + 31, x + 31, False, [0])] if far_wall else []
+    return rows
+
+
+def test_dock_zones(spark):
+    rows = [*dock(0, 0), *dock(1, 0, doors=7), *dock(2, 0, wall=False), *dock(3, 0, edge=False), *dock(4, 0, far_wall=True), *dock(5, 0), *dock(5, 100, x=900.0), *dock(6, 0), *dock(6, 0)]
+    rows += [(7, 0, "H", None, 1.0, 1.0, 1.0, True, None), (0, 90, "V", None, None, None, None, None, None), (99, 0, "H", 0.0, 31.0, 0.0, 0.0, True, [214])]
+    pages = [(i, 0.1, 214.0) for i in range(9)] + [(9, 0.0, 214.0), (10, None, 214.0)]
+    got = {r["page"]: r for r in docks.dock_zones(spark.createDataFrame(rows, SEGMENTS), spark.createDataFrame(pages, "page int, k double, target double")).collect()}
+    assert sorted(got) == list(range(11))
+    # the edge is 0.5 m out, so the dock is 3.1 m and twice that deep; on page 2 it's the only wall as well
+    for page in (0, 2, 6):
+        assert (got[page]["dock_depth_m"], got[page]["loading_face_lm"], got[page]["doors"], got[page]["reason"]) == (4.1, 35.5, 12, None)
+        assert got[page]["area_m2"] == 145.6 or got[page]["area_m2"] == 145.5
+        assert (got[page]["x0"], got[page]["x1"], got[page]["y0"], got[page]["y1"]) == (95.0, 136.0, 190.0, 545.0)
+    assert got[5]["reason"] == "2 competing dock-door families" and got[5]["area_m2"] is None
+    assert all(got[p]["reason"] == docks.NO_FAMILY for p in (1, 3, 4, 7, 8, 9, 10))
+    assert [got[p]["evidence_seen"] for p in (0, 1, 2, 3, 4, 7)] == [True, False, True, True, True, False]
+
+
+def plain_runs(points, k, walls):
+    """Length, ends and members of the one wall along an outline, or the reason, by comparing all with all."""
+    def off(p):
+        best = 1e9
+        for a, b in zip(points, points[1:] + points[:1]):
+            d = np.subtract(b, a)
+            u = np.clip(np.dot(np.subtract(p, a), d) / max(np.dot(d, d), 1e-12), 0, 1)
+            best = min(best, float(np.hypot(*(np.subtract(p, a) - u * d))) * k)
+        return best
+
+    found = []
+    for seq, x0, y0, x1, y1, grey in walls:
+        dx, dy = abs(x1 - x0), abs(y1 - y0)
+        if min(dx, dy) > 0.05 or max(dx, dy) <= 0.05 or max(dx, dy) * k < 20:
+            continue
+        flat = dx > dy
+        fixed, a0, a1 = ((y0 + y1) / 2, *sorted((x0, x1))) if flat else ((x0 + x1) / 2, *sorted((y0, y1)))
+        samples = [a0 + (a1 - a0) * i / 8 for i in range(9)]
+        if max(off((s, fixed) if flat else (fixed, s)) for s in samples) <= 1.0:
+            found.append((-(a1 - a0) * k, seq, flat, fixed, a0, a1, grey))
+    clusters = []
+    for c in sorted(found):
+        for g in clusters:
+            r = g[0]
+            cover = max(0.0, min(c[5], r[5]) - max(c[4], r[4])) / min(c[5] - c[4], r[5] - r[4])
+            if c[2] == r[2] and cover >= 0.9 and abs(c[3] - r[3]) * k <= 1.0:
+                g.append(c)
+                break
+        else:
+            clusters.append([c])
+    good = sorted((g for g in clusters if len(g) > 1 or any(c[6] for c in g)), key=lambda g: g[0])
+    if not found:
+        return docks.NO_WALL
+    if not good:
+        return docks.UNSUPPORTED
+    if len(good) > 1 and good[1][0][0] <= 0.95 * good[0][0][0]:
+        return docks.RIVALS
+    return round(-good[0][0][0], 2), len(good[0])
+
+
+def test_yard_edge_runs_are_those_of_comparing_all(spark):
+    r = random.Random(8)
+    outlines, walls, want = [], [], {}
+    for page in range(24):
+        w, h, k = r.choice([400, 650, 900]), r.choice([300, 520]), r.choice([0.05, 0.1])
+        points = [(0.0, 0.0), (w + 0.0, 0.0), (w + 0.0, h + 0.0), (w * 0.6, h + 0.0), (w * 0.4, h * 0.7)]
+        outlines.append((page, k, points))
+        mine = []
+        for seq in range(r.choice([3, 8, 20])):
+            x, n = r.choice([0, 4, 30]) + r.random() * 20, r.choice([100, 300, w * 0.9, h * 0.9])
+            across = r.choice([0.0, h + 0.0, 5.0, -8.0, 12.0, 60.0])
+            line = (x, across, x + n, across) if r.random() < 0.6 else (r.choice([w + 3.0, -6.0, w / 2]), x, r.choice([0.0, 0.01]) + 0.0, x + n)
+            line = line if line[1] == line[3] else (line[0], line[1], line[0], line[3])
+            mine.append((seq, *(round(float(v), 1) for v in line), r.random() < 0.3))
+        walls += [(page, *m) for m in mine]
+        want[page] = plain_runs(points, k, mine)
+    outlines += [(50, 0.0, [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0)]), (51, 0.1, [(0.0, 0.0)]), (52, 0.1, None)]
+    want |= {50: docks.NO_SCALE, 51: docks.NO_SCALE, 52: docks.NO_SCALE}
+    rows = docks.yard_edge_runs(
+        spark.createDataFrame(outlines, "page int, k double, points array<struct<x:double,y:double>>"),
+        spark.createDataFrame(walls, "page int, seq int, x0 double, y0 double, x1 double, y1 double, grey boolean"),
+    ).collect()
+    got = {x["page"]: x["reason"] or (x["length_lm"], x["n_members"]) for x in rows}
+    assert {k: v if isinstance(v, str) else (pytest.approx(v[0], abs=0.011), v[1]) for k, v in want.items()} == got
+    assert sum(not isinstance(v, str) for v in want.values()) >= 3 and len({v for v in want.values() if isinstance(v, str)}) >= 3
