@@ -36,19 +36,22 @@ def subject_key(subject: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(subject), r"\s+", " "))
 
 
+# The form of a unit's number in a subject, and the words of floors and decks that are scopes of their own.
+UNIT_TOKEN = r"\bunits?\s*[-:#]?\s*([0-9]+[a-z]?)\b"
+UPPER_FLOORS, PLANT_DECK, POD = ((("first", "upper"), ("floor",)),), ((("plant",), ("deck",)),), ((("pod",),),)
+
+
 def unit_label(subject: Column) -> Column:
     """"Unit 4A" of a subject such as "units - 4a upper floor"."""
-    found = F.regexp_extract(subject_key(subject), r"\bunits?\s*[-:#]?\s*([0-9]+[a-z]?)\b", 1)
+    found = F.regexp_extract(subject_key(subject), UNIT_TOKEN, 1)
     return F.when(found != "", F.concat(F.lit("Unit "), F.upper(found)))
 
 
 def upper_scope(subject: Column) -> Column:
     """The upper-floor scope that a subject states: plant deck, pod or a unit's main floor."""
     s = subject_key(subject)
-    floor = s.rlike(r"\b(first|upper)\s+floor\b")
-    return (
-        F.when(s.rlike(r"\bplant\s+deck\b"), "plant_deck").when(s.rlike(r"\bpod\b") & floor, "pod_first_floor").when(unit_label(subject).isNotNull() & floor, "main_upper_floor")
-    )
+    floor = dims.says(s, UPPER_FLOORS)
+    return F.when(dims.says(s, PLANT_DECK), "plant_deck").when(dims.says(s, POD) & floor, "pod_first_floor").when(unit_label(subject).isNotNull() & floor, "main_upper_floor")
 
 
 def measurement_kind(area: Column, length: Column, perimeter: Column) -> Column:

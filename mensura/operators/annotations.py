@@ -17,7 +17,7 @@ def classified(annotations: DataFrame) -> DataFrame:
     scope = parsing.upper_scope(F.col("subject"))
     named = named.withColumn("category", F.coalesce(rules.subject_category(F.col("subject_key"), F.col("category"), scope), F.lit("unclassified")))
     rule = F.coalesce(
-        *(F.when(F.concat_ws(" ", "subject", "content").rlike("(?i)" + p), F.lit(i)) for _, i, _, _, p in dims.EXCLUSIONS), rules.out_of_scope(F.col("subject_key"))
+        *(F.when(dims.says(F.concat_ws(" ", "subject", "content"), phrases), F.lit(i)) for _, i, _, _, phrases in dims.EXCLUSIONS), rules.out_of_scope(F.col("subject_key"))
     )
     zone = F.when(scope.isNotNull(), F.concat_ws("|", F.col("category"), parsing.unit_label(F.col("subject")), scope)).otherwise(F.col("category"))
     return named.withColumn("exclusion_id", rule).withColumn("boq_scope", scope).withColumn("zone_key", zone)

@@ -1,21 +1,29 @@
-"""Order-dependent matching, one group at a time through Arrow."""
+"""One-to-one matching of names, and what rectangles cover together."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def pair_names(marked: DataFrame, raw: DataFrame, key: str) -> DataFrame:
     """Marked and raw drawings of one key paired one to one.
 
     Within a key marked ones choose in the order of their case-folded path: the
-    free raw one of the highest score, then of the smallest path. Keys are whole
-    drawing names, so a group is a handful of rows. Unpaired rows of either side
-    are kept.
+    free raw one of the highest score, then of the smallest path. Keys that one side
+    alone has, or that each side has once, need no choice and no Python; of the
+    others a group is a handful of rows, as keys are whole drawing names. Unpaired
+    rows of either side are kept.
     """
     both = marked.selectExpr(f"{key} AS k", "path", "'marked' AS side").unionByName(raw.selectExpr(f"{key} AS k", "path", "'raw' AS side"))
+    own = lambda side: F.when(F.col("side") == side, F.col("path"))
+    counts = both.groupBy("k").agg(F.count(own("marked")).alias("m"), F.count(own("raw")).alias("r"), F.max(own("marked")).alias("marked"), F.max(own("raw")).alias("raw"))
+    single = counts.where("m = 1 AND r = 1").select("k", "marked", "raw")
+    alone = both.join(counts.where("m = 0 OR r = 0").select("k"), "k", "left_semi").select("k", own("marked").alias("marked"), own("raw").alias("raw"))
+    contested = both.join(counts.where("m > 0 AND r > 0 AND m + r > 2").select("k"), "k", "left_semi")
 
     def pair(group: pd.DataFrame) -> pd.DataFrame:
         left = sorted(group[group.side == "marked"].path, key=lambda p: (p.casefold(), p))
@@ -29,7 +37,7 @@ def pair_names(marked: DataFrame, raw: DataFrame, key: str) -> DataFrame:
         rows += [(group.k.iloc[0], None, r) for r in free]
         return pd.DataFrame(rows, columns=["k", "marked", "raw"])
 
-    return both.groupBy("k").applyInPandas(pair, "k string, marked string, raw string")
+    return single.unionByName(alone).unionByName(contested.groupBy("k").applyInPandas(pair, "k string, marked string, raw string"))
 
 
 # Names of folders that hold unmarked copies.
@@ -68,22 +76,35 @@ def drop_overlapping(boxes: DataFrame, page: str, threshold: float = 0.9) -> Dat
     return boxes.groupBy(page).applyInPandas(keep, f"{page} {dict(boxes.dtypes)[page]}, id {dict(boxes.dtypes)['id']}")
 
 
-def union_area(boxes: DataFrame, key: str) -> DataFrame:
-    """The area that rectangles of a key cover together, and their plain sum: a sweep over the distinct edges."""
-
-    def cover(group: pd.DataFrame) -> pd.DataFrame:
-        r = group[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        r = r[np.isfinite(r).all(axis=1) & (r[:, 2] > r[:, 0]) & (r[:, 3] > r[:, 1])]
-        total, xs = 0.0, np.unique(r[:, [0, 2]])
-        for left, right in zip(xs[:-1], xs[1:]):
-            here = r[(r[:, 0] <= left) & (r[:, 2] >= right)]
-            here = here[np.argsort(here[:, 1])]
-            reach, length = -np.inf, 0.0
-            for low, high in here[:, [1, 3]]:
-                length += max(0.0, high - max(low, reach))
-                reach = max(reach, high)
-            total += length * (right - left)
-        plain = float(((r[:, 2] - r[:, 0]) * (r[:, 3] - r[:, 1])).sum())
-        return pd.DataFrame({"key": [group[key].iloc[0]], "area": [total], "total": [plain], "overlaps": [total < 0.999 * plain]})
-
-    return boxes.groupBy(key).applyInPandas(cover, f"key {dict(boxes.dtypes)[key]}, area double, total double, overlaps boolean")
+def union_area(boxes: DataFrame, key: str, cell: float | None = None) -> DataFrame:
+    """The area that rectangles of a key cover together, and their plain sum.
+
+    Rectangles are clipped to the cells of a grid, by default twice as wide as they
+    are on average, so that no step grows with all rectangles of a key. In a cell the
+    edges cut strips, and what is covered of a strip is summed from the lowest
+    rectangle up, by how far each reaches beyond those before it.
+    """
+    rows = boxes.select(F.col(key).alias("key"), "x0", "y0", "x1", "y1")
+    finite = [~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")) for c in ("x0", "y0", "x1", "y1")]
+    sound = rows.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+    for f in finite:
+        sound = sound.where(f)
+    if cell is None:
+        side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("double")
+        cell = 2 * (sound.agg(F.avg(side)).first()[0] or 1.0)
+    step = F.lit(float(cell))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / step), F.greatest(F.floor(F.col(lo) / step), F.ceil(F.col(hi) / step) - 1)))
+    parts = sound.distinct().withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+    for c, at in (("x", "cx"), ("y", "cy")):
+        parts = parts.withColumn(f"{c}0", F.greatest(F.col(f"{c}0").cast("double"), F.col(at) * step)).withColumn(f"{c}1", F.least(F.col(f"{c}1").cast("double"), (F.col(at) + 1) * step))
+    by = ["key", "cx", "cy"]
+    edges = parts.select(*by, F.explode(F.array("x0", "x1")).alias("left")).distinct()
+    strips = edges.withColumn("right", F.lead("left").over(Window.partitionBy(*by).orderBy("left"))).where("right IS NOT NULL")
+    met = strips.join(parts, by).where("x0 <= left AND x1 >= right")
+    below = F.max("y1").over(Window.partitionBy(*by, "left").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
+    covered = met.withColumn("below", below)
+    more = F.greatest(F.lit(0.0), F.col("y1") - F.greatest(F.col("y0"), F.coalesce("below", "y0")))
+    area = covered.groupBy("key").agg(F.sum((F.col("right") - F.col("left")) * more).alias("area"))
+    total = rows.select("key").distinct().join(sound.groupBy("key").agg(F.sum(((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("double")).alias("total")), "key", "left")
+    met = total.join(area, "key", "left").select("key", F.coalesce("area", F.lit(0.0)).alias("area"), F.coalesce("total", F.lit(0.0)).alias("total"))
+    return met.withColumn("overlaps", F.col("area") < 0.999 * F.col("total"))

@@ -319,20 +319,11 @@ def nearest_match(spark, d):
     return relational.nearest(left, right, ["user_id"], "at", "at", "event_id").select("event_id", "nearest", "distance")
 
 
-@query("""
-WITH p AS (SELECT p_partkey, p_retailprice - 2 AS lo, p_retailprice + 2 AS hi FROM part WHERE p_size = 1)
-SELECT o_orderkey, p_partkey FROM orders JOIN p ON o_totalprice / 100 BETWEEN lo AND hi""")
-def range_join(spark, d):
-    p = t(spark, d, "part").where("p_size = 1").select("p_partkey", (F.col("p_retailprice") - 2).alias("lo"), (F.col("p_retailprice") + 2).alias("hi"))
-    o = t(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("at"))
-    return relational.range_join(o, p, "at", "lo", "hi", 4.0).select("o_orderkey", "p_partkey")
-
-
 @query("""
 WITH p AS (SELECT p_partkey, p_retailprice - 2 AS lo, p_retailprice + 2 AS hi FROM part)
 SELECT o_orderkey, p_partkey FROM orders JOIN p ON o_totalprice / 100 BETWEEN lo AND hi""")
 def range_join_whole(spark, d):
-    """The range join of all parts; ``range_join`` joins those of one size."""
+    """Orders whose price lies within the range of a part, for all parts."""
     p = t(spark, d, "part").select("p_partkey", (F.col("p_retailprice") - 2).alias("lo"), (F.col("p_retailprice") + 2).alias("hi"))
     o = t(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("at"))
     return relational.range_join(o, p, "at", "lo", "hi", 4.0).select("o_orderkey", "p_partkey")
@@ -401,10 +392,17 @@ def box_overlaps(spark, d):
     return a.join(b, "vec_id").select("a", F.col("vec_id").alias("b"), F.floor(geometry.box_overlap(F.col("s"), F.col("r")) * 1000000).cast("double").alias("iou"))
 
 
-@query()
+_TEXT_KEY = r"sha256(trim(regexp_replace(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '))"
+
+
+@query(f"""
+WITH m AS (SELECT {_TEXT_KEY} AS k, '/marked/' || coalesce(CAST(doc_id AS VARCHAR), '') || '/' || {_TEXT_KEY} AS path FROM documents),
+r AS (SELECT {_TEXT_KEY} AS k, '/raw/' || coalesce(CAST(item_id AS VARCHAR), '') || '/' || {_TEXT_KEY} AS path FROM benchmark),
+a AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY path) AS n FROM m), b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY path) AS n FROM r)
+SELECT coalesce(a.k, b.k) AS k, a.path AS marked, b.path AS raw FROM a FULL JOIN b ON a.k = b.k AND a.n = b.n""")
 def greedy_pairing(spark, d):
     """Documents and benchmark items paired one to one by their whole texts, case and space aside."""
-    text = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "))
+    text = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\x0B\f\r]+", " "))
     name = F.sha2(text.cast("binary"), 256)
     path = lambda k, id_: F.concat(F.lit(f"/{k}/"), F.coalesce(F.col(id_).cast("string"), F.lit("")), F.lit("/"), name)
     m = t(spark, d, "documents").select(name.alias("name"), path("marked", "doc_id").alias("path"))
@@ -412,10 +410,24 @@ def greedy_pairing(spark, d):
     return matching.pair_names(m, r, "name")
 
 
-@query()
+_MILLI = "CAST(floor(1000 * CAST({} AS DOUBLE)) AS BIGINT)"
+
+
+@query(f"""
+WITH p AS (SELECT label, [{_MILLI.format("x")} FOR x IN embedding] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 3),
+b AS (SELECT DISTINCT label, least(e[1], e[3]) AS x0, least(e[2], e[4]) AS y0, greatest(e[1], e[3]) AS x1, greatest(e[2], e[4]) AS y1 FROM p),
+x AS (SELECT label, x AS l, lead(x) OVER (PARTITION BY label ORDER BY x) AS r FROM (SELECT label, x0 AS x FROM b UNION SELECT label, x1 FROM b)),
+s AS (SELECT x.label, l, r, y0, y1, max(y1) OVER (PARTITION BY x.label, l ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+      FROM x JOIN b ON b.label = x.label AND x0 <= l AND x1 >= r WHERE r IS NOT NULL),
+a AS (SELECT label, CAST(sum((r - l) * greatest(0, y1 - greatest(y0, coalesce(reach, y0)))) AS BIGINT) AS area FROM s GROUP BY label),
+t AS (SELECT label, CAST(sum((greatest(e[1], e[3]) - least(e[1], e[3])) * (greatest(e[2], e[4]) - least(e[2], e[4]))) AS BIGINT) AS total FROM p GROUP BY label)
+SELECT label AS key, coalesce(area, 0) AS area, total, coalesce(area, 0) < 0.999 * total AS overlaps FROM t LEFT JOIN a USING (label)""")
 def union_of_rectangles(spark, d):
-    b = t(spark, d, "embeddings").select("label", geometry.box(_points()).alias("r")).select("label", "r.*")
-    return matching.union_area(b, "label")
+    """What the rectangles of each label cover together, in thousandths."""
+    e = t(spark, d, "embeddings").where("label IS NOT NULL AND size(embedding) > 3")
+    at = [F.floor(F.col("embedding")[i].cast("double") * 1000) for i in range(4)]
+    b = e.select("label", F.least(at[0], at[2]).alias("x0"), F.least(at[1], at[3]).alias("y0"), F.greatest(at[0], at[2]).alias("x1"), F.greatest(at[1], at[3]).alias("y1"))
+    return matching.union_area(b, "label").select("key", *(F.col(c).cast("long").alias(c) for c in ("area", "total")), "overlaps")
 
 
 @query("""

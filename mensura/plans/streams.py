@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from mensura.operators.lineage import shared_dir
 from mensura.streaming import events
 
 
 def stream_latest(spark, d):
     """The latest event of each user, kept by a stream of upserts."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mensura-")
+    folder = shared_dir(spark)
     name = f"{folder.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash((d, id(object()))))}"
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mensura.functions import briefs, dims, geometry, parsing, pricing, rules, wording
-from mensura.operators import annotations, jobs, relational, specs
+from mensura.operators import annotations, jobs, quotation, relational, specs
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,6 +44,21 @@ ROWS = {
           CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey % 3 END AS layers, CAST(p_retailprice AS DOUBLE) AS price, p_size
         FROM {part}""",
 }
+ROWS |= {
+    "zone": """
+        SELECT l_orderkey AS doc_id, CASE WHEN l_orderkey % 3 = 1 OR (l_orderkey % 3 = 0 AND l_suppkey % 2 = 0) THEN 'dock' ELSE 'external_yard' END AS category, CAST(l_quantity AS DOUBLE) AS area_m2,
+          150 + 50 * (l_partkey % 2) AS depth_mm, CASE l_partkey % 3 WHEN 0 THEN 'A252' WHEN 1 THEN 'A393' ELSE 'X9' END AS mesh, CAST(0.10 AS DOUBLE) AS steel_wastage,
+          CASE WHEN l_suppkey % 5 = 0 THEN l_linenumber END AS manholes, l_suppkey % 4 = 0 AS assumed
+        FROM {lineitem}""",
+    "span": """
+        SELECT l_suppkey AS page, CASE WHEN l_partkey % 2 = 0 THEN 'h' ELSE 'v' END AS axis, CAST(7 * (l_partkey % 3000) AS DOUBLE) AS lo, CAST(7 * (l_partkey % 3000) + l_quantity AS DOUBLE) AS hi
+        FROM {lineitem}""",
+    "layer": """
+        SELECT p_partkey AS slab, 'depth_mm' AS field, CAST(100 + p_size AS STRING) AS e, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS STRING) END AS x, CASE WHEN p_partkey % 5 = 0 THEN '175' END AS c
+        FROM {part} UNION ALL
+        SELECT p_partkey AS slab, 'mesh' AS field, CASE WHEN p_partkey % 4 > 0 THEN 'A252' END AS e, CASE WHEN p_partkey % 7 = 0 THEN 'A193' END AS x, CASE WHEN p_partkey % 8 = 4 THEN 'A393' END AS c
+        FROM {part}""",
+}
 TABLES = ("part", "orders", "lineitem", "documents", "embeddings", "events")
 
 
@@ -142,11 +157,11 @@ def approval_gates(spark, d):
 
 
 @query("""
-WITH k AS (SELECT id, q * 0.0254 / 72 AS bar, CASE WHEN n < 3 THEN NULL ELSE CAST(floor(q) AS INTEGER) + n - 3 END AS denom, n, q FROM {reading})
-SELECT id, CASE WHEN bar / (0.0254 / 72) NOT BETWEEN 20 AND 5000 THEN 'implausible' WHEN denom IS NULL THEN 'bar only' WHEN abs(bar / (denom * (0.0254 / 72)) - 1) > 0.05 THEN 'disagree'
-  WHEN n = 3 THEN 'verified' ELSE 'agrees with one of several' END AS verdict FROM k WHERE q <> 20""")
+WITH k AS (SELECT id, q * (CAST(0.0254 AS DOUBLE) / 72) AS bar, CASE WHEN n < 3 THEN NULL ELSE CAST(floor(q) AS INTEGER) + n - 3 END AS denom, n, q FROM {reading})
+SELECT id, CASE WHEN bar / (CAST(0.0254 AS DOUBLE) / 72) NOT BETWEEN 20 AND 5000 THEN 'implausible' WHEN denom IS NULL THEN 'bar only' WHEN abs(bar / (denom * (CAST(0.0254 AS DOUBLE) / 72)) - 1) > 0.05 THEN 'disagree'
+  WHEN n = 3 THEN 'verified' ELSE 'agrees with one of several' END AS verdict FROM k""")
 def scale_verdicts(spark, d):
-    r = rows(spark, d, "reading").where("q <> 20")
+    r = rows(spark, d, "reading")
     bar, denom = F.col("q") * F.lit(dims.POINT_M), F.when(F.col("n") >= 3, F.floor("q").cast("int") + F.col("n") - 3)
     return r.select("id", pricing.scale_decision(bar, pricing.scale_of_title(denom), F.col("n") - 2)["verdict"].alias("verdict"))
 
@@ -371,3 +386,65 @@ def spec_fields(spark, d):
         WHEN 4 THEN ' Mix with 20 mm aggregate, w/c ratio 0.45, slump class S3, air-entrained; 4.9 x 6.5 m bays.' ELSE '' END AS text FROM parquet.`{}/part.parquet`"""
     found = specs.candidates(spark.sql(texts.format(d)))
     return specs.selected(found, ["doc_id"]).select("doc_id", "field", "value", "conflict")
+
+
+@query("""
+SELECT section, CAST(sum(round(CAST(CAST(q AS DECIMAL(18,3)) * CAST(price AS DECIMAL(18,2)) AS DECIMAL(28,8)), 2)) AS DOUBLE) AS amount, count(*) AS n_lines
+FROM (SELECT *, CASE l_partkey % 4 WHEN 0 THEN 'Yard' WHEN 1 THEN 'Dock' WHEN 2 THEN 'Prelims' ELSE 'Upper floors' END AS section FROM {reading}) GROUP BY ROLLUP (section)""")
+def boq_total(spark, d):
+    """Priced lines by section and in all."""
+    at = F.col("l_partkey") % 4
+    r = rows(spark, d, "reading").withColumn("section", F.when(at == 0, "Yard").when(at == 1, "Dock").when(at == 2, "Prelims").otherwise("Upper floors"))
+    value = pricing.money(F.col("q").cast("decimal(18,3)") * F.col("price").cast("decimal(18,2)"))
+    return r.rollup("section").agg(F.sum(value).cast("double").alias("amount"), F.count("*").alias("n_lines"))
+
+
+_MESH = "m(mesh, kg) AS (VALUES ('A142', 2.22), ('A193', 3.02), ('A252', 3.95), ('A393', 6.16), ('B785', 8.14))"
+
+
+@query(f"""
+WITH {_MESH}, r AS (SELECT id, CAST(depth_mm AS DOUBLE) / 1000 * 128 * 1.03 AS concrete, CAST(kg AS DOUBLE) * layers * 850 / 1000 * (1 + CASE WHEN id % 2 = 0 THEN 0.10 ELSE 0.15 END + 0.18) AS steel
+  FROM {{slab}} LEFT JOIN m USING (mesh))
+SELECT id, CAST(round(CAST(concrete AS DECIMAL(28,8)), 2) AS DOUBLE) AS concrete, CAST(round(CAST(steel AS DECIMAL(28,8)), 2) AS DOUBLE) AS steel,
+  CAST(round(CAST((concrete + steel + 0.46 + 0.23 + 10 + 0.40) * 1.11 AS DECIMAL(28,8)), 2) AS DOUBLE) AS rate FROM r""")
+def rate_build_up(spark, d):
+    """Parts of the rate of all slabs, by both presets of steel wastage."""
+    s = rows(spark, d, "slab").join(F.broadcast(dims.mesh(spark)), "mesh", "left").withColumn("steel_wastage", F.when(F.col("id") % 2 == 0, 0.10).otherwise(0.15))
+    names = ("depth_mm", "conc_rate", "conc_wastage", "kg_m2", "layers", "steel_rate_t", "steel_wastage", "lap_acc", "dpm", "curing", "labour", "trim", "margin")
+    parts = pricing.rate_parts(*(F.col(n).cast("double") if n in s.columns else F.lit(dims.DEFAULT_SPEC[n]) for n in names))
+    return s.select("id", *(parts[c].cast("double").alias(c) for c in ("concrete", "steel", "rate")))
+
+
+@query(f"""
+WITH {_MESH}, z AS (SELECT *, CASE category WHEN 'dock' THEN 'Dock' ELSE 'Yard' END AS section FROM {{zone}} LEFT JOIN m USING (mesh)),
+s AS (SELECT doc_id, count(DISTINCT section) AS n FROM z GROUP BY doc_id),
+r AS (SELECT z.*, CASE WHEN n = 1 THEN round(CAST((CAST(depth_mm AS DOUBLE) / 1000 * 128 * 1.03 + CAST(kg AS DOUBLE) * 850 / 1000 * (1 + 0.10 + 0.18) + 0.46 + 0.23 + 10 + 0.40) * 1.11 AS DECIMAL(28,8)), 2) END AS rate
+      FROM z JOIN s USING (doc_id)),
+g AS (SELECT doc_id, section, depth_mm, mesh, rate, CAST(sum(area_m2) AS DECIMAL(18,3)) AS qty FROM r GROUP BY ALL),
+l AS (SELECT doc_id, section, CAST(depth_mm AS VARCHAR) || 'mm slab ' || mesh AS description, qty, rate, 'slab' AS role FROM g
+  UNION ALL SELECT doc_id, section, 'Final trim', qty, CASE WHEN rate IS NOT NULL THEN 1.40 END, 'trim' FROM g UNION ALL SELECT doc_id, section, 'Joints', qty, CASE WHEN rate IS NOT NULL THEN 4.85 END, 'joints' FROM g
+  UNION ALL SELECT doc_id, section, 'E/O manhole details', sum(manholes), 75.00, 'manholes' FROM z GROUP BY doc_id, section HAVING sum(manholes) > 0)
+SELECT doc_id, section, description, CAST(qty AS DOUBLE) AS qty, CAST(rate AS DOUBLE) AS rate, CAST(round(CAST(qty * CAST(rate AS DECIMAL(18,2)) AS DECIMAL(28,8)), 2) AS DOUBLE) AS value, role FROM l""")
+def quotation_lines(spark, d):
+    """Lines of the quotations of all orders; a drawing of several sections is listed without rates."""
+    got = quotation.lines(rows(spark, d, "zone"))
+    return got.select("doc_id", "section", "description", *(F.col(c).cast("double").alias(c) for c in ("qty", "rate", "value")), "role")
+
+
+@query("""
+WITH i AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY page, axis ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3 THEN 0 ELSE 1 END AS fresh FROM {span}),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY page, axis ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS k FROM i)
+SELECT page, axis, min(lo) AS low, max(hi) AS high, count(*) AS n FROM n GROUP BY page, axis, k""")
+def merged_runs(spark, d):
+    """Runs of segments united over gaps of at most three."""
+    return relational.merge_intervals(rows(spark, d, "span"), ["page", "axis"], "lo", "hi", 3.0)
+
+
+@query("""
+SELECT slab, field, coalesce(c, x, e) AS value, CASE WHEN c IS NOT NULL THEN 'confirmed' WHEN x IS NOT NULL THEN 'existing' ELSE 'default' END AS source, c IS NULL AND x IS NULL AS provisional
+FROM {layer} WHERE coalesce(c, x, e) IS NOT NULL""")
+def layered_spec(spark, d):
+    """Fields of all slabs by precedence: confirmed over existing over effective."""
+    r = rows(spark, d, "layer")
+    side = lambda c: r.select("slab", "field", F.col(c).alias("value"))
+    return specs.layered(side("e"), side("x"), side("c"), ["slab", "field"])

@@ -1,7 +1,6 @@
-"""Queries over small domain fixtures: drawing labels, priced lines, specifications, jobs.
+"""Operators over small rows whose results are known: drawing labels, priced lines, specifications, jobs.
 
-The fixtures are inline, so the same rows are known to both engines; the SQL
-either recomputes a result or states the rows that are expected.
+The SQL either recomputes a result or states the rows that are expected.
 """
 
 from __future__ import annotations

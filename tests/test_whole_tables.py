@@ -9,7 +9,6 @@ def test_range_join_of_all_parts(spark):
     sizes = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_size")
     whole = registry.QUERIES["range_join_whole"](spark, SF)
     assert whole.join(sizes, "p_partkey").select("p_size").distinct().count() > 10
-    assert registry.QUERIES["range_join"](spark, SF).exceptAll(whole).count() == 0
 
 
 def test_pairing_uses_whole_texts(spark, tmp_path):
