@@ -44,12 +44,14 @@ def frugal(run):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as named in spark.checkpoint.dir.
 
-    Only where the setting is absent (a plain local session, as in tests) a
-    folder of the local machine is used.
+    Only where the setting is absent and the master is local a folder of the
+    local machine is used; elsewhere the setting is required.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="mensura-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)

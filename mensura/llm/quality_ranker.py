@@ -11,7 +11,10 @@ score 0.3.
 Defined results: a null or empty text has all features zero and gets a score like
 any other; very long texts are used whole; equal rows get equal scores; without
 labels of both kinds every score is 0.5; an empty table gives an empty result;
-other columns are ignored.
+rows without an id are scored and teach nothing, and count as not held out; rows
+that share an id are scored each by its text, and that with the least text stands
+for the id's label; ids whose labels contradict one another teach nothing; other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ text together (repeated windows) use arrays of one document at a time.
 
 Defined results: a null or empty text has no words and fails the base; texts of
 any length are used whole; repeated rows give repeated results; an empty table
-gives an empty result; columns of other names are ignored.
+gives an empty result; rows without an id, or that share one, are judged like any
+other; columns of other names are ignored.
 """
 
 from __future__ import annotations

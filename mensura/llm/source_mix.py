@@ -15,7 +15,9 @@ which the target falls.
 Defined results: a null or empty text has size 0 and is taken 0 words; a null
 source is a source of its own, last in order; equal rows are separate documents
 and share a result up to their order; a table without words, or without rows,
-has targets 0; columns of other names pass untouched.
+has targets 0; rows without an id, or of one id, are documents of their own that
+share a place in the seeded order, and are ordered among themselves by their size;
+columns of other names pass untouched.
 """
 
 from __future__ import annotations

@@ -8,7 +8,10 @@ that carry a document's score are located afterwards.
 
 Defined results: a null or empty text has no sentence and the score 0; very long
 texts are used whole; equal rows get equal scores; without labels of both kinds
-every score is 0; an empty table gives an empty result; other columns are ignored.
+every score is 0; an empty table gives an empty result; rows without an id are
+scored and teach nothing; rows that share an id are scored each by its text, and
+that with the least text stands for the id's label; ids whose labels contradict one
+another teach nothing; other columns are ignored.
 """
 
 from __future__ import annotations
