@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.operators import docks, scalebars, spatial, tiles
+from mensura.operators import docks, points, scalebars, search, spatial, tiles
 from mensura.operators.lineage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,3 +275,77 @@ def yard_edge_runs(spark, d):
     lines = _shaped(t(spark, d, "lineitem"), SEGMENT).distinct()
     ends = {"x0": F.when(flat, F.col("a0")).otherwise(F.col("p0")), "y0": F.when(flat, F.col("p0")).otherwise(F.col("a0")), "x1": F.when(flat, F.col("a1")).otherwise(F.col("p0")), "y1": F.when(flat, F.col("p0")).otherwise(F.col("a1"))}
     return docks.yard_edge_runs(outlines, lines.select("page", "seq", "grey", *(c.alias(n) for n, c in ends.items())))
+
+
+# Vectors are points on the page of their label; their first two components, in thousandths.
+_POINT = {"group_": "label", "id": "vec_id"}
+
+
+def _points(spark, d) -> DataFrame:
+    at = [_AT.format(k) for k in range(2)]
+    rows = t(spark, d, "embeddings").where("label IS NOT NULL AND size(embedding) > 1")
+    return _shaped(rows, _POINT | {"x": at[0], "y": at[1]}).withColumnRenamed("group_", "group")
+
+
+_POINTS_SQL = f"pt AS (SELECT label AS page, vec_id AS id, {_AT.format(1)} AS x, {_AT.format(2)} AS y FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 1)"
+_PAIRS_SQL = "pr AS (SELECT a.page, a.id AS qid, b.id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM pt a JOIN pt b ON a.page = b.page AND a.id <> b.id)"
+
+
+@query(f"""WITH {_POINTS_SQL}, {_PAIRS_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY page, qid ORDER BY d2, id) AS r FROM pr)
+SELECT pt.page AS page, pt.id AS id, r.id AS neighbour, CAST(d2 AS BIGINT) AS d2 FROM pt LEFT JOIN r ON r.page = pt.page AND r.qid = pt.id AND r.r = 1""")
+def nearest_neighbours(spark, d):
+    """The nearest other point of every point's page."""
+    found = points.nearest_neighbours(_points(spark, d), 8.0)
+    return found.select(F.col("group").alias("page"), "id", "neighbour", F.col("d2").cast("long").alias("d2"))
+
+
+REACH, DENSE = 25, 2
+
+
+@query(f"""WITH RECURSIVE {_POINTS_SQL}, {_PAIRS_SQL}, nb AS (SELECT * FROM pr WHERE d2 <= {REACH * REACH}),
+dn AS (SELECT page, qid AS id FROM nb GROUP BY page, qid HAVING count(*) >= {DENSE}),
+ed AS (SELECT nb.qid AS a, nb.id AS b FROM nb JOIN dn x ON x.id = nb.qid JOIN dn y ON y.id = nb.id),
+rc(id, c) AS (SELECT id, id FROM dn UNION SELECT ed.b, rc.c FROM rc JOIN ed ON ed.a = rc.id AND rc.c < ed.b),
+cl AS (SELECT id, min(c) AS cluster FROM rc GROUP BY id),
+bd AS (SELECT qid AS id, arg_min(nb.id, (d2, nb.id)) AS via FROM nb JOIN dn ON dn.id = nb.id WHERE qid NOT IN (SELECT id FROM dn) GROUP BY qid)
+SELECT page, pt.id AS id, cl.cluster IS NOT NULL AS dense, coalesce(cl.cluster, cv.cluster) AS cluster FROM pt LEFT JOIN cl ON cl.id = pt.id LEFT JOIN bd ON bd.id = pt.id LEFT JOIN cl cv ON cv.id = bd.via""")
+def density_groups(spark, d):
+    """Points of a page that lie close together, grouped."""
+    return points.density_groups(_points(spark, d), float(REACH), DENSE).withColumnRenamed("group", "page")
+
+
+# Customers' drawings, and parts as the files of a few shared folders.
+_TARGET = {
+    "target": "'/up/' || CAST(c_custkey % 3 AS STRING) || '/own-' || CAST(c_custkey AS STRING) || '.pdf'", "folder": "'/up/' || CAST(c_custkey % 3 AS STRING)",
+    "project": "CASE WHEN c_custkey % 10 = 9 THEN CASE WHEN c_custkey % 20 = 9 THEN '' END ELSE 'P ' || CAST(c_custkey % 40 AS STRING) END",
+}
+_FILE_NAME = ("'P_' || CAST(p_partkey % 50 AS STRING) || '_' || CASE p_partkey % 4 WHEN 0 THEN 'Slab-Specification' WHEN 1 THEN 'site plan' WHEN 2 THEN 'typical_detail' ELSE 'JOINT LAYOUT' END "
+              "|| '_' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 9 = 0 THEN '.dwg' ELSE '.PDF' END")
+_FILE = {
+    "folder": "'/up/' || CAST(p_partkey % 7 AS STRING)", "name": _FILE_NAME, "path": f"'/up/' || CAST(p_partkey % 7 AS STRING) || '/' || {_FILE_NAME}",
+    "project": "CASE WHEN p_partkey % 6 = 5 THEN 'P ' || CAST(p_partkey % 45 AS STRING) END", "size_": "p_size", "key_": "p_partkey",
+}
+
+
+@query(f"""
+WITH tg AS (SELECT {_columns(_TARGET).replace("STRING", "VARCHAR")} FROM customer), fl AS (SELECT {_columns(_FILE).replace("STRING", "VARCHAR")} FROM part),
+dt AS (SELECT *, regexp_replace(lower(name), '[-_]+', ' ', 'g') AS plain FROM fl WHERE lower(name) LIKE '%.pdf'),
+dd AS (SELECT * FROM dt WHERE plain LIKE '%slab specification%' OR plain LIKE '%typical detail%' OR plain LIKE '%joint layout%'),
+cd AS (SELECT target, target AS path, 0 AS stage FROM tg
+  UNION ALL SELECT target, path, 1 FROM tg JOIN dd ON dd.folder = tg.folder AND (coalesce(tg.project, '') = '' OR starts_with(name, replace(tg.project, ' ', '_') || '_'))
+  UNION ALL SELECT target, path, 2 FROM tg JOIN dd ON dd.project = tg.project AND tg.project <> ''),
+sp AS (SELECT target, path, min(stage) AS stage FROM cd GROUP BY ALL),
+fd AS (SELECT path, 'depth_mm' AS field, CAST(150 + 25 * (size_ % 3) AS VARCHAR) AS value, false AS conflict FROM fl WHERE size_ % 4 > 0 UNION ALL
+  SELECT path, 'mesh', CASE WHEN size_ % 11 > 0 THEN CASE WHEN key_ % 97 = 0 THEN 'A393' ELSE 'A252' END END, size_ % 11 = 0 FROM fl WHERE size_ % 3 = 0 UNION ALL
+  SELECT target, 'depth_mm', '200', false FROM (SELECT target, length(target) AS n FROM tg) WHERE n % 2 = 0),
+by_ AS (SELECT target, field, count(DISTINCT value) AS n, bool_or(conflict) AS any_, min(value) AS v, min(stage) AS stage, count(DISTINCT path) AS n_files FROM sp JOIN fd USING (path) GROUP BY target, field)
+SELECT target, field, CASE WHEN n = 1 AND NOT any_ THEN v END AS value, NOT (n = 1 AND NOT any_) AS conflict, stage, n_files FROM by_ WHERE n > 0 OR any_""")
+def searched_specs(spark, d):
+    """Fields of every customer's drawing from all the files that speak for it."""
+    targets, files = _shaped(t(spark, d, "customer"), _TARGET), _shaped(t(spark, d, "part"), _FILE)
+    field = lambda rows, path, name, value, conflict: rows.selectExpr(f"{path} AS path", f"'{name}' AS field", f"CAST({value} AS STRING) AS value", f"{conflict} AS conflict")
+    found = field(files.where("size_ % 4 > 0"), "path", "depth_mm", "150 + 25 * (size_ % 3)", "false")
+    found = found.unionByName(field(files.where("size_ % 3 = 0"), "path", "mesh", "CASE WHEN size_ % 11 > 0 THEN CASE WHEN key_ % 97 = 0 THEN 'A393' ELSE 'A252' END END", "size_ % 11 = 0"))
+    found = found.unionByName(field(targets.where("length(target) % 2 = 0"), "target", "depth_mm", "'200'", "false"))
+    return search.resolved(search.candidates(targets, files), found)
