@@ -118,6 +118,10 @@ class _Tally:
             self.keys, self.counts, self.n = [], [], 0
 
 
+#: Bytes of texts that are scored at once; what a task holds besides what all tasks are sent is in proportion to it.
+SCORE_SLICE = 1 << 20
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, trie = _Tally(0), _Tally(1)
     for batch in batches:
@@ -331,7 +335,7 @@ def _scored(nodes, head_keys, head_logs):
             shared.append(Head(*nodes.value))
         keys, logs = head_keys.value, head_logs.value
         for batch in batches:
-            for s in slices(batch.column("text")):
+            for s in slices(batch.column("text"), SCORE_SLICE):
                 out, begin, (data, starts, ends, first) = stream(s)
                 key, at = grams(out, begin)
                 got, rare = shared[0].score(key)
