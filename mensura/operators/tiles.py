@@ -99,11 +99,17 @@ def _form(page: T.StructField, rest: str) -> tuple[T.StructType, pa.Schema]:
 STRIP = "h int, w int, ty int, tx int, y int, x int, ph int, pw int, piece binary"
 
 
+def windows(tiles: DataFrame, halo: int, side: int = SIDE) -> DataFrame:
+    """Tiles with ``halo`` pixels around them, as masks of side + 2 * halo; also of tiles that only have something around."""
+    return with_neighbours(tiles, halo, None, side)
+
+
 def with_neighbours(tiles: DataFrame, halo: int, work, side: int = SIDE) -> DataFrame:
     """Tiles of work(window, inside)[halo:-halo, halo:-halo], where a window is a tile with ``halo`` pixels around it.
 
     ``inside`` tells the window's pixels on the page. Tiles that only receive strips are
-    worked on as well; those without a set pixel at the end are left out.
+    worked on as well; those without a set pixel at the end are left out. Without
+    ``work`` the windows themselves are returned.
     """
     page = tiles.schema["page"]
     tile_schema, tile_arrow = _form(page, TILE)
@@ -137,7 +143,7 @@ def with_neighbours(tiles: DataFrame, halo: int, work, side: int = SIDE) -> Data
             window[r["y"] : r["y"] + r["ph"], r["x"] : r["x"] + r["pw"]] |= unpack(r["piece"], r["ph"], r["pw"])
         y, x = (np.arange(full) + first[c] * side - halo for c in ("ty", "tx"))
         inside = ((y >= 0) & (y < first["h"]))[:, None] & ((x >= 0) & (x < first["w"]))[None, :]
-        done = (work(window, inside) & inside)[halo : halo + side, halo : halo + side]
+        done = window if work is None else (work(window, inside) & inside)[halo : halo + side, halo : halo + side]
         out = [{**{c: first[c] for c in ("page", "h", "w", "ty", "tx")}, "mask": pack(done)}] if done.any() else []
         return pa.Table.from_pylist(out, tile_arrow)
 
@@ -377,7 +383,7 @@ def border_runs(masks: DataFrame, side: int = SIDE) -> DataFrame:
         return row, low, np.nonzero(step == -1)[1]
 
     # the borders of a tile's own pixels need one pixel around it, so the window itself is what comes back
-    wide = _windows(masks, side)
+    wide = windows(masks, 1, side)
 
     def run(batches):
         for batch in batches:
@@ -400,37 +406,6 @@ def border_runs(masks: DataFrame, side: int = SIDE) -> DataFrame:
     return wide.mapInArrow(run, edges_schema)
 
 
-def _windows(tiles: DataFrame, side: int) -> DataFrame:
-    """Tiles with one pixel around them, as windows of side + 2."""
-    page = tiles.schema["page"]
-    tile_schema, tile_arrow = _form(page, TILE)
-    near = None
-    shifts = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy == 0 or dx == 0]
-    for dy, dx in shifts:
-        moved = tiles.select("page", "h", "w", (F.col("ty") + dy).alias("ty"), (F.col("tx") + dx).alias("tx"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), "mask")
-        near = moved if near is None else near.unionByName(moved)
-
-    def stitched(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        own = [r for r in rows if r["dy"] == 0 and r["dx"] == 0]
-        out = []
-        if own:
-            window = np.zeros((side + 2, side + 2), bool)
-            for r in rows:
-                m, dy, dx = unpack(r["mask"], side, side), r["dy"], r["dx"]
-                # a tile that was moved down lies above
-                if dy:
-                    window[0 if dy > 0 else -1, 1:-1] = m[-1 if dy > 0 else 0]
-                elif dx:
-                    window[1:-1, 0 if dx > 0 else -1] = m[:, -1 if dx > 0 else 0]
-                else:
-                    window[1:-1, 1:-1] = m
-            out = [{**{c: own[0][c] for c in ("page", "h", "w", "ty", "tx")}, "mask": pack(window)}]
-        return pa.Table.from_pylist(out, tile_arrow)
-
-    return near.groupBy("page", "ty", "tx").applyInArrow(stitched, tile_schema)
-
-
 def loops(runs: np.ndarray) -> list[np.ndarray]:
     """Closed paths of directed runs (x0, y0, x1, y1).
 

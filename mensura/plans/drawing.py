@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.operators import docks, points, scalebars, search, spatial, tiles
+from mensura.operators import circles, docks, points, scalebars, search, spatial, tiles
 from mensura.operators.lineage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -349,3 +349,28 @@ def searched_specs(spark, d):
     found = found.unionByName(field(files.where("size_ % 3 = 0"), "path", "mesh", "CASE WHEN size_ % 11 > 0 THEN CASE WHEN key_ % 97 = 0 THEN 'A393' ELSE 'A252' END END", "size_ % 11 = 0"))
     found = found.unionByName(field(targets.where("length(target) % 2 = 0"), "target", "depth_mm", "'200'", "false"))
     return search.resolved(search.candidates(targets, files), found)
+
+
+# Parts are marks on sheets of sixteen: discs of several radii, and every fifth a square.
+_SHEET, _STEP = 4, 30
+
+
+def _marked_sheets(spark, d) -> DataFrame:
+    marks = t(spark, d, "part").selectExpr(f"p_partkey div {_SHEET**2} AS page", f"int(p_partkey % {_SHEET**2}) AS place", "6 + p_size % 5 AS r", "p_partkey % 5 = 0 AS square")
+    size = _SHEET * _STEP
+
+    def draw(group: pa.Table) -> pa.Table:
+        y, x = np.mgrid[0:size, 0:size]
+        whole = np.zeros((size, size), bool)
+        for m in group.to_pylist():
+            cy, cx = m["place"] // _SHEET * _STEP + _STEP // 2, m["place"] % _SHEET * _STEP + _STEP // 2
+            whole |= np.maximum(abs(x - cx), abs(y - cy)) <= m["r"] if m["square"] else np.hypot(x - cx, y - cy) <= m["r"]
+        return pa.table({"page": group.column("page")[:1], "h": pa.array([size], pa.int32()), "w": pa.array([size], pa.int32()), "mask": pa.array([tiles.pack(whole)], pa.binary())})
+
+    return tiles.tiled(marks.groupBy("page").applyInArrow(draw, "page long, h int, w int, mask binary"), 32)
+
+
+@query(f"SELECT p_partkey // {_SHEET**2} AS page, count(*) AS n FROM part WHERE p_partkey % 5 > 0 GROUP BY ALL")
+def circle_marks(spark, d):
+    """How many circles the sheets of all parts show."""
+    return circles.circles(circles.borders(_marked_sheets(spark, d), 32), 6, 10).groupBy("page").agg(F.count("*").alias("n"))

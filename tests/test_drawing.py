@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mensura.operators import docks, lineage, scalebars, spatial, tiles
+from mensura.operators import circles, docks, lineage, points, scalebars, search, spatial, tiles
 
 PAGES, STROKES, WORDS = "page int, width double, height double", "page int, kind string, x0 double, y0 double, x1 double, y1 double", "page int, seq int, x double, y double, text string"
 
@@ -358,3 +358,41 @@ def test_yard_edge_runs_are_those_of_comparing_all(spark):
     got = {x["page"]: x["reason"] or (x["length_lm"], x["n_members"]) for x in rows}
     assert {k: v if isinstance(v, str) else (pytest.approx(v[0], abs=0.011), v[1]) for k, v in want.items()} == got
     assert sum(not isinstance(v, str) for v in want.values()) >= 3 and len({v for v in want.values() if isinstance(v, str)}) >= 3
+
+
+@pytest.mark.parametrize("side", [16, 64])
+def test_planted_circles_are_found_and_lines_are_none(spark, side):
+    y, x = np.mgrid[0:120, 0:150]
+    ring = lambda cx, cy, r: abs(np.hypot(x - cx, y - cy) - r - 4) <= 4
+    disc = lambda cx, cy, r: np.hypot(x - cx, y - cy) <= r
+    pages = [(0, disc(30, 40, 7) | disc(90, 60, 10) | ring(60, 95, 9)), (1, ((x % 23 < 2) & (y > 9)) | (y % 31 < 2)), (2, np.zeros((120, 150), bool)), (3, disc(140, 8, 8))]
+    found = circles.circles(circles.borders(frame(spark, pages, side), side), 6, 11).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["page"], []).append((r["x"], r["y"], r["radius"]))
+    near = lambda a, b: np.hypot(a[0] - b[0], a[1] - b[1]) <= 2.5 and abs(a[2] - b[2]) <= 2
+    for page, want in ((0, [(30.5, 40.5, 7), (90.5, 60.5, 10), (60.5, 95.5, 9)]), (3, [(140.5, 8.5, 8)])):
+        assert len(got[page]) == len(want) and all(any(near(w, g) for g in got[page]) for w in want), got
+    assert 1 not in got and 2 not in got
+    assert circles.radii(10.0) == (2, 9) and circles.radii(0.1) == (1, 2)
+
+
+def test_points_of_odd_places(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, 1, 0.0, 0.0), (0, 2, 0.0, 0.0), (0, 3, 1000.0, 0.0), (0, 4, -1.0, 0.0), (1, 5, 3.0, 3.0), (0, 6, nan, 1.0), (0, 7, inf, 1.0), (0, 8, None, 1.0), (None, 9, 0.0, 0.0)]
+    table = spark.createDataFrame(rows, "group int, id int, x double, y double")
+    got = {r["id"]: (r["neighbour"], r["d2"]) for r in points.nearest_neighbours(table, 0.5).collect()}
+    assert got == {1: (2, 0.0), 2: (1, 0.0), 3: (1, 1e6), 4: (1, 1.0), 5: (None, None)}
+    groups = {r["id"]: (r["dense"], r["cluster"]) for r in points.density_groups(table, 1.0, 2).collect()}
+    assert groups == {1: (True, 1), 2: (True, 1), 3: (False, None), 4: (True, 1), 5: (False, None)}
+    assert points.nearest_neighbours(table.limit(0), 1.0).count() == 0
+
+
+def test_files_that_speak_for_a_drawing(spark):
+    targets = spark.createDataFrame([("/a/own.pdf", "/a", "P 1"), ("/a/free.pdf", "/a", None)], "target string, folder string, project string")
+    names = ["P_1_slab-specification.pdf", "P_11_slab-specification.pdf", "P_1_Joint_Layout.PDF", "P_1_elevation.pdf", "typical detail.pdf", "P_1_typical detail.dwg"]
+    files = [(f"/a/{n}", "/a", n, None) for n in names] + [("/z/typical detail.pdf", "/z", "typical detail.pdf", "P 1"), (f"/b/{names[0]}", "/b", names[0], None)]
+    got = sorted((r["target"], r["path"], r["stage"]) for r in search.candidates(targets, spark.createDataFrame(files, "path string, folder string, name string, project string")).collect())
+    own = "/a/own.pdf"
+    assert [g for g in got if g[0] == own] == sorted([(own, own, 0), (own, f"/a/{names[0]}", 1), (own, f"/a/{names[2]}", 1), (own, "/z/typical detail.pdf", 2)])
+    assert sorted(p for t, p, s in got if t == "/a/free.pdf" and s == 1) == sorted(f"/a/{names[i]}" for i in (0, 1, 2, 4))
