@@ -180,7 +180,7 @@ def flood(mask):
     return found
 
 
-@pytest.mark.parametrize("side,size", [(8, 3), (5, 6), (4, 9), (64, 6), (8, 1)])
+@pytest.mark.parametrize("side,size", [(8, 3), (4, 9), (64, 6)])
 def test_morphology_is_that_of_whole_pages(spark, side, size):
     pages = images()
     rows = frame(spark, pages, side)
@@ -191,7 +191,7 @@ def test_morphology_is_that_of_whole_pages(spark, side, size):
         assert (opened[p] == plain_dilated(plain_eroded(m, size), size)).all()
 
 
-@pytest.mark.parametrize("side", [4, 7, 64])
+@pytest.mark.parametrize("side", [7, 64])
 def test_regions_voids_and_outlines_are_those_of_whole_pages(spark, side):
     pages = images(1)
     labels = lineage.stored(tiles.labelled(frame(spark, pages, side), side))
@@ -360,7 +360,7 @@ def test_yard_edge_runs_are_those_of_comparing_all(spark):
     assert sum(not isinstance(v, str) for v in want.values()) >= 3 and len({v for v in want.values() if isinstance(v, str)}) >= 3
 
 
-@pytest.mark.parametrize("side", [16, 64])
+@pytest.mark.parametrize("side", [32])
 def test_planted_circles_are_found_and_lines_are_none(spark, side):
     y, x = np.mgrid[0:120, 0:150]
     ring = lambda cx, cy, r: abs(np.hypot(x - cx, y - cy) - r - 4) <= 4
