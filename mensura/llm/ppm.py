@@ -118,7 +118,7 @@ class _Tally:
             self.keys, self.counts, self.n = [], [], 0
 
 
-#: Bytes of texts that are scored at once; what a task holds besides what all tasks are sent is in proportion to it.
+#: Bytes of texts that are counted or scored at once; what a task holds besides what all tasks are sent is in proportion to it.
 SCORE_SLICE = 1 << 20
 
 
@@ -126,7 +126,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, trie = _Tally(0), _Tally(1)
     for batch in batches:
         learned = batch.column("learn").to_numpy(zero_copy_only=False)
-        for s in slices(batch.column("text")):
+        for s in slices(batch.column("text"), SCORE_SLICE):
             out, begin, (data, starts, ends, first) = stream(s)
             learn = learned[s.rows.start : s.rows.start + len(s)]
             hashes, (key, at) = hash_words(data, starts, ends), grams(out, begin)
