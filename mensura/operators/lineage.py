@@ -37,6 +37,11 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by its keys to all shuffle partitions, also where its rows are few bytes but much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
     """``nodes`` with the least node of the component that each lies in, as ``component``; edges are (a, b).
 

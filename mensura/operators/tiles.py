@@ -16,6 +16,8 @@ outside of the page counts as not set.
 from __future__ import annotations
 
 import math
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from mensura.operators.lineage import components, stored
+from mensura.operators.lineage import components, spread, stored
 from mensura.operators.raster import label_components
 from mensura.operators.spatial import numbered
 
@@ -34,6 +36,8 @@ LABELS = 1 << 24
 # The areas that a single surface may have, and the share of the chosen one that others must reach.
 LEAST_M2, MOST_M2, SATELLITE, MARGIN = 200, 50_000, 0.015, 0.025
 SOLID = 0.03
+#: Tiles that a task hands on at once.
+TILES = 512
 TILE = "h int, w int, ty int, tx int, mask binary"
 
 
@@ -135,20 +139,29 @@ def with_neighbours(tiles: DataFrame, halo: int, work, side: int = SIDE) -> Data
                             rows.append({"page": r["page"], "h": r["h"], "w": r["w"], **at})
             yield pa.RecordBatch.from_pylist(rows, strip_arrow)
 
-    def stitched(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        first = rows[0]
-        window = np.zeros((full, full), bool)
-        for r in rows:
-            window[r["y"] : r["y"] + r["ph"], r["x"] : r["x"] + r["pw"]] |= unpack(r["piece"], r["ph"], r["pw"])
-        y, x = (np.arange(full) + first[c] * side - halo for c in ("ty", "tx"))
-        inside = ((y >= 0) & (y < first["h"]))[:, None] & ((x >= 0) & (x < first["w"]))[None, :]
-        done = window if work is None else (work(window, inside) & inside)[halo : halo + side, halo : halo + side]
-        out = [{**{c: first[c] for c in ("page", "h", "w", "ty", "tx")}, "mask": pack(done)}] if done.any() else []
-        return pa.Table.from_pylist(out, tile_arrow)
+    def stitched(batches):
+        out = []
+        for (page_, h, w, ty, tx), rows in groupby((r for batch in batches for r in batch.to_pylist()), key=itemgetter("page", "h", "w", "ty", "tx")):
+            window = np.zeros((full, full), bool)
+            for r in rows:
+                window[r["y"] : r["y"] + r["ph"], r["x"] : r["x"] + r["pw"]] |= unpack(r["piece"], r["ph"], r["pw"])
+            if work is None:
+                done = window
+            else:
+                y, x = np.arange(full) + ty * side - halo, np.arange(full) + tx * side - halo
+                inside = ((y >= 0) & (y < h))[:, None] & ((x >= 0) & (x < w))[None, :]
+                done = (work(window, inside) & inside)[halo : halo + side, halo : halo + side]
+            if done.any():
+                out.append({"page": page_, "h": h, "w": w, "ty": ty, "tx": tx, "mask": pack(done)})
+            if len(out) == TILES:
+                yield pa.RecordBatch.from_pylist(out, tile_arrow)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, tile_arrow)
 
     sent = tiles.select("page", "h", "w", "ty", "tx", "mask").mapInArrow(strips, strip_schema)
-    return sent.groupBy("page", "h", "w", "ty", "tx").applyInArrow(stitched, tile_schema)
+    # tiles are small, so a task takes them one after the other in their order, not as a group each
+    keys = ["page", "h", "w", "ty", "tx"]
+    return spread(sent, *keys).sortWithinPartitions(*keys).mapInArrow(stitched, tile_schema)
 
 
 def closed(tiles: DataFrame, size: int, side: int = SIDE) -> DataFrame:

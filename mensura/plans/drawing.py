@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.operators import circles, docks, points, scalebars, search, spatial, tiles
-from mensura.operators.lineage import stored
+from mensura.operators.lineage import spread, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -359,15 +359,18 @@ def _marked_sheets(spark, d) -> DataFrame:
     marks = t(spark, d, "part").selectExpr(f"p_partkey div {_SHEET**2} AS page", f"int(p_partkey % {_SHEET**2}) AS place", "6 + p_size % 5 AS r", "p_partkey % 5 = 0 AS square")
     size = _SHEET * _STEP
 
+    # no mark reaches beyond its own field
+    y, x = np.mgrid[0:_STEP, 0:_STEP] - _STEP // 2
+    square, round_ = np.maximum(abs(x), abs(y)), np.hypot(x, y)
+
     def draw(group: pa.Table) -> pa.Table:
-        y, x = np.mgrid[0:size, 0:size]
         whole = np.zeros((size, size), bool)
         for m in group.to_pylist():
-            cy, cx = m["place"] // _SHEET * _STEP + _STEP // 2, m["place"] % _SHEET * _STEP + _STEP // 2
-            whole |= np.maximum(abs(x - cx), abs(y - cy)) <= m["r"] if m["square"] else np.hypot(x - cx, y - cy) <= m["r"]
+            top, left = m["place"] // _SHEET * _STEP, m["place"] % _SHEET * _STEP
+            whole[top : top + _STEP, left : left + _STEP] |= (square if m["square"] else round_) <= m["r"]
         return pa.table({"page": group.column("page")[:1], "h": pa.array([size], pa.int32()), "w": pa.array([size], pa.int32()), "mask": pa.array([tiles.pack(whole)], pa.binary())})
 
-    return tiles.tiled(marks.groupBy("page").applyInArrow(draw, "page long, h int, w int, mask binary"), 32)
+    return tiles.tiled(spread(marks, "page").groupBy("page").applyInArrow(draw, "page long, h int, w int, mask binary"), 32)
 
 
 @query(f"SELECT p_partkey // {_SHEET**2} AS page, count(*) AS n FROM part WHERE p_partkey % 5 > 0 GROUP BY ALL")

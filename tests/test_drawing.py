@@ -396,3 +396,45 @@ def test_files_that_speak_for_a_drawing(spark):
     own = "/a/own.pdf"
     assert [g for g in got if g[0] == own] == sorted([(own, own, 0), (own, f"/a/{names[0]}", 1), (own, f"/a/{names[2]}", 1), (own, "/z/typical detail.pdf", 2)])
     assert sorted(p for t, p, s in got if t == "/a/free.pdf" and s == 1) == sorted(f"/a/{names[i]}" for i in (0, 1, 2, 4))
+
+@pytest.mark.parametrize("block", [24, 256])
+def test_circles_are_those_of_one_greedy_pass_at_any_block(spark, monkeypatch, block):
+    monkeypatch.setattr(circles, "AROUND", 1 if block == 24 else 2)
+    r = np.random.default_rng(5)
+    rows = []
+    for page in range(2):
+        for cx, cy in r.integers(-5, 90, (14, 2)):
+            for angle in np.linspace(0, 2 * np.pi, 40, endpoint=False):
+                rows.append((page, float(cx + 0.5 + 7 * np.cos(angle)), float(cy + 0.5 + 7 * np.sin(angle)), float(np.cos(angle)), float(np.sin(angle))))
+    edges = spark.createDataFrame(rows, "page int, x double, y double, nx double, ny double").repartition(3)
+    votes = {}
+    for page, x, y, nx, ny in rows:
+        for radius in (6, 7, 8):
+            for way in (-1, 1):
+                at = (page, int(np.floor(x + way * radius * nx)), int(np.floor(y + way * radius * ny)), radius)
+                for a in (-1, 0, 1):
+                    for b in (-1, 0, 1):
+                        k = (at[0], at[1] + a, at[2] + b, radius)
+                        votes[k] = votes.get(k, 0) + 1
+    best = {}
+    for (page, x, y, radius), n in votes.items():
+        if (s := n / (2 * np.pi * radius)) >= 0.3:
+            best[page, x, y] = max(best.get((page, x, y), (0, 0)), (s, radius))
+    kept = []
+    for (page, x, y), (s, radius) in sorted(best.items(), key=lambda i: (i[0][0], -i[1][0], i[0][2], i[0][1])):
+        if all(k[0] != page or np.hypot(k[1] - x, k[2] - y) >= 9.0 for k in kept):
+            kept.append((page, x, y, radius))
+    got = circles.circles(edges, 6, 8, 0.3, 9.0, block=block).collect()
+    assert sorted((q["page"], q["x"] - 0.5, q["y"] - 0.5, q["radius"]) for q in got) == sorted(kept) and len(kept) > 20
+    if block == 24:
+        found = circles._decided(circles.peaks(edges, 6, 8, 0.3, block), 9.0, block)
+        assert found.where(f"state = {circles.OPEN}").count() > 0  # some are decided over the whole table
+
+
+def test_votes_are_not_shuffled(spark):
+    """Border pixels are what moves, so few rows cross for each of them."""
+    y, x = np.mgrid[0:60, 0:60]
+    edges = lineage.stored(circles.borders(frame(spark, [(0, np.hypot(x - 30, y - 30) <= 9)], 32), 32))
+    sent = circles._in_blocks(edges, F.col("x"), F.col("y"), 13, circles.BLOCK)
+    assert sent.count() == edges.count()
+    assert circles.circles(edges, 6, 10).count() == 1
