@@ -149,7 +149,8 @@ def yard_edge_runs(outlines: DataFrame, walls: DataFrame) -> DataFrame:
     ``outlines`` has (page, k, points: array<struct<x, y>>), ``walls`` (page, seq, x0, y0,
     x1, y1, grey). Of walls that lie on one another the longest leads; a leader counts
     if one of its members is a light stroke or it has several. The longest leader is
-    taken unless another comes within the rival share of it.
+    taken unless another comes within the rival share of it. Walls drawn several times over
+    are compared once and count each time.
     """
     known = outlines.where("k > 0 AND size(points) >= 3").select("page", "k", "points")
     ring = known.select("page", "k", F.inline(F.arrays_zip(F.col("points").alias("p"), F.concat(F.slice("points", 2, F.size("points") - 1), F.slice("points", 1, 1)).alias("q"))))
@@ -161,6 +162,8 @@ def yard_edge_runs(outlines: DataFrame, walls: DataFrame) -> DataFrame:
         "page", "seq", "grey", "orientation", F.when(flat, (F.col("y0") + F.col("y1")) / 2).otherwise((F.col("x0") + F.col("x1")) / 2).alias("fixed"),
         F.when(flat, F.least("x0", "x1")).otherwise(F.least("y0", "y1")).alias("a0"), F.when(flat, F.greatest("x0", "x1")).otherwise(F.greatest("y0", "y1")).alias("a1"),
     ).join(known.select("page", "k"), "page")
+    # walls of equal ends share their fate: they are as near, and all follow what the first of them follows, or that itself
+    straight = straight.groupBy("page", "orientation", "fixed", "a0", "a1").agg(F.min("seq").alias("seq"), F.count("*").alias("copies"), F.max(F.coalesce("grey", F.lit(False))).alias("grey"), F.max("k").alias("k"))
     straight = straight.withColumn("length", (F.col("a1") - F.col("a0")) * F.col("k")).where(F.col("length") >= WALL_LEAST)
     placed = stored(numbered(straight, ["page", F.desc("length"), "seq", "orientation", "fixed", "a0"], "wall"), "walls")
     ends = {"x0": F.when(flat, F.col("a0")).otherwise(F.col("fixed")), "y0": F.when(flat, F.col("fixed")).otherwise(F.col("a0")), "x1": F.when(flat, F.col("a1")).otherwise(F.col("fixed")), "y1": F.when(flat, F.col("fixed")).otherwise(F.col("a1"))}
@@ -176,7 +179,7 @@ def yard_edge_runs(outlines: DataFrame, walls: DataFrame) -> DataFrame:
     follows = stored(greedy_kept(same).where("NOT kept").select(F.col("place").alias("worse")), "followers")
     lead = same.join(follows, "worse", "left_semi").join(follows.withColumnRenamed("worse", "better"), "better", "left_anti").groupBy("worse").agg(F.min("better").alias("leader"))
     of = candidates.join(small(stored(lead.withColumnRenamed("worse", "wall"))), "wall", "left").withColumn("leader", F.coalesce("leader", "wall"))
-    support = of.groupBy("leader").agg(F.count("*").alias("n_members"), F.max(F.coalesce("grey", F.lit(False))).alias("light"))
+    support = of.groupBy("leader").agg(F.sum("copies").alias("n_members"), F.max("grey").alias("light"))
     leaders = candidates.join(support.withColumnRenamed("leader", "wall"), "wall").withColumn("counts", F.col("light") | (F.col("n_members") >= 2))
     two_best = F.slice(F.sort_array(F.collect_list(F.when(F.col("counts"), F.struct("length", (-F.col("wall")).alias("w")))), asc=False), 1, 2)
     # leaders of a page that count are few: they are long, apart, and along its outline

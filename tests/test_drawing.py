@@ -438,3 +438,13 @@ def test_votes_are_not_shuffled(spark):
     sent = circles._in_blocks(edges, F.col("x"), F.col("y"), 13, circles.BLOCK)
     assert sent.count() == edges.count()
     assert circles.circles(edges, 6, 10).count() == 1
+
+
+def test_copies_of_a_wall_are_compared_once(spark, monkeypatch):
+    """Lines drawn again and again count as members, but bring no pairs of walls."""
+    walls = [(0, seq, 0.0, y, 390.0, y, False) for seq, y in enumerate([2.0, 3.0] * 200)]
+    found, kept = [], docks.greedy_kept
+    monkeypatch.setattr(docks, "greedy_kept", lambda pairs: found.append(pairs.count()) or kept(pairs))
+    outline = spark.createDataFrame([(0, 0.1, [(0.0, 0.0), (400.0, 0.0), (400.0, 300.0)])], "page int, k double, points array<struct<x:double,y:double>>")
+    (row,) = docks.yard_edge_runs(outline, spark.createDataFrame(walls, "page int, seq int, x0 double, y0 double, x1 double, y1 double, grey boolean")).collect()
+    assert (row["length_lm"], row["n_members"], row["y0"]) == (39.0, 400, 2.0) and found == [1]
