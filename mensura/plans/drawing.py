@@ -348,7 +348,7 @@ def searched_specs(spark, d):
     found = field(files.where("size_ % 4 > 0"), "path", "depth_mm", "150 + 25 * (size_ % 3)", "false")
     found = found.unionByName(field(files.where("size_ % 3 = 0"), "path", "mesh", "CASE WHEN size_ % 11 > 0 THEN CASE WHEN key_ % 97 = 0 THEN 'A393' ELSE 'A252' END END", "size_ % 11 = 0"))
     found = found.unionByName(field(targets.where("length(target) % 2 = 0"), "target", "depth_mm", "'200'", "false"))
-    return search.resolved(search.candidates(targets, files), found)
+    return search.searched(targets, files, found)
 
 
 # Parts are marks on sheets of sixteen: discs of several radii, and every fifth a square.

@@ -448,3 +448,21 @@ def test_copies_of_a_wall_are_compared_once(spark, monkeypatch):
     outline = spark.createDataFrame([(0, 0.1, [(0.0, 0.0), (400.0, 0.0), (400.0, 300.0)])], "page int, k double, points array<struct<x:double,y:double>>")
     (row,) = docks.yard_edge_runs(outline, spark.createDataFrame(walls, "page int, seq int, x0 double, y0 double, x1 double, y1 double, grey boolean")).collect()
     assert (row["length_lm"], row["n_members"], row["y0"]) == (39.0, 400, 2.0) and found == [1]
+
+
+def test_targets_of_a_class_are_searched_together(spark, monkeypatch):
+    r = random.Random(4)
+    names = ["P_1_slab-specification.pdf", "P_2_joint layout.pdf", "typical detail.pdf", "plan.pdf"]
+    files = [(f"/{f}/{n}", f"/{f}", n, p) for f in "ab" for n in names for p in ["P 1" if r.random() < 0.4 else None]]
+    targets = [(f"/t/{i}", r.choice(["/a", "/b", None]), r.choice(["P 1", "P 2", "", None])) for i in range(60)]
+    targets += [(files[0][0], "/a", "P 1"), (files[2][0], "/a", None), (files[1][0], "/b", "P 2"), ("/t/1", "/b", "P 2"), ("/t/1", "/a", None), (None, "/a", None)]
+    said = [(p, f, v, c) for p in [x[0] for x in files + targets] for f, v, c in [("mesh", r.choice(["A252", "A252", None]), r.random() < 0.05), ("depth", r.choice(["150", "200"]), None)] if r.random() < 0.6]
+    targets = spark.createDataFrame(targets, "target string, folder string, project string")
+    files = spark.createDataFrame(files, "path string, folder string, name string, project string")
+    found = spark.createDataFrame(said, "path string, field string, value string, conflict boolean")
+    key = lambda rows: sorted((tuple(x) for x in rows.collect()), key=repr)
+    want = key(search.resolved(search.candidates(targets, files), found))
+    asked, plain = [], search.candidates
+    monkeypatch.setattr(search, "candidates", lambda t, f: asked.append(t.count()) or plain(t, f))
+    assert key(search.searched(targets, files, found)) == want and len(want) > 60
+    assert asked[0] < 20  # classes, not targets
