@@ -99,8 +99,8 @@ def hot_over_archive(hot: DataFrame, archive: DataFrame, key: str) -> DataFrame:
 
 
 def merge_intervals(rows: DataFrame, keys: list[str], low: str, high: str, gap: float) -> DataFrame:
-    """Intervals of each key united where they touch, overlap or lie within ``gap``."""
-    w = Window.partitionBy(*keys).orderBy(low, high)
+    """Intervals of each key united where they touch, overlap or lie within ``gap``; open ends lie after all others of their start."""
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(low), F.asc_nulls_last(high))
     reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col(low) <= F.col("__reach") + gap, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     marked = rows.withColumn("__reach", reach).withColumn("__island", island)

@@ -223,3 +223,17 @@ def test_pair_score_reads_the_raw_folder_itself():
 def test_prior_of_repeated_rows(spark):
     rows = spark.createDataFrame([("k", 1, 5), ("k", 1, 6), ("k", 2, 3)], "k string, id int, at int")
     assert {(r.id, r.prior_id) for r in relational.prior_of(rows, "k", "id", "at").collect()} == {(1, 2), (2, 1)}
+
+
+def test_merged_runs_with_null_ends_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from mensura.plans import registry
+
+    rows = [(1, 2, 5.0), (1, 2, None), (1, 4, None), (1, 6, 3.0), (1, 6, 3.0), (1, None, 2.0), (1, 400, None), (2, 8, None)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [tuple(r) for r in registry.QUERIES["merged_runs"](spark, str(tmp_path)).select("page", "axis", "low", "high", "n").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(f"SELECT page, axis, low, high, n FROM ({registry.ORACLE_SQL['merged_runs']})").fetchall()
+    assert sorted(got, key=repr) == sorted(want, key=repr)
