@@ -28,6 +28,8 @@ from mensura.operators.lineage import components, small, stored
 #: Conflicts of a component that one task decides; larger components are decided by rounds over the whole table.
 COMPONENT = 100_000
 ROUNDS = 8
+#: About how many boxes of one crowded group a task decides in a round, never more than 20 times as many, and most rounds.
+CROWD, PEELS = 1_000, 12
 
 
 def shared_area(a: str, b: str) -> Column:
@@ -155,6 +157,55 @@ def numbered(rows: DataFrame, order: list, name: str = "number") -> DataFrame:
     return placed.join(F.broadcast(shift), "__part").withColumn(name, F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
 
 
+def _first_kept(group: pd.DataFrame, least: float) -> pd.DataFrame:
+    """The boxes of a bounded group that stay, in the order of their numbers."""
+    group = group.sort_values("__number")
+    box = group[["x0", "y0", "x1", "y1"]].to_numpy()
+    size, live, kept = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1]), np.ones(len(box), bool), []
+    for i in range(len(box)):
+        if live[i]:
+            kept.append(i)
+            w, h = (np.minimum(box[i, k + 2], box[i:, k + 2]) - np.maximum(box[i, k], box[i:, k]) for k in (0, 1))
+            shared = np.where((w > 0) & (h > 0), w * h, 0)
+            live[i:] &= ~((shared > 0) & (shared >= (size[i] + size[i:] - shared) * least))
+    return group.iloc[kept]
+
+
+def _peeled(single: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(kept, open) of numbered boxes: in rounds the first CROWD of each crowded group are decided, and what they cover is left out.
+
+    So pairs of boxes that nearly all cover one another are never listed. Groups of
+    few boxes, and what is left when rounds leave out little, stay open.
+    """
+    spark = single.sparkSession
+    kept, open_ = spark.createDataFrame([], single.schema), single
+    for _ in range(PEELS):
+        sizes = open_.groupBy("group").agg(F.count("*").alias("n"))
+        crowded = stored(sizes.where(F.col("n") > CROWD), "crowded")
+        before = crowded.agg(F.sum("n")).first()[0]
+        if not before:
+            break
+        share = F.col("n").cast("double")
+        # any bound on the number is exact; this one lets about CROWD of a group in
+        first = stored(open_.join(small(crowded), "group").groupBy("group").agg(F.min("__number").alias("low"), F.max("__number").alias("high"), F.max(share).alias("n")), "bounds")
+        step = F.ceil((F.col("high") - F.col("low") + 1) * CROWD / F.col("n")).cast("long")
+        bounds = first.select("group", (F.col("low") + F.least(step, F.lit(20 * CROWD))).alias("bound"))
+        head = open_.join(small(stored(bounds, "bounds")), "group")
+        names = single.columns
+        done = stored(head.where("__number < bound").select(names).groupBy("group").applyInPandas(lambda g: _first_kept(g, least), single.schema), "kept")
+        kept = kept.unionByName(done)
+        over = done.select("group", *(F.col(c).alias(f"k_{c}") for c in ("x0", "y0", "x1", "y1")))
+        rest = open_.join(small(stored(bounds, "bounds")), "group", "left").where("bound IS NULL OR __number >= bound").select(*(F.col(c).alias(c if c == "group" else f"o_{c}") for c in names))
+        shared = shared_area("o_", "k_")
+        covers = (over["group"] == rest["group"]) & (shared > 0) & (shared >= (area("o_") + area("k_") - shared) * least)
+        rest = rest.join(small(over), covers, "left_anti").select(*(F.col(c if c == "group" else f"o_{c}").alias(c) for c in names))
+        open_ = stored(rest, "open")
+        left = open_.join(small(crowded.select("group")), "group", "left_semi").count()
+        if left > 0.9 * before:
+            break
+    return kept, open_
+
+
 def without_overlapping(boxes: DataFrame, order: list, least: float, base: float = 1.0) -> DataFrame:
     """The rows of ``boxes`` that stay: in the order of each group, those that share less than ``least`` of the
     united area with every one that stays before them; ties of the order go by id, boxes without an area stay.
@@ -167,9 +218,10 @@ def without_overlapping(boxes: DataFrame, order: list, least: float, base: float
     twin = Window.partitionBy("group", "x0", "y0", "x1", "y1").orderBy(*order, "id", "__row")
     single = sound.withColumn("__twin", F.row_number().over(twin)).where("__twin = 1").drop("__twin")
     single = stored(numbered(single, ["group", *order, "id", "__row"], "__number"), "singles")
-    pairs = overlaps(single.select("group", F.col("__number").alias("id"), "x0", "y0", "x1", "y1"), least, base)
+    first, open_ = _peeled(single, least) if least > 0 else (single.limit(0), single)
+    pairs = overlaps(open_.select("group", F.col("__number").alias("id"), "x0", "y0", "x1", "y1"), least, base)
     decided = greedy_kept(pairs.select(F.least("a", "b").alias("better"), F.greatest("a", "b").alias("worse")))
     gone = stored(decided.where("NOT kept").select(F.col("place").alias("__number")), "gone")
-    kept = single.join(small(gone), "__number", "left_anti")
+    kept = first.unionByName(open_.join(small(gone), "__number", "left_anti").select(first.columns))
     odd = rows.join(sound.select("__row"), "__row", "left_anti")
     return kept.select(*boxes.columns).unionByName(odd.select(*boxes.columns))

@@ -466,3 +466,19 @@ def test_targets_of_a_class_are_searched_together(spark, monkeypatch):
     monkeypatch.setattr(search, "candidates", lambda t, f: asked.append(t.count()) or plain(t, f))
     assert key(search.searched(targets, files, found)) == want and len(want) > 60
     assert asked[0] < 20  # classes, not targets
+
+
+@pytest.mark.parametrize("crowd,peels", [(5, 40), (12, 2)])
+def test_crowded_boxes_are_decided_in_rounds_without_their_pairs(spark, monkeypatch, crowd, peels):
+    monkeypatch.setattr(spatial, "CROWD", crowd)
+    monkeypatch.setattr(spatial, "PEELS", peels)
+    listed, plain = [], spatial.overlaps
+    monkeypatch.setattr(spatial, "overlaps", lambda boxes, *a: listed.append(boxes.count()) or plain(boxes, *a))
+    rows = [b for b in random_boxes(7, 90)] + [(5, 5000 + i, i % 4, i % 3, 200 + i % 5, 300 + i) for i in range(60)]
+    kept = []
+    for b in sorted((b for b in rows if sound(b)), key=lambda b: (b[0], -size(b), b[1])):
+        if all(k[0] != b[0] or both(k, b) < 0.5 * (size(k) + size(b) - both(k, b)) for k in kept):
+            kept.append(b)
+    got = spatial.without_overlapping(spark.createDataFrame(rows, BOXES).repartition(3), [F.desc((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))], 0.5).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(kept + [b for b in rows if not sound(b)], key=repr)
+    assert listed[0] < sum(map(sound, rows)) - 50  # the crowd never meets pair by pair
