@@ -106,6 +106,22 @@ def test_nearest_and_range_against_loops(spark, seed):
     assert pairs == {(i, s.rid) for i, _, at in left for s in spans.collect() if s.lo <= at <= s.hi}
 
 
+def test_pairs_of_equal_ranges_are_few_bytes(spark, tmp_path):
+    left = spark.range(40).selectExpr("id", "CAST(14 + id % 7 AS DOUBLE) AS at")
+    spans = spark.range(40000).selectExpr("id AS rid", "CAST(id % 2 AS DOUBLE) AS lo", "30.0D AS hi")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        relational.range_join(left, spans, "at", "lo", "hi", 7.0).select("id", "rid").write.parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    pairs = spark.read.parquet(f"{tmp_path}/out")
+    assert pairs.count() == pairs.distinct().count() == 40 * 40000
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.5 * 40 * 40000
+    alone = relational.range_join(left, spans.select("lo", "hi"), "at", "lo", "hi", 7.0)
+    assert alone.columns == ["id", "at", "lo", "hi"] and alone.count() == 40 * 40000
+
+
 def test_pairing_uses_each_raw_drawing_once(spark):
     m = spark.createDataFrame([("k", "/m/B.pdf"), ("k", "/m/a.pdf"), ("z", "/m/z.pdf")], "name string, path string")
     raw = spark.createDataFrame([("k", "/raw/a.pdf"), ("k", "/x/a.pdf"), ("k", "/x/c.pdf"), ("y", "/x/y.pdf")], "name string, path string")
