@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mensura.operators.lineage import stored
+
 
 def pair_names(marked: DataFrame, raw: DataFrame, key: str) -> DataFrame:
     """Marked and raw drawings of one key paired one to one.
@@ -76,13 +81,29 @@ def drop_overlapping(boxes: DataFrame, page: str, threshold: float = 0.9) -> Dat
     return boxes.groupBy(page).applyInPandas(keep, f"{page} {dict(boxes.dtypes)[page]}, id {dict(boxes.dtypes)['id']}")
 
 
+#: Rectangles of a cell that are swept together, and how often a cell that holds more is quartered.
+SWEPT, QUARTERED = 500, 24
+
+
+def _clipped(parts: DataFrame, step: Column) -> DataFrame:
+    """Rectangles cut at the cells of width ``step``, each once a cell, with ``whole`` where it is the cell itself."""
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / step), F.greatest(F.floor(F.col(lo) / step), F.ceil(F.col(hi) / step) - 1)))
+    parts = parts.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+    for c, at in (("x", "cx"), ("y", "cy")):
+        parts = parts.withColumn(f"{c}0", F.greatest(F.col(f"{c}0"), F.col(at) * step)).withColumn(f"{c}1", F.least(F.col(f"{c}1"), (F.col(at) + 1) * step))
+    whole = (F.col("x0") == F.col("cx") * step) & (F.col("x1") == (F.col("cx") + 1) * step) & (F.col("y0") == F.col("cy") * step) & (F.col("y1") == (F.col("cy") + 1) * step)
+    return parts.select("key", "cx", "cy", "x0", "y0", "x1", "y1", whole.alias("whole")).distinct()
+
+
 def union_area(boxes: DataFrame, key: str, cell: float | None = None) -> DataFrame:
     """The area that rectangles of a key cover together, and their plain sum.
 
-    Rectangles are clipped to the cells of a grid, by default twice as wide as they
-    are on average, so that no step grows with all rectangles of a key. In a cell the
-    edges cut strips, and what is covered of a strip is summed from the lowest
-    rectangle up, by how far each reaches beyond those before it.
+    Rectangles are clipped to the cells of a grid, by default at least twice as wide as
+    they are on average, so that no step grows with all rectangles of a key. A cell that
+    one of them fills is done; one that holds many is quartered, and so on, so that
+    a task never sweeps a crowd. In a cell the edges cut strips, and what is covered of a
+    strip is summed from the lowest rectangle up, by how far each reaches beyond
+    those before it. Cells are powers of two wide, so sums of whole numbers stay exact.
     """
     rows = boxes.select(F.col(key).alias("key"), "x0", "y0", "x1", "y1")
     finite = [~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")) for c in ("x0", "y0", "x1", "y1")]
@@ -91,20 +112,29 @@ def union_area(boxes: DataFrame, key: str, cell: float | None = None) -> DataFra
         sound = sound.where(f)
     if cell is None:
         side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("double")
-        cell = 2 * (sound.agg(F.avg(side)).first()[0] or 1.0)
-    step = F.lit(float(cell))
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / step), F.greatest(F.floor(F.col(lo) / step), F.ceil(F.col(hi) / step) - 1)))
-    parts = sound.distinct().withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
-    for c, at in (("x", "cx"), ("y", "cy")):
-        parts = parts.withColumn(f"{c}0", F.greatest(F.col(f"{c}0").cast("double"), F.col(at) * step)).withColumn(f"{c}1", F.least(F.col(f"{c}1").cast("double"), (F.col(at) + 1) * step))
-    by = ["key", "cx", "cy"]
+        cell = 2.0 ** math.ceil(math.log2(2 * (sound.agg(F.avg(side)).first()[0] or 1.0)))
+    by, corners = ["key", "cx", "cy"], ["x0", "y0", "x1", "y1"]
+    swept, filled, step = [], [], float(cell)
+    parts = stored(_clipped(sound.select("key", *(F.col(c).cast("double").alias(c) for c in corners)), F.lit(step)), "parts")
+    for turn in range(QUARTERED + 1):
+        cells = stored(parts.groupBy(*by).agg(F.count("*").alias("n"), F.max("whole").alias("filled")), "cells")
+        filled.append(cells.where("filled").select("key", F.lit(step * step).alias("area")))
+        few = cells.where("NOT filled" if turn == QUARTERED else f"NOT filled AND n <= {SWEPT}")
+        swept.append(parts.join(few.select(*by), by).select(F.lit(turn).alias("turn"), *by, *corners))
+        crowded = cells.where(f"NOT filled AND n > {SWEPT}")
+        if turn == QUARTERED or crowded.isEmpty():
+            break
+        step /= 2
+        parts = stored(_clipped(parts.join(crowded.select(*by), by).select("key", *corners), F.lit(step)), "parts")
+    parts, by = reduce(DataFrame.unionByName, swept), ["turn", *by]
     edges = parts.select(*by, F.explode(F.array("x0", "x1")).alias("left")).distinct()
     strips = edges.withColumn("right", F.lead("left").over(Window.partitionBy(*by).orderBy("left"))).where("right IS NOT NULL")
     met = strips.join(parts, by).where("x0 <= left AND x1 >= right")
     below = F.max("y1").over(Window.partitionBy(*by, "left").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
     covered = met.withColumn("below", below)
     more = F.greatest(F.lit(0.0), F.col("y1") - F.greatest(F.col("y0"), F.coalesce("below", "y0")))
-    area = covered.groupBy("key").agg(F.sum((F.col("right") - F.col("left")) * more).alias("area"))
+    areas = reduce(DataFrame.unionByName, [covered.select("key", ((F.col("right") - F.col("left")) * more).alias("area")), *filled])
+    area = areas.groupBy("key").agg(F.sum("area").alias("area"))
     total = rows.select("key").distinct().join(sound.groupBy("key").agg(F.sum(((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("double")).alias("total")), "key", "left")
     met = total.join(area, "key", "left").select("key", F.coalesce("area", F.lit(0.0)).alias("area"), F.coalesce("total", F.lit(0.0)).alias("total"))
     return met.withColumn("overlaps", F.col("area") < 0.999 * F.col("total"))

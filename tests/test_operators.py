@@ -136,6 +136,19 @@ def test_boxes(spark):
     assert got["p"] == (150.0, True) and got["q"] == (0.0, False)
 
 
+@pytest.mark.parametrize("swept", [None, 3])
+def test_union_area_of_crowded_rectangles_is_exact(spark, monkeypatch, swept):
+    if swept:
+        monkeypatch.setattr(matching, "SWEPT", swept)
+    r = random.Random(5)
+    boxes = [(k, x, y, x + r.randint(1, w), y + r.randint(1, w)) for k, w in (("a", 9), ("b", 40)) for x, y in ((r.randint(-30, 30), r.randint(-30, 30)) for _ in range(60))]
+    thirds = [("c", *(v / 3 for v in b[1:])) for b in boxes]
+    got = {g.key: g.area for g in matching.union_area(spark.createDataFrame([(k, *map(float, b)) for k, *b in boxes + thirds], "key string, x0 double, y0 double, x1 double, y1 double"), "key").collect()}
+    for k in "ab":
+        assert got[k] == len({(x, y) for q, x0, y0, x1, y1 in boxes if q == k for x in range(x0, x1) for y in range(y0, y1)})
+    assert got["c"] * 9 == pytest.approx(len({(x, y) for _, x0, y0, x1, y1 in boxes for x in range(x0, x1) for y in range(y0, y1)}), rel=1e-12)
+
+
 def test_intake_makes_one_row_of_everything(spark, tmp_path):
     archive = io.BytesIO()
     with zipfile.ZipFile(archive, "w") as z:
