@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -29,7 +30,7 @@ DECISIONS = ("approve", "reject", "adjust", "archive")
 
 
 def _plain(v):
-    return None if v is None or pd.isna(v) else v
+    return None if v is None or v is pd.NA or v != v else v
 
 
 def refusal(state: tuple, kind: str, base: int | None) -> str | None:
@@ -85,8 +86,11 @@ def advanced(state: tuple, early: dict, fresh: dict) -> tuple[tuple, dict, list]
 def _machine(deadline_s: int | None):
     names = [c.split()[0] for c in ROWS.split(", ")]
 
+    kinds = dict(zip(names, ("int64", "int64", object, object, "int32", "float64", object)))
+
     def frame(job, found: list) -> pd.DataFrame:
-        return pd.DataFrame([(job, seq, *state[:4], outcome) for seq, state, outcome in found], columns=names).astype({"version": "int32", "area": "float64"})
+        columns = zip(*((job, seq, *state[:4], outcome) for seq, state, outcome in found))
+        return pd.DataFrame({c: np.array(values, kinds[c]) for c, values in zip(names, columns)}, copy=False)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         *now, kept = held.get if held.exists else (*NONE, "{}")
@@ -97,7 +101,11 @@ def _machine(deadline_s: int | None):
                 held.update((*state, kept))
                 yield frame(key[0], [(0, state, "deadline passed")])
             return
-        fresh = {int(r.seq): (r.kind, _plain(r.area), _plain(r.base)) for b in batches for r in b.itertuples()}
+        # groups are a few rows each, so they are read as lists: what pandas does for a row costs more than the command
+        fresh = {}
+        for b in batches:
+            kind, area, base = (b[c].tolist() for c in ("kind", "area", "base"))
+            fresh.update(zip(map(int, b["seq"].tolist()), zip(kind, map(_plain, area), map(_plain, base))))
         early = {int(k): tuple(v) for k, v in json.loads(kept).items()}
         state, waiting, found = advanced(state, early, fresh)
         held.update((*state, json.dumps(waiting)))

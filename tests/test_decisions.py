@@ -65,6 +65,20 @@ def test_any_order_of_batches_is_the_fold(seed):
     assert plain == fold(COMMANDS) and held.get[-1] == "{}" and held.timeout is None
 
 
+def test_commands_are_read_and_written_as_columns(monkeypatch):
+    def slow(*_, **__):
+        raise AssertionError("a step of pandas for each row or group")
+
+    rows, run = list(enumerate(COMMANDS, 1)), decisions._machine(None)
+    commands = batch(rows)
+    with monkeypatch.context() as m:
+        for name in ("itertuples", "iterrows", "astype"):
+            m.setattr(pd.DataFrame, name, slow)
+        found = list(run((1,), iter([commands]), Held()))
+    assert [len(b) for b in found] == [len(rows)]
+    assert found[0].dtypes[["job", "seq", "version", "area"]].astype(str).tolist() == ["int64", "int64", "int32", "float64"]
+
+
 def test_a_late_measurement_follows_a_deadline():
     held, run = Held(), decisions._machine(3)
     list(run((1,), iter([batch([(1, COMMANDS[1])])]), held))
