@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mensura.operators.lineage import stored
 from mensura.operators.relational import merge_intervals
 
 # Units of a label, points of distance and share of the page, as they must be for equal results.
@@ -28,6 +29,8 @@ FUSED = r"(?i)^(\d{1,4})\s*(m|metres|meters)$"
 UNITS = ["m", "metres", "meters"]
 NUMBER = r"^\d{1,4}$"
 BORDER, NEAR, CLUSTER, GAP, ALIGNED = 0.70, 60, 3, 3, 6.0
+#: How wide a band of the cross axis is; as wide as what lies near a label, so that a label is in few.
+BAND = 2 * NEAR
 NO_LABEL, NO_BAR = "no scale-bar label", "label found but no bar line near it"
 
 
@@ -61,16 +64,21 @@ def labels_of(words: DataFrame) -> DataFrame:
     return found.withColumn("place", place)
 
 
+def _bands(at: Column, before: float) -> Column:
+    """A row for each band that holds a place from ``before`` before ``at`` to NEAR after it."""
+    return F.explode(F.sequence(F.floor((at - before) / BAND), F.floor((at + NEAR) / BAND)))
+
+
 def bars_near(labels: DataFrame, strokes: DataFrame) -> DataFrame:
     """(page, seq, axis, low, high, along): every bar near a label, from strokes(page, axis, cross, lo, hi)."""
     by = ["page", "axis", "cluster"]
     pieces = strokes.withColumn("cluster", F.bround(F.col("cross") / CLUSTER, 0).cast("long"))
     runs = merge_intervals(pieces, by, "lo", "hi", GAP).select(*by, "low", "high")
-    clusters = pieces.groupBy(*by).agg(F.min("cross").alias("least"), F.max("cross").alias("most")).withColumn("band", F.floor(F.col("least") / NEAR))
+    clusters = pieces.groupBy(*by).agg(F.min("cross").alias("least"), F.max("cross").alias("most")).withColumn("band", F.floor(F.col("least") / BAND))
     ways = F.array(*(F.struct(F.lit(a).alias("axis"), F.col(c).cast("double").alias("at"), F.col(s).cast("double").alias("along")) for a, c, s in (("h", "y", "x"), ("v", "x", "y"))))
     looks = labels.select("page", "seq", F.inline(ways))
-    # a cluster is no wider than its step, so its least stroke is in one of four bands
-    looks = looks.withColumn("band", F.explode(F.sequence(F.floor(F.col("at") / NEAR) - 2, F.floor(F.col("at") / NEAR) + 1)))
+    # a cluster is no wider than its step, so its least stroke is in one of two bands, seldom three
+    looks = looks.withColumn("band", _bands(F.col("at"), NEAR + CLUSTER))
     met = looks.join(clusters, ["page", "axis", "band"]).where((F.col("least") < F.col("at") + NEAR) & (F.col("most") > F.col("at") - NEAR))
     inside = (F.col("least") > F.col("at") - NEAR) & (F.col("most") < F.col("at") + NEAR)
     met = met.select("page", "seq", "axis", "cluster", "at", "along", inside.alias("inside"))
@@ -86,8 +94,8 @@ def nearby_numbers(labels: DataFrame, words: DataFrame) -> DataFrame:
     numbers = words.where(F.col("text").rlike(NUMBER)).select("page", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("text").cast("int").alias("n"))
     out = None
     for mine, its in (("y", "ny"), ("x", "nx")):
-        here = labels.select("page", "seq", F.col(mine).alias("at")).withColumn("band", F.explode(F.sequence(F.floor(F.col("at") / NEAR) - 1, F.floor(F.col("at") / NEAR) + 1)))
-        met = here.join(numbers.withColumn("band", F.floor(F.col(its) / NEAR)), ["page", "band"]).where(F.abs(F.col("at") - F.col(its)) < NEAR)
+        here = labels.select("page", "seq", F.col(mine).alias("at")).withColumn("band", _bands(F.col("at"), NEAR))
+        met = here.join(numbers.withColumn("band", F.floor(F.col(its) / BAND)), ["page", "band"]).where(F.abs(F.col("at") - F.col(its)) < NEAR)
         found = met.groupBy("page", "seq").agg(F.max("n").alias("n"))
         out = found if out is None else out.unionByName(found)
     return out.groupBy("page", "seq").agg(F.max("n").alias("number"))
@@ -104,7 +112,8 @@ def scale_bars(pages: DataFrame, strokes: DataFrame, words: DataFrame) -> DataFr
     drawn = strokes.select("page", F.inline(F.array(axis_of(*(F.col(c) for c in ("kind", "x0", "y0", "x1", "y1"))))))
     drawn = drawn.where("lo IS NOT NULL AND hi IS NOT NULL AND cross IS NOT NULL").join(pages, "page")
     drawn = drawn.where(F.col("hi") - F.col("lo") <= BORDER * F.when(F.col("axis") == "h", F.col("width")).otherwise(F.col("height"))).drop("width", "height")
-    labels = labels_of(words)
+    # both are read several times below
+    drawn, labels = stored(drawn, "strokes"), stored(labels_of(words), "labels")
     bars = bars_near(labels, drawn)
     low, high, along = F.col("low"), F.col("high"), F.col("along")
     far = F.when(along.between(low, high), 0.0).otherwise(F.least(F.abs(high - along), F.abs(low - along)))

@@ -48,6 +48,27 @@ def test_scale_bars_of_known_sheets(spark):
     assert bars(spark, [], [], []) == {}
 
 
+def test_strokes_and_labels_are_worked_out_once(spark):
+    strokes, words = ([(p, *r) for p in range(5) for r in rows] for rows in ([("line", 10.0, y, 110.0, y) for y in (5.0, 39.0, 99.5, 100.5, 300.0)], [(i, 20.0, y, f"{i + 1}m") for i, y in enumerate((40.0, 160.0, 240.0))]))
+    read = {"strokes": spark.sparkContext.accumulator(0), "words": spark.sparkContext.accumulator(0)}
+
+    def counted(rows, name):
+        n = read[name]
+
+        def run(batches):
+            for b in batches:
+                n.add(len(b))
+                yield b
+
+        return rows.mapInPandas(run, rows.schema)
+
+    pages = spark.createDataFrame([(p, 1000.0, 1000.0) for p in range(5)], PAGES)
+    rows = scalebars.scale_bars(pages, counted(spark.createDataFrame(strokes, STROKES), "strokes"), counted(spark.createDataFrame(words, WORDS), "words")).collect()
+    # the last label is exactly as far from a stroke as is no longer near
+    assert {(r.bar_m, r.bar_pt, r.axis) for r in rows} == {(2, 100.0, "h")} and len(rows) == 5
+    assert read["strokes"].value == len(strokes) and read["words"].value <= 3 * len(words)
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(500, 400), (400, 450), (7, 7)]
     nodes = spark.createDataFrame([(i,) for i in range(600)], "node long")
