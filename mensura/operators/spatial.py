@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from mensura.operators.lineage import components, small, stored
+from mensura.operators.lineage import components, small, spread, stored
 
 #: Conflicts of a component that one task decides; larger components are decided by rounds over the whole table.
 COMPONENT = 100_000
 ROUNDS = 8
 #: About how many boxes of one crowded group a task decides in a round, never more than 20 times as many, and most rounds.
 CROWD, PEELS = 1_000, 12
+#: Boxes of a cell that smaller ones meet at once, and blocks of them in one task.
+BLOCK, PART = 1_024, 8
 
 
 def shared_area(a: str, b: str) -> Column:
@@ -56,8 +58,10 @@ def _cells(boxes: DataFrame, step: Column) -> DataFrame:
 def overlaps(boxes: DataFrame, least: float | None = None, base: float = 1.0) -> DataFrame:
     """(group, a, b, shared, united): pairs of boxes whose shared area is above 0, or at least ``least`` of the united one.
 
-    ``base`` is the width of the finest cells. a and b are ids; each pair comes once, in
-    the order of (level, id, corner), and pairs of rows that share an id count too.
+    ``base`` is the width of the finest cells. a and b are ids; each pair comes once, and
+    pairs of rows that share an id count too. Larger boxes of a cell meet smaller ones in
+    blocks of boxes that lie close, in the order of their ids, which are opened last: pairs then
+    lie in long runs that files hold in few bytes, and nothing of a pair is shuffled.
     """
     cols = ["x0", "y0", "x1", "y1"]
     rows = _sound(boxes).select("group", "id", *cols)
@@ -66,25 +70,37 @@ def overlaps(boxes: DataFrame, least: float | None = None, base: float = 1.0) ->
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     rows = stored(rows, "boxes")
     step = F.lit(base) * F.pow(F.lit(2.0), F.col("at_level"))
-    own = _cells(rows.withColumn("at_level", F.col("level")), step)
     levels = sorted(r["level"] for r in rows.select("level").distinct().collect())  # powers of two, so a few dozen
-    if least:  # sides of a pair may differ by the factor 1 / least at most
-        reach = math.ceil(math.log2(1 / least)) + 1
-        at = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
-        wanted = F.filter(at, lambda x: (x >= F.col("level")) & (x <= F.col("level") + reach))
-    else:
-        wanted = F.filter(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"), lambda x: x >= F.col("level"))
-    looks = _cells(rows.withColumn("at_level", F.explode(wanted)), step)
-    name = lambda d, p, keep: d.select("group", "at_level", "cx", "cy", *(F.col(c).alias(f"{p}{c}") for c in ("row", "id", "level", *keep)))
-    met = name(own, "b_", cols).join(name(looks, "a_", cols), ["group", "at_level", "cx", "cy"])
-    first = (F.col("a_level") < F.col("b_level")) | (F.col("a_row") < F.col("b_row"))
-    here = lambda lo: F.floor(F.greatest(f"a_{lo}", f"b_{lo}") / step)
-    met = met.where(first & (F.col("cx") == here("x0")) & (F.col("cy") == here("y0")))
+    reach = math.ceil(math.log2(1 / least)) + 1 if least else None  # sides of a pair may differ by the factor 1 / least at most
+    at = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
+    near = lambda large, few: (large >= few) & (large <= few + reach) if least else large >= few
+    starts = lambda c, lo: (F.floor(F.col(lo) / step) == F.col(c)).alias(f"starts_{c}")
+
+    cell = ["at_level", "group", "cx", "cy"]
+    own = _cells(rows.withColumn("at_level", F.col("level")), step)
+    # an order without ties, so that a block is the same one whenever its task is run again
+    order = [*cell, *cols, "id", "row"]
+    own = own.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.expr(f"monotonically_increasing_id() div {BLOCK}"))
+    inside = F.sort_array(F.collect_list(F.struct("id", "row", *cols, starts("cx", "x0"), starts("cy", "y0"))))
+    blocks = stored(own.groupBy(*cell, "part").agg(inside.alias("block")).withColumn("part", F.expr(f"part div {PART}")), "blocks")
+    looks = _cells(rows.withColumn("at_level", F.explode(F.filter(at, lambda x: near(x, F.col("level"))))), step)
+    looks = looks.join(small(stored(blocks.select(*cell, "part").distinct(), "parts")), cell)
+    name = lambda p, get: [get(c).alias(f"{p}{c}") for c in ("row", "id", *cols, "starts_cx", "starts_cy")]
+    # levels come first, so that a task lists pairs of like sizes together
+    keys = ["at_level", "level", "group", "cx", "cy", "part"]
+    looks = spread(looks.select("*", starts("cx", "x0"), starts("cy", "y0")).select(*keys, *name("a_", F.col)), *keys)
+    blocks = spread(blocks.withColumn("level", F.explode(F.filter(at, lambda x: near(F.col("at_level"), x)))), *keys)
+    # the left side of a merge join is the outer loop
+    met = blocks.hint("merge").join(looks, keys).withColumn("b", F.explode("block"))
+    met = met.select("group", "level", "at_level", *(f"a_{c}" for c in ("row", "id", *cols, "starts_cx", "starts_cy")), *name("b_", lambda c: F.col(f"b.{c}")))
+    first = (F.col("level") < F.col("at_level")) | (F.col("a_row") < F.col("b_row"))
+    # both boxes touch the cell, so the lower corner of what they share lies in it if one of them starts there
+    met = met.where(first & (F.col("a_starts_cx") | F.col("b_starts_cx")) & (F.col("a_starts_cy") | F.col("b_starts_cy")))
     met = met.withColumn("shared", shared_area("a_", "b_")).where("shared > 0")
     met = met.withColumn("united", area("a_") + area("b_") - F.col("shared"))
     if least:
         met = met.where(F.col("shared") >= F.col("united") * least)
-    return met.select("group", F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_row").alias("a_row"), F.col("b_row").alias("b_row"), "shared", "united")
+    return met.select("group", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_row", "b_row", "shared", "united")
 
 
 def _greedy(frame: pd.DataFrame) -> pd.DataFrame:

@@ -4,6 +4,7 @@ import random
 from collections import deque
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,20 @@ def test_overlaps_are_those_of_all_pairs(spark, seed, base, least):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_pairs_that_overlap_take_few_bytes(spark, tmp_path):
+    """Pairs of boxes that nearly all meet lie in runs, so that files hold them in a few bytes each."""
+    r = random.Random(5)
+    rows = [(0, i, x := r.randint(-300, 300), y := r.randint(-300, 300), x + s + r.randint(0, 99), y + s + r.randint(0, 99)) for i in range(1500) for s in [r.choice([900, 300, 900])]]
+    spatial.overlaps(spark.createDataFrame(rows, BOXES), base=8.0).select("a", "b", "shared", "united").write.parquet(f"{tmp_path}/pairs")
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "pairs").glob("*.parquet")]
+    groups = [(m.row_group(g), c) for m in files for g in range(m.num_row_groups) for c in range(4)]
+    n = sum(m.num_rows for m in files)
+    live = np.array([b[2:] for b in rows])
+    w, h = (np.minimum(live[:, k + 2, None], live[None, :, k + 2]) - np.maximum(live[:, k, None], live[None, :, k]) for k in (0, 1))
+    assert n == (((w > 0) & (h > 0)).sum() - len(rows)) // 2
+    assert sum(g.column(c).total_compressed_size for g, c in groups if c < 2) < 1.0 * n
+
+
 @pytest.mark.parametrize("seed,least,most", [(0, 0.5, 100_000), (2, 0.1, 3)])
 def test_kept_boxes_are_the_greedy_ones(spark, monkeypatch, seed, least, most):
     monkeypatch.setattr(spatial, "COMPONENT", most)
