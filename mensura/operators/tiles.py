@@ -36,8 +36,8 @@ LABELS = 1 << 24
 # The areas that a single surface may have, and the share of the chosen one that others must reach.
 LEAST_M2, MOST_M2, SATELLITE, MARGIN = 200, 50_000, 0.015, 0.025
 SOLID = 0.03
-#: Tiles that a task hands on at once.
-TILES = 512
+#: Tiles that a task hands on at once, and pixels of tiles that it works on together.
+TILES, PIXELS = 512, 1 << 20
 TILE = "h int, w int, ty int, tx int, mask binary"
 
 
@@ -49,8 +49,29 @@ def unpack(blob: bytes, height: int, width: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(blob, np.uint8), count=height * width).reshape(height, width).astype(bool)
 
 
+def _packed(masks: np.ndarray) -> pa.Array:
+    """``pack`` of every mask of a stack."""
+    return pa.array([x.tobytes() for x in np.packbits(masks.reshape(len(masks), math.prod(masks.shape[1:])), axis=1)], pa.binary())
+
+
+def _unpacked(blobs: list[bytes], height: int, width: int) -> np.ndarray:
+    """A stack of masks of equal size."""
+    bits = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+    return np.unpackbits(bits, axis=1, count=height * width).reshape(-1, height, width).view(bool)
+
+
+def _numbers(batch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+
+
+def _stacks(batches, pixels: int):
+    """Parts of batches whose tiles of so many pixels each are worked on together."""
+    n = max(1, PIXELS // pixels)
+    return (batch.slice(i, n) for batch in batches for i in range(0, batch.num_rows, n))
+
+
 def _counts(mask: np.ndarray, low: int, high: int, axis: int) -> np.ndarray:
-    """How many pixels are set from ``low`` to ``high`` places on from each along an axis."""
+    """How many pixels are set from ``low`` to ``high`` places on from each along an axis of an image, or of a stack of them."""
     n = mask.shape[axis]
     sums = np.concatenate([np.zeros_like(mask.take([0], axis), int), np.cumsum(mask, axis=axis, dtype=int)], axis=axis)
     at = np.arange(n)
@@ -59,18 +80,18 @@ def _counts(mask: np.ndarray, low: int, high: int, axis: int) -> np.ndarray:
 
 def dilated(mask: np.ndarray, size: int) -> np.ndarray:
     low, high = -(size - 1 - size // 2), size // 2
-    return _counts(_counts(mask, low, high, 0) > 0, low, high, 1) > 0
+    return _counts(_counts(mask, low, high, -2) > 0, low, high, -1) > 0
 
 
 def eroded(mask: np.ndarray, size: int) -> np.ndarray:
     low, high = -(size // 2), size - 1 - size // 2
-    return _counts(_counts(mask, low, high, 0) == size, low, high, 1) == size
+    return _counts(_counts(mask, low, high, -2) == size, low, high, -1) == size
 
 
 def cross_eroded(mask: np.ndarray) -> np.ndarray:
     """Pixels whose four neighbours are all set."""
-    around = np.pad(mask, 1)
-    return mask & around[:-2, 1:-1] & around[2:, 1:-1] & around[1:-1, :-2] & around[1:-1, 2:]
+    around = np.pad(mask, [(0, 0)] * (mask.ndim - 2) + [(1, 1)] * 2)
+    return mask & around[..., :-2, 1:-1] & around[..., 2:, 1:-1] & around[..., 1:-1, :-2] & around[..., 1:-1, 2:]
 
 
 def tiled(images: DataFrame, side: int = SIDE) -> DataFrame:
@@ -109,58 +130,71 @@ def windows(tiles: DataFrame, halo: int, side: int = SIDE) -> DataFrame:
 
 
 def with_neighbours(tiles: DataFrame, halo: int, work, side: int = SIDE) -> DataFrame:
-    """Tiles of work(window, inside)[halo:-halo, halo:-halo], where a window is a tile with ``halo`` pixels around it.
+    """Tiles of work(windows, inside)[:, halo:-halo, halo:-halo], where a window is a tile with ``halo`` pixels around it.
 
-    ``inside`` tells the window's pixels on the page. Tiles that only receive strips are
-    worked on as well; those without a set pixel at the end are left out. Without
+    ``work`` takes a stack of windows; ``inside`` tells their pixels on the page. Tiles that only
+    receive strips are worked on as well; those without a set pixel at the end are left out. Without
     ``work`` the windows themselves are returned.
     """
     page = tiles.schema["page"]
     tile_schema, tile_arrow = _form(page, TILE)
     strip_schema, strip_arrow = _form(page, STRIP)
     reach, full = math.ceil(halo / side), side + 2 * halo
+    keys = ["page", "h", "w", "ty", "tx"]
 
     def strips(batches):
+        for part in _stacks(batches, side * side):
+            masks, (h, w, ty, tx) = _unpacked(part.column("mask").to_pylist(), side, side), _numbers(part, "h", "w", "ty", "tx")
+            for dy in range(-reach, reach + 1):
+                for dx in range(-reach, reach + 1):
+                    # these tiles' place in the windows of the other ones
+                    y, x = halo - dy * side, halo - dx * side
+                    y0, x0 = max(0, -y), max(0, -x)
+                    piece = masks[:, y0 : full - y, x0 : full - x]
+                    on_page = (ty + dy >= 0) & (tx + dx >= 0) & ((ty + dy) * side < h) & ((tx + dx) * side < w)
+                    sent = np.flatnonzero(on_page & piece.any(axis=(1, 2)))
+                    place = [np.full(len(sent), v, np.int32) for v in (y + y0, x + x0, *piece.shape[1:])]
+                    at = [v[sent].astype(np.int32) for v in (h, w, ty + dy, tx + dx)]
+                    yield pa.RecordBatch.from_arrays([part.column("page").take(pa.array(sent)), *map(pa.array, at + place), _packed(piece[sent])], schema=strip_arrow)
+
+    def whole_tiles(batches):
+        """Strips of some tiles with the number of the tile that each belongs to; the last tile of a batch waits for the next one."""
+        most, rows, last, n = max(1, PIXELS // full**2), [], None, 0
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                mask = unpack(r["mask"], side, side)
-                for dy in range(-reach, reach + 1):
-                    for dx in range(-reach, reach + 1):
-                        ty, tx = r["ty"] + dy, r["tx"] + dx
-                        if not (0 <= ty * side < r["h"] and 0 <= tx * side < r["w"]):
-                            continue
-                        # this tile's place in the other one's window
-                        y, x = halo - dy * side, halo - dx * side
-                        y0, x0 = max(0, -y), max(0, -x)
-                        piece = mask[y0 : full - y, x0 : full - x]
-                        if piece.any():
-                            at = {"ty": ty, "tx": tx, "y": y + y0, "x": x + x0, "ph": piece.shape[0], "pw": piece.shape[1], "piece": pack(piece)}
-                            rows.append({"page": r["page"], "h": r["h"], "w": r["w"], **at})
-            yield pa.RecordBatch.from_pylist(rows, strip_arrow)
+            for r in zip(*(batch.column(c).to_pylist() for c in (*keys, "y", "x", "ph", "pw", "piece"))):
+                if r[:5] != last:
+                    if n == most:
+                        yield rows, n
+                        rows, n = [], 0
+                    last, n = r[:5], n + 1
+                rows.append((n - 1, r))
+        if n:
+            yield rows, n
 
     def stitched(batches):
-        out = []
-        for (page_, h, w, ty, tx), rows in groupby((r for batch in batches for r in batch.to_pylist()), key=itemgetter("page", "h", "w", "ty", "tx")):
-            window = np.zeros((full, full), bool)
-            for r in rows:
-                window[r["y"] : r["y"] + r["ph"], r["x"] : r["x"] + r["pw"]] |= unpack(r["piece"], r["ph"], r["pw"])
-            if work is None:
-                done = window
-            else:
+        for rows, n in whole_tiles(batches):
+            window, tile, kinds = np.zeros((n, full, full), bool), [None] * n, {}
+            for i, r in rows:
+                tile[i] = r[:5]
+                kinds.setdefault(r[5:9], []).append((i, r[9]))
+            for (y, x, ph, pw), sent in kinds.items():
+                pieces = _unpacked([blob for _, blob in sent], ph, pw)
+                at, first = np.unique([i for i, _ in sent], return_index=True)
+                window[at, y : y + ph, x : x + pw] |= pieces[first]
+                for k in np.setdiff1d(np.arange(len(sent)), first):  # of a tile that comes twice
+                    window[sent[k][0], y : y + ph, x : x + pw] |= pieces[k]
+            done = window
+            if work is not None:
+                h, w, ty, tx = (np.array(v)[:, None] for v in zip(*(t[1:] for t in tile)))
                 y, x = np.arange(full) + ty * side - halo, np.arange(full) + tx * side - halo
-                inside = ((y >= 0) & (y < h))[:, None] & ((x >= 0) & (x < w))[None, :]
-                done = (work(window, inside) & inside)[halo : halo + side, halo : halo + side]
-            if done.any():
-                out.append({"page": page_, "h": h, "w": w, "ty": ty, "tx": tx, "mask": pack(done)})
-            if len(out) == TILES:
-                yield pa.RecordBatch.from_pylist(out, tile_arrow)
-                out = []
-        yield pa.RecordBatch.from_pylist(out, tile_arrow)
+                inside = ((y >= 0) & (y < h))[:, :, None] & ((x >= 0) & (x < w))[:, None, :]
+                done = (work(window, inside) & inside)[:, halo : halo + side, halo : halo + side]
+            kept = np.flatnonzero(done.any(axis=(1, 2)))
+            names = zip(*(tile[i] for i in kept)) if len(kept) else [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(list(v), f.type) for v, f in zip(names, tile_arrow)), _packed(done[kept])], schema=tile_arrow)
 
-    sent = tiles.select("page", "h", "w", "ty", "tx", "mask").mapInArrow(strips, strip_schema)
+    sent = spread(tiles.select("page", "h", "w", "ty", "tx", "mask"), *keys).mapInArrow(strips, strip_schema)
     # tiles are small, so a task takes them one after the other in their order, not as a group each
-    keys = ["page", "h", "w", "ty", "tx"]
     return spread(sent, *keys).sortWithinPartitions(*keys).mapInArrow(stitched, tile_schema)
 
 
@@ -235,7 +269,8 @@ def labelled(tiles: DataFrame, side: int = SIDE) -> DataFrame:
                 rows.append({**{c: r[c] for c in ("page", "h", "w", "ty", "tx", "tile")}, "labels": n.tobytes(), **{k: np.ascontiguousarray(v).tobytes() for k, v in ends.items()}})
             yield pa.RecordBatch.from_pylist(rows, labelled_arrow)
 
-    return numbered(tiles, ["page", "ty", "tx"], "tile").mapInArrow(run, labelled_schema)
+    # numbers take two passes over the tiles
+    return spread(numbered(stored(tiles, "tiles"), ["page", "ty", "tx"], "tile"), "tile").mapInArrow(run, labelled_schema)
 
 
 def _pieces(labels: DataFrame, side: int) -> DataFrame:
@@ -264,7 +299,7 @@ def _pieces(labels: DataFrame, side: int) -> DataFrame:
                     })
             yield pa.RecordBatch.from_pylist(rows, piece_arrow)
 
-    return labels.mapInArrow(run, piece_schema)
+    return spread(labels.select("page", "w", "ty", "tx", "tile", "labels"), "tile").mapInArrow(run, piece_schema)
 
 
 def _seams(batches):
@@ -315,7 +350,7 @@ def region_tiles(labels: DataFrame, pieces: DataFrame, regions: DataFrame, side:
     """Tiles of each of ``regions`` alone; their page is (page, region)."""
     wanted = pieces.join(regions.select("page", "region"), ["page", "region"], "left_semi")
     by = wanted.groupBy("tile", "region").agg(F.collect_set("local").alias("locals"))
-    met = labels.select("page", "h", "w", "ty", "tx", "tile", "labels").join(by, "tile")
+    met = spread(labels.select("page", "h", "w", "ty", "tx", "tile", "labels"), "tile").join(spread(by, "tile"), "tile")
     met = met.select(F.struct("page", "region").alias("page"), "h", "w", "ty", "tx", "labels", "locals")
     page = met.schema["page"]
     tile_schema, tile_arrow = _form(page, TILE)
@@ -336,7 +371,8 @@ def _outside(masks: DataFrame, regions: DataFrame, side: int) -> DataFrame:
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / side).cast("int"), F.floor((F.col(hi) - 1) / side).cast("int"))
     every = regions.select(F.struct("page", "region").alias("page"), F.explode(span("y0", "y1")).alias("ty"), "x0", "x1").withColumn("tx", F.explode(span("x0", "x1"))).drop("x0", "x1")
     size = masks.groupBy("page").agg(F.max("h").alias("h"), F.max("w").alias("w"))
-    met = every.join(size, "page").join(masks.select("page", "ty", "tx", "mask"), ["page", "ty", "tx"], "left").select("page", "h", "w", "ty", "tx", "mask")
+    at = ["page", "ty", "tx"]
+    met = spread(every.join(size, "page"), *at).join(spread(masks.select(*at, "mask"), *at), at, "left").select("page", "h", "w", "ty", "tx", "mask")
     page = met.schema["page"]
     tile_schema, tile_arrow = _form(page, TILE)
 
@@ -371,15 +407,22 @@ def voids(masks: DataFrame, regions: DataFrame, least_pixels: float, side: int =
     holes = stored(found.where(inner).select("page", F.col("region").alias("hole"), "pixels", (F.col("pixels") < least_pixels).alias("filled")), "holes")
     fill = region_tiles(around, pieces, holes.where("filled").select("page", F.col("hole").alias("region")), side)
     both = masks.select("page", "h", "w", "ty", "tx", "mask").unionByName(fill.select(F.col("page.page").alias("page"), "h", "w", "ty", "tx", "mask"))
-    page = both.schema["page"]
-    tile_schema, tile_arrow = _form(page, TILE)
+    tile_schema, tile_arrow = _form(both.schema["page"], TILE)
 
-    def united(group: pa.Table) -> pa.Table:
-        first = group.slice(0, 1)
-        whole = np.bitwise_or.reduce([np.frombuffer(m.as_py(), np.uint8) for m in group.column("mask")])
-        return first.set_column(first.schema.get_field_index("mask"), "mask", pa.array([whole.tobytes()], pa.binary()))
+    def united(batches):
+        out = []
+        for _, rows in groupby((r for batch in batches for r in batch.to_pylist()), key=itemgetter("page", "ty", "tx")):
+            first, *more = rows
+            if more:
+                first["mask"] = np.bitwise_or.reduce([np.frombuffer(r["mask"], np.uint8) for r in (first, *more)]).tobytes()
+            out.append(first)
+            if len(out) == TILES:
+                yield pa.RecordBatch.from_pylist(out, tile_arrow)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, tile_arrow)
 
-    return holes, both.groupBy("page", "ty", "tx").applyInArrow(united, tile_schema)
+    at = ["page", "ty", "tx"]
+    return holes, spread(both, *at).sortWithinPartitions(*at).mapInArrow(united, tile_schema)
 
 
 EDGES = "x0 int, y0 int, x1 int, y1 int"
@@ -390,31 +433,29 @@ def border_runs(masks: DataFrame, side: int = SIDE) -> DataFrame:
     page = masks.schema["page"]
     edges_schema, edges_arrow = _form(page, EDGES)
 
-    def runs(line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        step = np.diff(np.pad(line, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, low = np.nonzero(step == 1)
-        return row, low, np.nonzero(step == -1)[1]
+    def runs(lines: np.ndarray) -> tuple[np.ndarray, ...]:
+        step = np.diff(np.pad(lines, ((0, 0), (0, 0), (1, 1))).astype(np.int8), axis=2)
+        tile, row, low = np.nonzero(step == 1)
+        return tile, row, low, np.nonzero(step == -1)[2]
 
     # the borders of a tile's own pixels need one pixel around it, so the window itself is what comes back
     wide = windows(masks, 1, side)
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                m = unpack(r["mask"], side + 2, side + 2)
-                own, oy, ox = m[1:-1, 1:-1], r["ty"] * side, r["tx"] * side
-                at = {"page": r["page"]}
-                for row, low, high in zip(*runs(own & ~m[:-2, 1:-1])):
-                    rows.append({**at, "x0": low + ox, "y0": row + oy, "x1": high + ox, "y1": row + oy})
-                for row, low, high in zip(*runs(own & ~m[2:, 1:-1])):
-                    rows.append({**at, "x0": high + ox, "y0": row + oy + 1, "x1": low + ox, "y1": row + oy + 1})
-                for column, low, high in zip(*runs((own & ~m[1:-1, :-2]).T)):
-                    rows.append({**at, "x0": column + ox, "y0": high + oy, "x1": column + ox, "y1": low + oy})
-                for column, low, high in zip(*runs((own & ~m[1:-1, 2:]).T)):
-                    rows.append({**at, "x0": column + ox + 1, "y0": low + oy, "x1": column + ox + 1, "y1": high + oy})
-            rows = [{k: v if k == "page" else int(v) for k, v in x.items()} for x in rows]
-            yield pa.RecordBatch.from_pylist(rows, edges_arrow)
+        for part in _stacks(batches, (side + 2) ** 2):
+            m, (ty, tx) = _unpacked(part.column("mask").to_pylist(), side + 2, side + 2), _numbers(part, "ty", "tx")
+            own, oy, ox, found = m[:, 1:-1, 1:-1], ty * side, tx * side, []
+            turned = own.transpose(0, 2, 1)
+            k, row, low, high = runs(own & ~m[:, :-2, 1:-1])
+            found.append((k, low + ox[k], row + oy[k], high + ox[k], row + oy[k]))
+            k, row, low, high = runs(own & ~m[:, 2:, 1:-1])
+            found.append((k, high + ox[k], row + oy[k] + 1, low + ox[k], row + oy[k] + 1))
+            k, column, low, high = runs(turned & ~m[:, 1:-1, :-2].transpose(0, 2, 1))
+            found.append((k, column + ox[k], high + oy[k], column + ox[k], low + oy[k]))
+            k, column, low, high = runs(turned & ~m[:, 1:-1, 2:].transpose(0, 2, 1))
+            found.append((k, column + ox[k] + 1, low + oy[k], column + ox[k] + 1, high + oy[k]))
+            k, *ends = (np.concatenate(c) for c in zip(*found))
+            yield pa.RecordBatch.from_arrays([part.column("page").take(pa.array(k)), *(pa.array(e.astype(np.int32)) for e in ends)], schema=edges_arrow)
 
     return wide.mapInArrow(run, edges_schema)
 

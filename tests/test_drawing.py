@@ -267,6 +267,24 @@ def test_regions_voids_and_outlines_are_those_of_whole_pages(spark, side):
     assert tiles.labelled(frame(spark, [], side), side).count() == 0
 
 
+def test_tiles_are_worked_out_once_and_by_several_tasks(spark):
+    """Tiles that lie in one file are dealt to all tasks, numbers don't read them twice, and tiles that come twice are united."""
+    pages, side, read = images(3), 7, spark.sparkContext.accumulator(0)
+    rows = lineage.stored(frame(spark, pages, side).coalesce(1))
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    labels = lineage.stored(tiles.labelled(rows.mapInArrow(counted, rows.schema), side).coalesce(1))
+    assert read.value == rows.count() == labels.count()
+    assert tiles._pieces(labels, side).select(F.spark_partition_id()).distinct().count() > 1
+    got = whole(tiles.closed(rows.unionByName(rows), 3, side).collect(), pages, side)
+    for p, m in pages:
+        assert (got[p] == plain_eroded(plain_dilated(m, 3), 3)).all()
+
+
 def test_style_and_margin(spark):
     pages = images(2) + [(6, np.pad(np.ones((20, 20), bool), 5)), (7, np.eye(30, dtype=bool))]
     rows, side = frame(spark, pages, 6), 6
