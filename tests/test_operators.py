@@ -266,3 +266,15 @@ def test_merged_runs_with_null_ends_are_those_of_the_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     want = con.execute(f"SELECT page, axis, low, high, n FROM ({registry.ORACLE_SQL['merged_runs']})").fetchall()
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_a_bucket_of_a_range_join_is_dealt_to_several_tasks(spark):
+    """Pairs whose ends all lie in one bucket aren't the work of one task; null columns of either side stay."""
+    right = [(i if i % 50 else None, 900.0 + i % 3, 902.0 + i % 3) for i in range(12 * relational.BLOCK)] + [(-1, 9.0, 8.0), (-2, 10.0, 20.0)]
+    left = [(i, 900.0 + i) for i in range(4)] + [(9, 5000.0), (10, None)]
+    r = spark.createDataFrame(right, "part int, lo double, hi double")
+    met = relational.range_join(spark.createDataFrame(left, "id int, at double"), r, "at", "lo", "hi", 100.0).withColumn("task", F.spark_partition_id())
+    rows = met.collect()
+    want = sorted(((i, p) for i, a in left for p, lo, hi in right if a is not None and lo <= a <= hi), key=repr)
+    assert sorted(((x["id"], x["part"]) for x in rows), key=repr) == want
+    assert len({x["task"] for x in rows}) > 1
