@@ -134,7 +134,8 @@ def _near_edge(walls: DataFrame, edges: DataFrame) -> DataFrame:
     reach = WALL_NEAR / F.col("k")
     span = lambda a, b: F.explode(F.sequence(cell(F.least(a, b) - reach), cell(F.greatest(a, b) + reach)))
     lie = edges.withColumn("cx", span("ex0", "ex1")).withColumn("cy", span("ey0", "ey1")).drop("k")
-    met = samples.join(lie, ["page", "cx", "cy"])
+    # hints: outlines are a few bytes in their plan but many cells, and no table that grows with pages goes through the driver
+    met = samples.hint("merge").join(lie, ["page", "cx", "cy"])
     dx, dy = F.col("ex1") - F.col("ex0"), F.col("ey1") - F.col("ey0")
     along = ((F.col("x") - F.col("ex0")) * dx + (F.col("y") - F.col("ey0")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-12))
     on = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
@@ -161,34 +162,34 @@ def yard_edge_runs(outlines: DataFrame, walls: DataFrame) -> DataFrame:
     straight = straight.select(
         "page", "seq", "grey", "orientation", F.when(flat, (F.col("y0") + F.col("y1")) / 2).otherwise((F.col("x0") + F.col("x1")) / 2).alias("fixed"),
         F.when(flat, F.least("x0", "x1")).otherwise(F.least("y0", "y1")).alias("a0"), F.when(flat, F.greatest("x0", "x1")).otherwise(F.greatest("y0", "y1")).alias("a1"),
-    ).join(known.select("page", "k"), "page")
+    ).join(small(stored(known.select("page", "k"), "scales")), "page")
     # walls of equal ends share their fate: they are as near, and all follow what the first of them follows, or that itself
     straight = straight.groupBy("page", "orientation", "fixed", "a0", "a1").agg(F.min("seq").alias("seq"), F.count("*").alias("copies"), F.max(F.coalesce("grey", F.lit(False))).alias("grey"), F.max("k").alias("k"))
     straight = straight.withColumn("length", (F.col("a1") - F.col("a0")) * F.col("k")).where(F.col("length") >= WALL_LEAST)
     placed = stored(numbered(straight, ["page", F.desc("length"), "seq", "orientation", "fixed", "a0"], "wall"), "walls")
     ends = {"x0": F.when(flat, F.col("a0")).otherwise(F.col("fixed")), "y0": F.when(flat, F.col("fixed")).otherwise(F.col("a0")), "x1": F.when(flat, F.col("a1")).otherwise(F.col("fixed")), "y1": F.when(flat, F.col("fixed")).otherwise(F.col("a1"))}
     near = _near_edge(placed.select("page", "wall", "k", *(c.alias(n) for n, c in ends.items())), edges)
-    candidates = stored(placed.join(near, ["page", "wall"]), "near-walls")
+    candidates = stored(placed.join(near.hint("merge"), ["page", "wall"]), "near-walls")
 
     band = F.floor(F.col("fixed") * F.col("k") / WALL_NEAR)
     one = candidates.select("page", "orientation", F.col("wall").alias("better"), F.col("a0").alias("b0"), F.col("a1").alias("b1"), F.col("fixed").alias("bf"), "k", F.explode(F.sequence(band - 1, band + 1)).alias("band"))
     two = candidates.select("page", "orientation", F.col("wall").alias("worse"), "a0", "a1", "fixed", band.alias("band"))
     cover = F.greatest(F.lit(0.0), F.least("a1", "b1") - F.greatest("a0", "b0")) / F.least(F.col("a1") - F.col("a0"), F.col("b1") - F.col("b0"))
     alike = (F.col("better") < F.col("worse")) & (cover >= WALL_COVER) & (F.abs(F.col("fixed") - F.col("bf")) * F.col("k") <= WALL_NEAR)
-    same = stored(one.join(two, ["page", "orientation", "band"]).where(alike).select("better", "worse"), "same-walls")
-    follows = stored(greedy_kept(same).where("NOT kept").select(F.col("place").alias("worse")), "followers")
+    same = stored(one.hint("merge").join(two, ["page", "orientation", "band"]).where(alike).select("better", "worse"), "same-walls")
+    follows = small(stored(greedy_kept(same).where("NOT kept").select(F.col("place").alias("worse")), "followers"))
     lead = same.join(follows, "worse", "left_semi").join(follows.withColumnRenamed("worse", "better"), "better", "left_anti").groupBy("worse").agg(F.min("better").alias("leader"))
     of = candidates.join(small(stored(lead.withColumnRenamed("worse", "wall"))), "wall", "left").withColumn("leader", F.coalesce("leader", "wall"))
     support = of.groupBy("leader").agg(F.sum("copies").alias("n_members"), F.max("grey").alias("light"))
-    leaders = candidates.join(support.withColumnRenamed("leader", "wall"), "wall").withColumn("counts", F.col("light") | (F.col("n_members") >= 2))
+    leaders = candidates.join(support.withColumnRenamed("leader", "wall").hint("merge"), "wall").withColumn("counts", F.col("light") | (F.col("n_members") >= 2))
     two_best = F.slice(F.sort_array(F.collect_list(F.when(F.col("counts"), F.struct("length", (-F.col("wall")).alias("w")))), asc=False), 1, 2)
     # leaders of a page that count are few: they are long, apart, and along its outline
     best = leaders.groupBy("page").agg(two_best.alias("top"), F.count("*").alias("n"))
     first, second = F.get("top", F.lit(0)), F.get("top", F.lit(1))
     rival = second["length"] >= RIVAL * first["length"]
     best = best.select("page", "n", (-first["w"]).alias("wall"), F.coalesce(rival, F.lit(False)).alias("rival"))
-    met = outlines.select("page").distinct().join(known.select("page", F.lit(True).alias("known")).distinct(), "page", "left").join(best, "page", "left")
+    met = outlines.select("page").distinct().join(known.select("page", F.lit(True).alias("known")).distinct().hint("merge"), "page", "left").join(best.hint("merge"), "page", "left")
     reason = F.when(F.col("known").isNull(), NO_SCALE).when(F.col("n").isNull(), NO_WALL).when(F.col("wall").isNull(), UNSUPPORTED).when(F.col("rival"), RIVALS)
     met = met.withColumn("reason", reason).withColumn("wall", F.when(reason.isNull(), F.col("wall"))).drop("n", "rival", "known")
     chosen = leaders.select("wall", F.bround("length", 2).alias("length_lm"), "orientation", *(c.alias(n) for n, c in ends.items()), "n_members", F.bround("worst", 3).alias("worst"), F.bround("mean", 3).alias("mean"))
-    return met.join(chosen, "wall", "left").select("page", "length_lm", "orientation", *ends, "n_members", "worst", "mean", "reason")
+    return met.join(chosen.hint("merge"), "wall", "left").select("page", "length_lm", "orientation", *ends, "n_members", "worst", "mean", "reason")

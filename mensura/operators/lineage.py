@@ -32,9 +32,12 @@ def stored(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A stored table, marked for broadcast if its rows have been counted and are few."""
+    """A stored table, marked for broadcast if its rows have been counted and are few, else against it.
+
+    Left alone, Spark goes by the bytes of files and of plans, which don't tell how many rows come of them.
+    """
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

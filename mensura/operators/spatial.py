@@ -137,7 +137,7 @@ def greedy_kept(conflicts: DataFrame, most: int | None = None) -> DataFrame:
         sizes = of.groupBy("component").agg(F.count("*").alias("n"))
         large = stored(sizes.where(F.col("n") > most).select("component"))
         crowd = small(large)
-        solved = of.join(crowd, "component", "left_anti").groupBy("component").applyInPandas(_greedy, schema)
+        solved = spread(of.join(crowd, "component", "left_anti"), "component").groupBy("component").applyInPandas(_greedy, schema)
         out = out.unionByName(stored(solved, "kept"))
         open_ = stored(of.join(crowd, "component", "left_semi").select("better", "worse"))
         for _ in range(ROUNDS):

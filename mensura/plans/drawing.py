@@ -274,7 +274,8 @@ def yard_edge_runs(spark, d):
     flat = F.col("orientation") == "V"  # the yard's long side lies along the docks
     lines = _shaped(t(spark, d, "lineitem"), SEGMENT).distinct()
     ends = {"x0": F.when(flat, F.col("a0")).otherwise(F.col("p0")), "y0": F.when(flat, F.col("p0")).otherwise(F.col("a0")), "x1": F.when(flat, F.col("a1")).otherwise(F.col("p0")), "y1": F.when(flat, F.col("p0")).otherwise(F.col("a1"))}
-    return docks.yard_edge_runs(outlines, lines.select("page", "seq", "grey", *(c.alias(n) for n, c in ends.items())))
+    # stored, as a test of ends would be moved into the scan and write out each end's cases many times over
+    return docks.yard_edge_runs(outlines, stored(lines.select("page", "seq", "grey", *(c.alias(n) for n, c in ends.items())), "lines"))
 
 
 # Vectors are points on the page of their label; their first two components, in thousandths.

@@ -536,3 +536,19 @@ def test_crowded_boxes_are_decided_in_rounds_without_their_pairs(spark, monkeypa
     got = spatial.without_overlapping(spark.createDataFrame(rows, BOXES).repartition(3), [F.desc((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))], 0.5).collect()
     assert sorted((tuple(r) for r in got), key=repr) == sorted(kept + [b for b in rows if not sound(b)], key=repr)
     assert listed[0] < sum(map(sound, rows)) - 50  # the crowd never meets pair by pair
+
+
+def test_no_table_that_grows_with_pages_is_broadcast(spark, monkeypatch):
+    """Files of a few bytes may hold many rows, so it isn't left to their size what goes through the driver."""
+    plan = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    edges = lineage.stored(spark.createDataFrame([(0, 0.1, 0.0, 0.0, 400.0, 0.0)], "page int, k double, ex0 double, ey0 double, ex1 double, ey1 double"))
+    walls = lineage.stored(spark.createDataFrame([(0, 0, 0.1, 0.0, 2.0, 390.0, 2.0)], "page int, wall long, k double, x0 double, y0 double, x1 double, y1 double"))
+    near = docks._near_edge(walls, edges)
+    assert "Broadcast" not in plan(near) and [(r["wall"], round(r["worst"], 3)) for r in near.collect()] == [(0, 0.2)]
+    many = lineage.small(edges, lineage.BROADCAST_ROWS + 1)
+    assert "Broadcast" not in plan(walls.join(many, "page")) and "Broadcast" in plan(walls.join(lineage.small(edges), "page"))
+    monkeypatch.setattr(lineage, "BROADCAST_ROWS", 0)
+    outline = lineage.stored(spark.createDataFrame([(0, 0.1, [(0.0, 0.0), (400.0, 0.0), (400.0, 300.0)])], "page int, k double, points array<struct<x:double,y:double>>"))
+    lines = [(0, 1, 0.0, 2.0, 390.0, 2.0, False), (0, 2, 0.0, 3.0, 380.0, 3.0, False)]
+    runs = docks.yard_edge_runs(outline, lineage.stored(spark.createDataFrame(lines, "page int, seq int, x0 double, y0 double, x1 double, y1 double, grey boolean")))
+    assert "Broadcast" not in plan(runs) and [(r["length_lm"], r["n_members"]) for r in runs.collect()] == [(39.0, 2)]
