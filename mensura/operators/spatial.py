@@ -133,7 +133,7 @@ def greedy_kept(conflicts: DataFrame, most: int | None = None) -> DataFrame:
     while not open_.isEmpty():
         places = open_.select(F.explode(F.array("better", "worse")).alias("node")).distinct()
         where = components(places, open_.select(F.col("better").alias("a"), F.col("worse").alias("b")))
-        of = stored(open_.join(where.select(F.col("node").alias("better"), "component"), "better"))
+        of = stored(open_.hint("merge").join(where.select(F.col("node").alias("better"), "component"), "better"))
         sizes = of.groupBy("component").agg(F.count("*").alias("n"))
         large = stored(sizes.where(F.col("n") > most).select("component"))
         crowd = small(large)
